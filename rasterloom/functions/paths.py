@@ -22,5 +22,5 @@ def extension(path: Column) -> Column:
 
 def joined_prompts(prompts: Column, separator: str = " . ") -> Column:
     """Trimmed, non-blank prompts in one string."""
-    trimmed = F.transform(prompts, F.trim)
+    trimmed = F.transform(prompts, lambda p: F.trim(p))
     return F.array_join(F.filter(trimmed, lambda p: p != ""), separator)

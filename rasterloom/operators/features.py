@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,27 @@ def similarities(df: DataFrame, prompts: Sequence[Sequence[float]], target: str,
     return df.withColumn(target, F.array(*[vectors.dot(F.col("feature"), vectors.vec(p)) for p in prompts]))
 
 
+def relevancy_groups(
+    df: DataFrame,
+    groups: Mapping[str, Sequence[Sequence[float]]],
+    negatives: Sequence[Sequence[float]],
+    dense: bool = False,
+) -> DataFrame:
+    """Add one array of relevancies per group of positive prompts.
+
+    All groups and the negatives share a single pass of inner products.
+    """
+    every = [v for group in groups.values() for v in group]
+    scored = similarities(df, [*every, *negatives], "_s", dense)
+    worst = F.slice("_s", len(every) + 1, len(negatives))
+    start, columns = 1, {}
+    for name, group in groups.items():
+        own = F.slice("_s", start, len(group))
+        columns[name] = F.transform(own, lambda p: vectors.relevancy(p, worst))
+        start += len(group)
+    return scored.withColumns(columns).drop("_s")
+
+
 def relevancy_scores(
     df: DataFrame,
     positives: Sequence[Sequence[float]],
@@ -85,39 +106,36 @@ def relevancy_scores(
     dense: bool = False,
 ) -> DataFrame:
     """Add ``relevancy``: one score per positive prompt, against all negatives."""
-    n = len(positives)
-    scored = similarities(df, [*positives, *negatives], "_s", dense)
-    worst = F.slice("_s", n + 1, len(negatives))
-    return scored.withColumn(
-        "relevancy", F.transform(F.slice("_s", 1, n), lambda p: vectors.relevancy(p, worst))
-    ).drop("_s")
+    return relevancy_groups(df, {"relevancy": positives}, negatives, dense)
 
 
-def query_confidence(scored: DataFrame, use_softmax: bool = False, by: Sequence[str] = ("image",)) -> DataFrame:
-    """Best prompt per pixel (``query``, first on a tie) and its ``confidence``.
+def query_confidence(
+    scored: DataFrame,
+    use_softmax: bool = False,
+    by: Sequence[str] = ("image",),
+    scores: str = "relevancy",
+    query: str = "query",
+    confidence: str = "confidence",
+) -> DataFrame:
+    """Best prompt per pixel (first on a tie) and how confident it is.
 
     Confidence is the score scaled by the smallest and largest score that prompt
     has in the whole image, or with ``use_softmax`` the softmax over prompts. The
     ranges are plain aggregates looked up per image; no window gathers an image.
     """
-    best = vectors.argmax(F.col("relevancy"))
+    best = vectors.argmax(F.col(scores))
     if use_softmax:
-        return scored.withColumns(
-            {"query": best, "confidence": F.array_max(vectors.softmax(F.col("relevancy")))}
-        )
+        return scored.withColumns({query: best, confidence: F.array_max(vectors.softmax(F.col(scores)))})
     by = list(by)
     ranges = (
-        scored.select(*by, F.posexplode("relevancy").alias("query", "_r"))
-        .groupBy(*by, "query")
+        scored.select(*by, F.posexplode(scores).alias(query, "_r"))
+        .groupBy(*by, query)
         .agg(F.min("_r").alias("_low"), F.max("_r").alias("_high"))
     )
-    picked = scored.withColumn("query", best)
+    value = vectors.pick(F.col(scores), F.col(query))
     return (
-        lookup_join(picked, ranges, [*by, "query"])
-        .withColumn(
-            "confidence",
-            vectors.min_max(vectors.pick(F.col("relevancy"), F.col("query")), F.col("_low"), F.col("_high")),
-        )
+        lookup_join(scored.withColumn(query, best), ranges, [*by, query])
+        .withColumn(confidence, vectors.min_max(value, F.col("_low"), F.col("_high")))
         .drop("_low", "_high")
     )
 

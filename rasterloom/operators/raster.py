@@ -129,6 +129,6 @@ def union_masks(masks: DataFrame) -> DataFrame:
     return masks.select(*PIXEL).distinct()
 
 
-def mask_by_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Prediction pixels that have a truth label."""
-    return pred.join(truth.select(*PIXEL), list(PIXEL), "left_semi")
+def mask_by_truth(rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """Rows of any layer or method whose pixel has a truth label."""
+    return rows.join(truth.select(*PIXEL), list(PIXEL), "left_semi")

@@ -8,11 +8,15 @@ worth of pixels at a time however large or popular an image is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.vectors import argmax
+
 TILE = 256
 TILE_KEY = ("image", "_ty", "_tx")
 
@@ -110,3 +114,50 @@ def stitch_windows(scores: DataFrame) -> DataFrame:
     return best.select(
         "image", "y", "x", (-F.col("b.neg")).alias("label"), F.col("b.score").alias("score")
     )
+
+
+def predict_windows(
+    pixels: DataFrame,
+    dims: DataFrame,
+    model: Callable[[np.ndarray], np.ndarray],
+    channels: Sequence[str] = ("r", "g", "b"),
+    window: int = 800,
+    stride: int = 600,
+) -> DataFrame:
+    """Run ``model`` on every window; it maps (h, w, c) to scores (h, w, classes).
+
+    One group is one window, so its size is fixed by ``window``. The result has
+    one ``scores`` array per pixel and window.
+    """
+    cut = cut_windows(pixels, dims, window, stride)
+    image_type = next(f.dataType.simpleString() for f in pixels.schema.fields if f.name == "image")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(group["y0"].iloc[0]), int(group["x0"].iloc[0])
+        ys, xs = group["y"].to_numpy() - y0, group["x"].to_numpy() - x0
+        block = np.zeros((ys.max() + 1, xs.max() + 1, len(channels)), dtype=np.float32)
+        block[ys, xs] = group[list(channels)].to_numpy(dtype=np.float32)
+        scores = np.asarray(model(block), dtype=np.float32)[ys, xs]
+        return pd.DataFrame(
+            {"image": group["image"], "y": group["y"], "x": group["x"], "scores": list(scores)}
+        )
+
+    return cut.groupBy("image", "y0", "x0").applyInPandas(
+        run, f"image {image_type}, y int, x int, scores array<float>"
+    )
+
+
+def stitch_scores(scores: DataFrame) -> DataFrame:
+    """Mean of a pixel's score arrays over its windows, then the best class (first on a tie).
+
+    A pixel has as many arrays as windows cover it, a handful set by window and stride.
+    """
+    gathered = scores.groupBy("image", "y", "x").agg(F.collect_list("scores").alias("s"))
+    zeros = F.transform(F.col("s")[0], lambda v: v.cast("double") * 0)
+    total = F.aggregate(
+        "s", zeros, lambda acc, one: F.zip_with(acc, one, lambda a, b: a + b.cast("double"))
+    )
+    mean = F.transform(total, lambda v: v / F.size("s"))
+    return gathered.withColumn("_m", mean).select(
+        "image", "y", "x", argmax(F.col("_m")).alias("label"), F.array_max("_m").alias("score")
+    )
