@@ -87,6 +87,10 @@ def window_grid(dims: DataFrame, window: int = 800, stride: int = 600) -> DataFr
     )
 
 
+def _covering(starts: Column, at: Column, window: int) -> Column:
+    return F.filter(starts, lambda s: (s <= at) & (at < s + F.lit(int(window))))
+
+
 def cut_windows(pixels: DataFrame, dims: DataFrame, window: int = 800, stride: int = 600) -> DataFrame:
     """Pixels with the origin of every window that covers them.
 
@@ -96,9 +100,7 @@ def cut_windows(pixels: DataFrame, dims: DataFrame, window: int = 800, stride: i
     sized = pixels.join(dims.select("image", "height", "width"), "image")
     for axis, size in (("y", "height"), ("x", "width")):
         starts = window_origins(F.col(size).cast("int"), window, stride)
-        at = F.col(axis)
-        covering = F.filter(starts, lambda s, at=at: (s <= at) & (at < s + F.lit(int(window))))
-        sized = sized.withColumn(f"{axis}0", F.explode(covering))
+        sized = sized.withColumn(f"{axis}0", F.explode(_covering(starts, F.col(axis), window)))
     return sized.drop("height", "width")
 
 

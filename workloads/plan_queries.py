@@ -99,9 +99,9 @@ def evaluate_report_overall(spark, folder):
 
 @query(
     "evaluate_report_binary",
-    f"""WITH {METHODS_SQL}, b AS (SELECT method, image, gt IN (1, 2, 3, 12) AS t, coalesce(pred IN (1, 2, 3, 12), false) AS p FROM al),
+    f"""WITH {METHODS_SQL}, bb AS (SELECT method, image, gt IN (1, 2, 3, 12) AS t, coalesce(pred IN (1, 2, 3, 12), false) AS p FROM al),
     c AS (SELECT method, image, count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE NOT p AND NOT t) AS tn,
-      count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND t) AS fn FROM b GROUP BY 1, 2)
+      count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND t) AS fn FROM bb GROUP BY 1, 2)
     SELECT method, count(*) AS n_images, round(avg(tp / (tp + fp + fn + 1e-9)), 6) AS iou, round(avg(tp / (tp + fp + 1e-9)), 6) AS "precision",
       round(avg(tp / (tp + fn + 1e-9)), 6) AS recall, round(avg((tp + tn) / (tp + tn + fp + fn + 1e-9)), 6) AS accuracy,
       round(avg(2 * tp / (2 * tp + fp + fn + 1e-9)), 6) AS f1 FROM c GROUP BY 1""",
@@ -116,8 +116,8 @@ VIEW_SQL = """CASE WHEN pred IN (1, 2, 3, 12) THEN 200 WHEN pred IN (101, 103, 1
 
 @query(
     "compare_methods",
-    f"""WITH {METHODS_SQL}, p AS (SELECT method, image, y, x, pred, {VIEW_SQL} AS pred_view FROM preds)
-    SELECT method, image, pred AS pred_class, pred_view, count(*) AS n FROM p JOIN truth USING (image, y, x) GROUP BY 1, 2, 3, 4""",
+    f"""WITH {METHODS_SQL}, pv AS (SELECT method, image, y, x, pred, {VIEW_SQL} AS pred_view FROM preds)
+    SELECT method, image, pred AS pred_class, pred_view, count(*) AS n FROM pv JOIN truth USING (image, y, x) GROUP BY 1, 2, 3, 4""",
 )
 def compare_methods(spark, folder):
     """Predictions of both methods on common images, limited to labelled pixels."""
