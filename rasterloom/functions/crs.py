@@ -1,8 +1,13 @@
-"""Two map projections as column arithmetic (published series, no datum grids).
+"""Two map projections, evaluated on column batches (published series, no datum grids).
 
 Transverse Mercator follows Krueger's n-series to fourth order; the conic is
 Lambert's conformal projection with two standard parallels. Angles are degrees
 at the interface, lengths metres unless ``unit`` says otherwise.
+
+As column expressions these series make generated methods too long for the JVM to
+compile, and every row then runs interpreted (measured: 45 us a row). Here each
+batch of x and y crosses to the worker as Arrow and is handled by array
+arithmetic; all other columns stay where they are.
 """
 
 from __future__ import annotations
@@ -10,9 +15,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Pair = tuple[np.ndarray, np.ndarray]
+
 
 @dataclass(frozen=True)
 class Ellipsoid:
@@ -31,20 +40,30 @@ class Ellipsoid:
     def n(self) -> float:
         return self.f / (2.0 - self.f)
 
+    def isometric(self, phi):
+        """Isometric latitude of a geodetic latitude (radians)."""
+        s = np.sin(phi)
+        return np.arctanh(s) - self.e * np.arctanh(self.e * s)
+
+    def latitude(self, chi: np.ndarray) -> np.ndarray:
+        """Geodetic latitude of a conformal latitude (radians), to fourth order."""
+        n = self.n
+        terms = (
+            2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+            7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+            56 * n**3 / 15 - 136 * n**4 / 35,
+            4279 * n**4 / 630,
+        )
+        return chi + sum(t * np.sin(2 * j * chi) for j, t in enumerate(terms, start=1))
+
 
 GRS80 = Ellipsoid(6378137.0, 298.257222101)
 WGS84 = Ellipsoid(6378137.0, 298.257223563)
 
 
-def _latitude_from_conformal(df: DataFrame, sin_chi: str, out: str, e: float) -> DataFrame:
-    """Geodetic latitude (radians) from the sine of the conformal latitude."""
-    df = df.withColumn("_psi", F.atanh(F.col(sin_chi))).withColumn(out, F.asin(F.col(sin_chi)))
-    for _ in range(6):
-        df = df.withColumn(
-            out,
-            F.asin(F.tanh(F.col("_psi") + F.lit(e) * F.atanh(F.lit(e) * F.sin(F.col(out))))),
-        )
-    return df.drop("_psi")
+def _series(terms: tuple[float, ...], z: np.ndarray, sign: float) -> np.ndarray:
+    """z + sign * sum of t_j sin(2jz) for complex z = northing + i easting."""
+    return z + sign * sum(t * np.sin(2 * j * z) for j, t in enumerate(terms, start=1))
 
 
 @dataclass(frozen=True)
@@ -57,10 +76,12 @@ class TransverseMercator:
     ellipsoid: Ellipsoid = GRS80
     unit: float = 1.0
 
-    def _radius(self) -> float:
+    @property
+    def _size(self) -> float:
         n = self.ellipsoid.n
-        return self.ellipsoid.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+        return self.k0 * self.ellipsoid.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
 
+    @property
     def _forward_terms(self) -> tuple[float, ...]:
         n = self.ellipsoid.n
         return (
@@ -70,6 +91,7 @@ class TransverseMercator:
             49561 * n**4 / 161280,
         )
 
+    @property
     def _inverse_terms(self) -> tuple[float, ...]:
         n = self.ellipsoid.n
         return (
@@ -79,64 +101,26 @@ class TransverseMercator:
             4397 * n**4 / 161280,
         )
 
-    def _origin_arc(self) -> float:
-        e, phi = self.ellipsoid.e, math.radians(self.lat0)
-        chi = math.asin(math.tanh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi))))
-        return chi + sum(t * math.sin(2 * (j + 1) * chi) for j, t in enumerate(self._forward_terms()))
-
-    def forward(self, df: DataFrame, lon: str, lat: str, x: str, y: str) -> DataFrame:
-        e = self.ellipsoid.e
-        phi = F.radians(F.col(lat))
-        df = df.withColumns(
-            {
-                "_t": F.sinh(F.atanh(F.sin(phi)) - F.lit(e) * F.atanh(F.lit(e) * F.sin(phi))),
-                "_l": F.radians(F.col(lon) - F.lit(self.lon0)),
-            }
-        ).withColumns(
-            {
-                "_xi": F.atan2(F.col("_t"), F.cos(F.col("_l"))),
-                "_eta": F.asinh(
-                    F.sin(F.col("_l"))
-                    / F.sqrt(F.col("_t") * F.col("_t") + F.cos(F.col("_l")) * F.cos(F.col("_l")))
-                ),
-            }
-        )
-        north, east = F.col("_xi"), F.col("_eta")
-        for j, term in enumerate(self._forward_terms(), start=1):
-            north = north + F.lit(term) * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
-            east = east + F.lit(term) * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
-        size = self.k0 * self._radius()
-        return df.withColumns(
-            {
-                x: (F.lit(self.false_east) + F.lit(size) * east) / F.lit(self.unit),
-                y: (F.lit(self.false_north) + F.lit(size) * (north - F.lit(self._origin_arc())))
-                / F.lit(self.unit),
-            }
-        ).drop("_t", "_l", "_xi", "_eta")
-
-    def inverse(self, df: DataFrame, x: str, y: str, lon: str, lat: str) -> DataFrame:
-        size = self.k0 * self._radius()
-        df = df.withColumns(
-            {
-                "_xi": (F.col(y) * F.lit(self.unit) - F.lit(self.false_north)) / F.lit(size)
-                + F.lit(self._origin_arc()),
-                "_eta": (F.col(x) * F.lit(self.unit) - F.lit(self.false_east)) / F.lit(size),
-            }
-        )
-        north, east = F.col("_xi"), F.col("_eta")
-        for j, term in enumerate(self._inverse_terms(), start=1):
-            north = north - F.lit(term) * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
-            east = east - F.lit(term) * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
-        df = df.withColumns({"_n": north, "_e": east}).withColumn(
-            "_s", F.sin(F.col("_n")) / F.cosh(F.col("_e"))
-        )
-        df = _latitude_from_conformal(df, "_s", "_phi", self.ellipsoid.e)
-        return df.withColumns(
-            {
-                lon: F.lit(self.lon0) + F.degrees(F.atan2(F.sinh(F.col("_e")), F.cos(F.col("_n")))),
-                lat: F.degrees(F.col("_phi")),
-            }
-        ).drop("_xi", "_eta", "_n", "_e", "_s", "_phi")
+    @property
+    def _origin(self) -> float:
+        """Northing of the latitude of origin, in units of ``_size``."""
+        chi = math.asin(math.tanh(float(self.ellipsoid.isometric(math.radians(self.lat0)))))
+        return float(np.real(_series(self._forward_terms, complex(chi), 1.0)))
+
+    def forward(self, lon: np.ndarray, lat: np.ndarray) -> Pair:
+        t = np.sinh(self.ellipsoid.isometric(np.radians(lat)))
+        away = np.radians(lon - self.lon0)
+        z = np.arctan2(t, np.cos(away)) + 1j * np.arcsinh(np.sin(away) / np.hypot(t, np.cos(away)))
+        z = _series(self._forward_terms, z, 1.0)
+        x = (self.false_east + self._size * z.imag) / self.unit
+        return x, (self.false_north + self._size * (z.real - self._origin)) / self.unit
+
+    def inverse(self, x: np.ndarray, y: np.ndarray) -> Pair:
+        z = (y * self.unit - self.false_north) / self._size + self._origin
+        z = _series(self._inverse_terms, z + 1j * (x * self.unit - self.false_east) / self._size, -1.0)
+        chi = np.arcsin(np.sin(z.real) / np.cosh(z.imag))
+        lon = self.lon0 + np.degrees(np.arctan2(np.sinh(z.imag), np.cos(z.real)))
+        return lon, np.degrees(self.ellipsoid.latitude(chi))
 
 
 @dataclass(frozen=True)
@@ -150,61 +134,34 @@ class LambertConic:
     ellipsoid: Ellipsoid = GRS80
     unit: float = 1.0
 
+    @property
     def _constants(self) -> tuple[float, float, float]:
-        e, a = self.ellipsoid.e, self.ellipsoid.a
+        """Cone constant, radius factor and radius at the latitude of origin."""
+        e, psi = self.ellipsoid.e, self.ellipsoid.isometric
 
         def m(phi: float) -> float:
             return math.cos(phi) / math.sqrt(1 - (e * math.sin(phi)) ** 2)
 
-        def psi(phi: float) -> float:
-            return math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi))
-
         p0, p1, p2 = (math.radians(v) for v in (self.lat0, self.lat1, self.lat2))
-        cone = (
-            math.sin(p1)
-            if p1 == p2
-            else (math.log(m(p1)) - math.log(m(p2))) / (psi(p2) - psi(p1))
-        )
-        size = a * m(p1) * math.exp(cone * psi(p1)) / cone
-        return cone, size, size * math.exp(-cone * psi(p0))
-
-    def forward(self, df: DataFrame, lon: str, lat: str, x: str, y: str) -> DataFrame:
-        cone, size, rho0 = self._constants()
-        e = self.ellipsoid.e
-        phi = F.radians(F.col(lat))
-        df = df.withColumns(
-            {
-                "_rho": F.lit(size)
-                * F.exp(F.lit(-cone) * (F.atanh(F.sin(phi)) - F.lit(e) * F.atanh(F.lit(e) * F.sin(phi)))),
-                "_th": F.lit(cone) * F.radians(F.col(lon) - F.lit(self.lon0)),
-            }
-        )
-        return df.withColumns(
-            {
-                x: (F.lit(self.false_east) + F.col("_rho") * F.sin(F.col("_th"))) / F.lit(self.unit),
-                y: (F.lit(self.false_north + rho0) - F.col("_rho") * F.cos(F.col("_th")))
-                / F.lit(self.unit),
-            }
-        ).drop("_rho", "_th")
-
-    def inverse(self, df: DataFrame, x: str, y: str, lon: str, lat: str) -> DataFrame:
-        cone, size, rho0 = self._constants()
-        sign = 1.0 if cone > 0 else -1.0
-        df = df.withColumns(
-            {
-                "_dx": F.lit(sign) * (F.col(x) * F.lit(self.unit) - F.lit(self.false_east)),
-                "_dy": F.lit(sign)
-                * (F.lit(rho0 + self.false_north) - F.col(y) * F.lit(self.unit)),
-            }
-        ).withColumn("_rho", F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")))
-        df = df.withColumn("_s", F.tanh(F.log(F.lit(abs(size)) / F.col("_rho")) / F.lit(cone)))
-        df = _latitude_from_conformal(df, "_s", "_phi", self.ellipsoid.e)
-        return df.withColumns(
-            {
-                lon: F.lit(self.lon0) + F.degrees(F.atan2(F.col("_dx"), F.col("_dy"))) / F.lit(cone),
-                lat: F.degrees(F.col("_phi")),
-            }
-        ).drop("_dx", "_dy", "_rho", "_s", "_phi")
+        cone = math.sin(p1) if p1 == p2 else math.log(m(p1) / m(p2)) / float(psi(p2) - psi(p1))
+        size = self.ellipsoid.a * m(p1) * math.exp(cone * float(psi(p1))) / cone
+        return cone, size, size * math.exp(-cone * float(psi(p0)))
+
+    def forward(self, lon: np.ndarray, lat: np.ndarray) -> Pair:
+        cone, size, rho0 = self._constants
+        rho = size * np.exp(-cone * self.ellipsoid.isometric(np.radians(lat)))
+        theta = cone * np.radians(lon - self.lon0)
+        x = (self.false_east + rho * np.sin(theta)) / self.unit
+        return x, (self.false_north + rho0 - rho * np.cos(theta)) / self.unit
+
+    def inverse(self, x: np.ndarray, y: np.ndarray) -> Pair:
+        cone, size, rho0 = self._constants
+        sign = math.copysign(1.0, cone)
+        dx = sign * (x * self.unit - self.false_east)
+        dy = sign * (rho0 + self.false_north - y * self.unit)
+        chi = np.arcsin(np.tanh(np.log(abs(size) / np.hypot(dx, dy)) / cone))
+        lon = self.lon0 + np.degrees(np.arctan2(dx, dy)) / cone
+        return lon, np.degrees(self.ellipsoid.latitude(chi))
 
 
 Projection = TransverseMercator | LambertConic
@@ -214,5 +171,12 @@ def reproject_xy(df: DataFrame, source: Projection, target: Projection) -> DataF
     """Move x, y from one projection to the other; z is untouched, equal systems are a no-op."""
     if source == target:
         return df
-    df = source.inverse(df, "x", "y", "_lon", "_lat")
-    return target.forward(df, "_lon", "_lat", "x", "y").drop("_lon", "_lat")
+
+    @F.pandas_udf("x double, y double")
+    def move(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = target.forward(*source.inverse(x.to_numpy(np.float64), y.to_numpy(np.float64)))
+        return pd.DataFrame({"x": out[0], "y": out[1]})
+
+    return df.withColumn("_moved", move("x", "y")).withColumns(
+        {"x": F.col("_moved.x"), "y": F.col("_moved.y")}
+    ).drop("_moved")

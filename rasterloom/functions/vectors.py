@@ -11,8 +11,17 @@ EPS = 1e-8
 
 
 def vec(values: Sequence[float]) -> Column:
-    """A constant vector."""
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant vector, as one parsed literal instead of a call per number."""
+    return F.expr(_literal(values))
+
+
+def matrix(rows: Sequence[Sequence[float]]) -> Column:
+    """A constant array of vectors."""
+    return F.expr(f"array({', '.join(_literal(r) for r in rows)})")
+
+
+def _literal(values: Sequence[float]) -> str:
+    return f"array({', '.join(f'{float(v)!r}D' for v in values)})"
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rasterloom.functions import vectors
 from rasterloom.operators.joins import lookup_join
+from rasterloom.session import cut_lineage
 
 PIXEL = ("image", "y", "x")
 
@@ -75,7 +76,8 @@ def similarities(df: DataFrame, prompts: Sequence[Sequence[float]], target: str,
     if dense:
         table = np.asarray(prompts, dtype=np.float64)
         return map_vectors(df, lambda x: x.astype(np.float64) @ table.T, "feature", target)
-    return df.withColumn(target, F.array(*[vectors.dot(F.col("feature"), vectors.vec(p)) for p in prompts]))
+    table = vectors.matrix(prompts)
+    return df.withColumn(target, F.transform(table, lambda p: vectors.dot(F.col("feature"), p)))
 
 
 def relevancy_groups(
@@ -109,35 +111,54 @@ def relevancy_scores(
     return relevancy_groups(df, {"relevancy": positives}, negatives, dense)
 
 
+def score_ranges(scored: DataFrame, sizes: Mapping[str, int], by: Sequence[str] = ("image",)) -> DataFrame:
+    """Smallest and largest score of every prompt per image, as arrays ``<column>_low`` and ``_high``.
+
+    ``sizes`` gives each score column and its number of prompts. All columns are
+    ranged in one pass with one aggregate per prompt, so no pixel is multiplied
+    into prompt rows.
+    """
+    bounds = [
+        f(F.get(name, F.lit(i))).alias(f"_{kind}_{name}_{i}")
+        for name, n in sizes.items()
+        for i in range(n)
+        for kind, f in (("low", F.min), ("high", F.max))
+    ]
+    gathered = [
+        F.array(*[F.col(f"_{kind}_{name}_{i}") for i in range(n)]).alias(f"{name}_{kind}")
+        for name, n in sizes.items()
+        for kind in ("low", "high")
+    ]
+    return scored.groupBy(*by).agg(*bounds).select(*by, *gathered)
+
+
 def query_confidence(
-    scored: DataFrame,
-    use_softmax: bool = False,
-    by: Sequence[str] = ("image",),
-    scores: str = "relevancy",
-    query: str = "query",
-    confidence: str = "confidence",
+    scored: DataFrame, sizes: Mapping[str, int], use_softmax: bool = False, by: Sequence[str] = ("image",)
 ) -> DataFrame:
-    """Best prompt per pixel (first on a tie) and how confident it is.
+    """Best prompt per pixel and its confidence: ``<column>_query`` and ``<column>_confidence``.
 
-    Confidence is the score scaled by the smallest and largest score that prompt
-    has in the whole image, or with ``use_softmax`` the softmax over prompts. The
-    ranges are plain aggregates looked up per image; no window gathers an image.
+    The first prompt wins a tie. Confidence is the score scaled by the smallest
+    and largest score that prompt has in the whole image, or with ``use_softmax``
+    the softmax over prompts. Ranges are one small row per image, looked up by
+    image; no window gathers an image in one task.
     """
-    best = vectors.argmax(F.col(scores))
+    best = {f"{name}_query": vectors.argmax(F.col(name)) for name in sizes}
     if use_softmax:
-        return scored.withColumns({query: best, confidence: F.array_max(vectors.softmax(F.col(scores)))})
+        return scored.withColumns(
+            {**best, **{f"{name}_confidence": F.array_max(vectors.softmax(F.col(name))) for name in sizes}}
+        )
     by = list(by)
-    ranges = (
-        scored.select(*by, F.posexplode(scores).alias(query, "_r"))
-        .groupBy(*by, query)
-        .agg(F.min("_r").alias("_low"), F.max("_r").alias("_high"))
-    )
-    value = vectors.pick(F.col(scores), F.col(query))
-    return (
-        lookup_join(scored.withColumn(query, best), ranges, [*by, query])
-        .withColumn(confidence, vectors.min_max(value, F.col("_low"), F.col("_high")))
-        .drop("_low", "_high")
-    )
+    ranges = cut_lineage(score_ranges(scored, sizes, by))
+    out = lookup_join(scored.withColumns(best), ranges, by)
+
+    def at(name: str, source: str) -> Column:
+        return vectors.pick(F.col(source), F.col(f"{name}_query"))
+
+    confidence = {
+        f"{name}_confidence": vectors.min_max(at(name, name), at(name, f"{name}_low"), at(name, f"{name}_high"))
+        for name in sizes
+    }
+    return out.withColumns(confidence).drop(*[f"{name}_{k}" for name in sizes for k in ("low", "high")])
 
 
 def semantic_argmax(
@@ -156,11 +177,13 @@ def semantic_argmax(
     return scored.withColumn("label", vectors.pick(ids, vectors.argmax(F.col("_s")))).drop("_s")
 
 
-def label_above(confident: DataFrame, class_ids: Sequence[int], threshold: float) -> DataFrame:
+def label_above(
+    confident: DataFrame, class_ids: Sequence[int], threshold: float, scores: str = "relevancy"
+) -> DataFrame:
     """Class of the best prompt where the confidence reaches ``threshold``."""
     ids = F.array(*[F.lit(int(c)) for c in class_ids])
-    return confident.filter(F.col("confidence") >= F.lit(float(threshold))).select(
-        *PIXEL, vectors.pick(ids, F.col("query")).alias("label")
+    return confident.filter(F.col(f"{scores}_confidence") >= F.lit(float(threshold))).select(
+        *PIXEL, vectors.pick(ids, F.col(f"{scores}_query")).alias("label")
     )
 
 

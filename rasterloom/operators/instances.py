@@ -115,7 +115,7 @@ def classify_instances(
         return instances.select("instance_id", F.lit(None).cast("int").alias("label"))
     unit = vectors.l2_normalize(F.col("feature"))
     scored = instances.withColumn("_f", unit).withColumn(
-        "_s", F.array(*[vectors.dot(F.col("_f"), vectors.vec(v)) for _, v in table])
+        "_s", F.transform(vectors.matrix([v for _, v in table]), lambda p: vectors.dot(F.col("_f"), p))
     )
     ids = F.array(*[F.lit(c) for c, _ in table])
     best = F.array_max("_s")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators.raster import align_layers
@@ -80,9 +80,9 @@ def class_counts(counts: DataFrame, by: Sequence[str] = ("image",)) -> DataFrame
             ]
         )
     )
-    totals = sums.groupBy(*by).agg(F.sum("pixels").alias("total"))
-    present = sums.filter(F.col("actual") > 0)
-    out = present.join(totals, by) if by else present.withColumn("total", totals.scalar())
+    # the rows are already one per class, so a window over them stays small
+    totals = F.sum("pixels").over(Window.partitionBy(*by))
+    out = sums.withColumn("total", totals).filter(F.col("actual") > 0)
     boundary = (
         [
             F.col("b_both").alias("boundary_inter"),

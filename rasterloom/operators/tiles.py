@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.functions.vectors import argmax
 
@@ -87,8 +88,14 @@ def window_grid(dims: DataFrame, window: int = 800, stride: int = 600) -> DataFr
     )
 
 
-def _covering(starts: Column, at: Column, window: int) -> Column:
-    return F.filter(starts, lambda s: (s <= at) & (at < s + F.lit(int(window))))
+def covering_origins(at: Column, size: Column, window: int, stride: int) -> Column:
+    """Origins of the windows that cover a position: the regular ones and the flush one."""
+    first = F.greatest(F.ceil((at - F.lit(window - 1)) / F.lit(stride)), F.lit(0)).cast("int")
+    last = F.floor(at / F.lit(stride)).cast("int")
+    steps = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    regular = F.transform(steps, lambda k: k * F.lit(stride))
+    flush = F.greatest(size - F.lit(window), F.lit(0))
+    return F.when((at >= flush) & (flush % F.lit(stride) != 0), F.array_append(regular, flush)).otherwise(regular)
 
 
 def cut_windows(pixels: DataFrame, dims: DataFrame, window: int = 800, stride: int = 600) -> DataFrame:
@@ -99,8 +106,8 @@ def cut_windows(pixels: DataFrame, dims: DataFrame, window: int = 800, stride: i
     """
     sized = pixels.join(dims.select("image", "height", "width"), "image")
     for axis, size in (("y", "height"), ("x", "width")):
-        starts = window_origins(F.col(size).cast("int"), window, stride)
-        sized = sized.withColumn(f"{axis}0", F.explode(_covering(starts, F.col(axis), window)))
+        covering = covering_origins(F.col(axis), F.col(size).cast("int"), window, stride)
+        sized = sized.withColumn(f"{axis}0", F.explode(covering))
     return sized.drop("height", "width")
 
 
@@ -132,21 +139,28 @@ def predict_windows(
     one ``scores`` array per pixel and window.
     """
     cut = cut_windows(pixels, dims, window, stride)
-    image_type = next(f.dataType.simpleString() for f in pixels.schema.fields if f.name == "image")
+    image_field = pixels.schema["image"]
+    schema = T.StructType(
+        [
+            image_field,
+            T.StructField("y", T.IntegerType()),
+            T.StructField("x", T.IntegerType()),
+            T.StructField("scores", T.ArrayType(T.FloatType())),
+        ]
+    )
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(group["y0"].iloc[0]), int(group["x0"].iloc[0])
+    def run(group: pa.Table) -> pa.Table:
+        y0, x0 = group["y0"][0].as_py(), group["x0"][0].as_py()
         ys, xs = group["y"].to_numpy() - y0, group["x"].to_numpy() - x0
         block = np.zeros((ys.max() + 1, xs.max() + 1, len(channels)), dtype=np.float32)
-        block[ys, xs] = group[list(channels)].to_numpy(dtype=np.float32)
-        scores = np.asarray(model(block), dtype=np.float32)[ys, xs]
-        return pd.DataFrame(
-            {"image": group["image"], "y": group["y"], "x": group["x"], "scores": list(scores)}
-        )
-
-    return cut.groupBy("image", "y0", "x0").applyInPandas(
-        run, f"image {image_type}, y int, x int, scores array<float>"
-    )
+        for i, channel in enumerate(channels):
+            block[ys, xs, i] = group[channel].to_numpy()
+        scores = np.ascontiguousarray(np.asarray(model(block), dtype=np.float32)[ys, xs])
+        offsets = np.arange(len(scores) + 1, dtype=np.int32) * scores.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.reshape(-1)))
+        return pa.table({"image": group["image"], "y": group["y"], "x": group["x"], "scores": lists})
+
+    return cut.groupBy("image", "y0", "x0").applyInArrow(run, schema)
 
 
 def stitch_scores(scores: DataFrame) -> DataFrame:

@@ -95,16 +95,14 @@ class FeaturePredictor:
             pixels = features.decode_vectors(pixels, self.decoder)
         groups = {"_b": self.binary_prompts, "_c": self.class_prompts}
         scored = features.relevancy_groups(pixels, groups, self.negatives, self.dense).drop("feature")
-        for scores in groups:
-            scored = features.query_confidence(
-                scored, self.use_softmax, scores=scores, query=f"{scores}q", confidence=f"{scores}conf"
-            )
+        sizes = {name: len(prompts) for name, prompts in groups.items()}
+        scored = features.query_confidence(scored, sizes, self.use_softmax)
         ids = F.array(*[F.lit(int(c)) for c in self.class_ids])
         return scored.select(
             *raster.PIXEL,
-            F.when(F.col("_bconf") >= F.lit(float(self.binary_threshold)), F.lit(1)).alias("pred_binary"),
+            F.when(F.col("_b_confidence") >= F.lit(float(self.binary_threshold)), F.lit(1)).alias("pred_binary"),
             features.threshold_label(
-                vectors.pick(ids, F.col("_cq")), F.col("_cconf"), self.class_threshold
+                vectors.pick(ids, F.col("_c_query")), F.col("_c_confidence"), self.class_threshold
             ).alias("pred_class"),
         )
 

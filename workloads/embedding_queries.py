@@ -163,6 +163,16 @@ def _relevant(spark, folder, dense: bool = False):
     return features.relevancy_scores(_pixels(spark, folder), positives, negatives, dense)
 
 
+def _confidence_rows(confident):
+    return confident.select(
+        "image",
+        "y",
+        "x",
+        F.col("relevancy_query").alias("query"),
+        r6("relevancy_confidence").alias("confidence"),
+    )
+
+
 RELEVANCY_SQL = f"""WITH {PIXELS_SQL} SELECT image, y, x, q AS query, round(r, 6) AS relevancy FROM rel"""
 
 
@@ -188,8 +198,7 @@ def relevancy_dense(spark, folder):
     f"WITH {PIXELS_SQL} SELECT image, y, x, query, round(confidence, 6) AS confidence FROM conf",
 )
 def confidence_norm(spark, folder):
-    confident = features.query_confidence(_relevant(spark, folder))
-    return rounded(confident, "confidence").select("image", "y", "x", "query", "confidence")
+    return _confidence_rows(features.query_confidence(_relevant(spark, folder), {"relevancy": 8}))
 
 
 @query(
@@ -198,8 +207,9 @@ def confidence_norm(spark, folder):
     FROM top t JOIN rel USING (vec_id) GROUP BY t.image, t.y, t.x, t.q, t.r""",
 )
 def confidence_softmax(spark, folder):
-    confident = features.query_confidence(_relevant(spark, folder), use_softmax=True)
-    return rounded(confident, "confidence").select("image", "y", "x", "query", "confidence")
+    return _confidence_rows(
+        features.query_confidence(_relevant(spark, folder), {"relevancy": 8}, use_softmax=True)
+    )
 
 
 @query(
@@ -207,7 +217,7 @@ def confidence_softmax(spark, folder):
     f"WITH {PIXELS_SQL} SELECT image, y, x, CAST(500 + query AS INT) AS label FROM conf WHERE confidence >= 0.4",
 )
 def feature_labels(spark, folder):
-    confident = features.query_confidence(_relevant(spark, folder))
+    confident = features.query_confidence(_relevant(spark, folder), {"relevancy": 8})
     return features.label_above(confident, [500 + i for i in range(8)], 0.4)
 
 

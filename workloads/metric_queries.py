@@ -231,7 +231,7 @@ masks AS (SELECT image, 'gt' AS layer, gt AS label, y, x FROM scored
     FROM masks m LEFT JOIN edge e USING (image, layer, label, y, x) WHERE m.layer = 'gt' GROUP BY 1, 2""",
 )
 def boundary(spark, folder):
-    marked = neighborhood.mark_boundary(fuse_priority(spark, folder).withColumn("_d", F.lit(1)), tile=64)
+    marked = neighborhood.mark_boundary(fuse_priority(spark, folder).withColumn("_d", F.lit(1)))
     return marked.groupBy("image", "label").agg(
         F.count("*").alias("pixels"), F.count_if("boundary").alias("boundary_pixels")
     )
@@ -265,7 +265,7 @@ inter_counts AS (SELECT a.image, a.label, count(*) AS i FROM edge a JOIN edge b
 def boundary_iou(spark, folder):
     dims = views.raster_dims(views.raster(spark, folder))
     sized = neighborhood.with_boundary_width(_aligned(spark, folder), dims)
-    counts = metrics.class_counts(neighborhood.pixel_outcomes(sized, tile=64))
+    counts = metrics.class_counts(neighborhood.pixel_outcomes(sized))
     return rounded(metrics.class_metrics(counts), "boundary_iou").select(
         "image", "class_id", "boundary_inter", "boundary_union", "boundary_iou"
     )
