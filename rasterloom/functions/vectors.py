@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,8 +34,17 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A lambda evaluates what it refers to anew for every element; a norm used
+    inside a transform would be summed once per component without this.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scale(a: Column, divisor: Column) -> Column:
-    return F.transform(a, lambda v: v.cast("double") / divisor)
+    return bind(divisor, lambda d: F.transform(a, lambda v: v.cast("double") / d))
 
 
 def l2_normalize(a: Column, eps: float = EPS) -> Column:
@@ -43,21 +52,30 @@ def l2_normalize(a: Column, eps: float = EPS) -> Column:
     return scale(a, norm(a) + F.lit(eps))
 
 
-def relevancy(positive: Column, negatives: Column, temperature: float = 10.0) -> Column:
-    """Smallest two-way softmax of the positive score against each negative score.
+def relevancy(positives: Column, negatives: Column, temperature: float = 10.0) -> Column:
+    """Per positive score its smallest two-way softmax against the negative scores.
 
     The softmax falls as the negative grows, so only the largest negative counts.
     """
-    gap = positive - F.array_max(negatives)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-temperature) * gap))
+    one = F.lit(1.0)
+
+    def against(worst: Column) -> Column:
+        return F.transform(positives, lambda p: one / (one + F.exp(F.lit(-temperature) * (p - worst))))
+
+    return bind(F.array_max(negatives), against)
 
 
 def softmax(scores: Column, temperature: float = 1.0) -> Column:
     """Softmax over an array, shifted by its maximum so that exp cannot overflow."""
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda s: F.exp(F.lit(temperature) * (s - top)))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
-    return F.transform(weights, lambda w: w / total)
+
+    def weights(top: Column) -> Column:
+        return F.transform(scores, lambda s: F.exp(F.lit(temperature) * (s - top)))
+
+    def shares(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda acc, v: acc + v)
+        return bind(total, lambda t: F.transform(w, lambda v: v / t))
+
+    return bind(bind(F.array_max(scores), weights), shares)
 
 
 def argmax(scores: Column) -> Column:

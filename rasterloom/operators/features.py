@@ -96,7 +96,7 @@ def relevancy_groups(
     start, columns = 1, {}
     for name, group in groups.items():
         own = F.slice("_s", start, len(group))
-        columns[name] = F.transform(own, lambda p: vectors.relevancy(p, worst))
+        columns[name] = vectors.relevancy(own, worst)
         start += len(group)
     return scored.withColumns(columns).drop("_s")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import vectors
 from rasterloom.operators.joins import lookup_join
+from rasterloom.session import cut_lineage
 
 
 def select_by_share(pixels: DataFrame, threshold: float = 0.7, by: Sequence[str] = ("image",)) -> DataFrame:
@@ -50,7 +51,8 @@ def rasterize(pixels: DataFrame, labels: DataFrame, on: Sequence[str] = ("instan
 
     ``labels`` is (instance_id, label), or (image, instance_id, label) with ``on``.
     """
-    wanted = labels.filter(F.col("label").isNotNull()).select(*on, "label")
+    # checkpointed, so that its size can be looked at without computing it twice
+    wanted = cut_lineage(labels.filter(F.col("label").isNotNull()).select(*on, "label"))
     return lookup_join(pixels, wanted, on).select("image", "y", "x", "label")
 
 

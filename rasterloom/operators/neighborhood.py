@@ -69,39 +69,48 @@ def mark_boundary(
     )
 
 
-def pixel_outcomes(aligned: DataFrame, by: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+def pixel_outcomes(aligned: DataFrame, preds: Sequence[str] = ("pred",), tile: int = TILE) -> DataFrame:
     """How often each (truth, prediction, on truth boundary, on prediction boundary) occurs.
 
-    ``aligned`` has image, y, x, gt, pred and ``_d``; only pixels with a truth label
-    count. The result is a handful of rows per image from which both the region
-    and the boundary scores follow, so the pixels are shuffled once for all of them.
+    ``aligned`` has image, y, x, gt, ``_d`` and one label column per prediction;
+    only pixels with a truth label count. ``pred_no`` is the prediction's place in
+    ``preds``. The truth is eroded once for all predictions. The result is a
+    handful of rows per image from which both the region and the boundary scores
+    follow, so the pixels are shuffled once for all of them.
     """
-    scored = aligned.filter(F.col("gt").isNotNull())
     layers = F.array(
-        F.struct(F.lit(0).alias("layer"), F.col("gt").alias("label")),
-        F.struct(F.lit(1).alias("layer"), F.col("pred").alias("label")),
+        *[F.struct(F.lit(i).alias("layer"), F.col(c).alias("label")) for i, c in enumerate(("gt", *preds))]
     )
-    by = list(by)
-    same = [*by, "layer", "label"]
     stacked = (
-        scored.withColumn("_l", F.explode(layers))
-        .select("image", *by, "y", "x", "_d", "_l.*")
-        .filter((F.col("layer") == 0) | F.col("label").isNotNull())
+        aligned.filter(F.col("gt").isNotNull())
+        .select("image", "y", "x", "_d", F.explode(layers).alias("_l"))
+        .select("image", "y", "x", "_d", "_l.*")
+        .filter(F.col("label").isNotNull())
     )
-    # Still partitioned by tile, so bringing the two layers together is local.
-    marked = mark_boundary(stacked, same, tile, keep_tile=True)
+    # Still partitioned by tile, so bringing the layers together is local.
+    marked = mark_boundary(stacked, ("layer", "label"), tile, keep_tile=True)
+    at = range(len(preds) + 1)
 
-    def of(layer: int, value: Column) -> Column:
-        return F.max(F.when(F.col("layer") == layer, value))
+    def of(layer: int, value: str) -> Column:
+        return F.max(F.when(F.col("layer") == layer, F.col(value)))
 
-    pixels = marked.groupBy(*TILE_KEY, *by, "y", "x").agg(
-        of(0, F.col("label")).alias("gt"),
-        of(1, F.col("label")).alias("pred"),
-        of(0, F.col("boundary")).alias("gt_boundary"),
-        F.coalesce(of(1, F.col("boundary")), F.lit(False)).alias("pred_boundary"),
+    pixels = marked.groupBy(*TILE_KEY, "y", "x").agg(
+        *[of(i, "label").alias(f"_l{i}") for i in at], *[of(i, "boundary").alias(f"_b{i}") for i in at]
     )
-    return pixels.groupBy(*by, "image", "gt", "pred", "gt_boundary", "pred_boundary").agg(
-        F.count("*").alias("n")
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(i - 1).alias("pred_no"),
+                F.col(f"_l{i}").alias("pred"),
+                F.coalesce(f"_b{i}", F.lit(False)).alias("pred_boundary"),
+            )
+            for i in at[1:]
+        ]
+    )
+    return (
+        pixels.select("image", F.col("_l0").alias("gt"), F.col("_b0").alias("gt_boundary"), F.explode(each).alias("_p"))
+        .groupBy("image", "gt", "gt_boundary", "_p.pred_no", "_p.pred", "_p.pred_boundary")
+        .agg(F.count("*").alias("n"))
     )
 
 

@@ -26,19 +26,23 @@ def drop_unknown(pixels: DataFrame, classes: Iterable[int] | DataFrame) -> DataF
     return pixels.filter(F.col("label").isin([int(c) for c in classes]))
 
 
-def align_layers(layers: Mapping[str, DataFrame], key: Sequence[str] = PIXEL) -> DataFrame:
-    """One row per pixel with a column per layer, NULL where a layer has no label.
+def align_columns(tables: Sequence[DataFrame], key: Sequence[str] = PIXEL) -> DataFrame:
+    """One row per pixel with the value columns of all tables, NULL where one has no row.
 
-    The layers are stacked and grouped once, so any number of them costs a single
-    shuffle and needs no sort. Each layer has at most one row per pixel.
+    The tables are stacked and grouped once, so any number of them costs a single
+    shuffle and needs no sort. Each table has at most one row per pixel, and its
+    value columns (all others than the key) are its own.
     """
-    stacked = None
-    for name, layer in layers.items():
-        rows = layer.select(
-            *key, *[(F.col("label") if n == name else F.lit(None).cast("int")).alias(n) for n in layers]
-        )
-        stacked = rows if stacked is None else stacked.unionByName(rows)
-    return stacked.groupBy(*key).agg(*[F.max(n).alias(n) for n in layers])
+    stacked = tables[0]
+    for other in tables[1:]:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    values = [c for c in stacked.columns if c not in key]
+    return stacked.groupBy(*key).agg(*[F.max(c).alias(c) for c in values])
+
+
+def align_layers(layers: Mapping[str, DataFrame], key: Sequence[str] = PIXEL) -> DataFrame:
+    """One row per pixel with the label of each named layer."""
+    return align_columns([df.select(*key, F.col("label").alias(name)) for name, df in layers.items()], key)
 
 
 def fuse_priority(primary: DataFrame, secondary: DataFrame) -> DataFrame:

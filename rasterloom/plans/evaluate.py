@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import labels
 from rasterloom.operators import metrics, neighborhood, raster
+from rasterloom.session import cut_lineage
 
 # The classes that count as positive at the binary level by default.
 DEFAULT_POSITIVE = (1, 2, 3, 12)
@@ -27,24 +28,44 @@ class EvaluationConfig:
 
 @dataclass
 class Evaluation:
-    """Lazy result tables; each runs when used."""
+    """Lazy result tables; each runs when used.
 
-    aligned: DataFrame
+    ``pixels`` has one row per pixel with the truth and all predictions,
+    ``outcomes`` the counts that the class scores follow from.
+    """
+
+    pixels: DataFrame
     outcomes: DataFrame
+    methods: tuple[str, ...]
     config: EvaluationConfig
-    extra: dict = field(default_factory=dict)
+
+    def _per_method(self, *kinds: str) -> Column:
+        """Array of (method, columns of that method) for a pixel."""
+        return F.array(
+            *[
+                F.struct(F.lit(m).alias("method"), *[F.col(f"_{k}{i}").alias(f"pred_{k}") for k in kinds])
+                for i, m in enumerate(self.methods)
+            ]
+        )
 
     @property
     def image_binary(self) -> DataFrame:
         """Binary scores per method and image."""
         truth = labels.to_binary(F.col("gt"), self.config.positive_ids)
-        counted = self.aligned.select("method", "image", truth.alias("gt"), F.col("pred_binary").alias("pred"))
-        return metrics.binary_metrics(metrics.binary_counts(counted, by=("method", "image")))
+        counted = (
+            self.pixels.filter(F.col("gt").isNotNull())
+            .select("image", truth.alias("gt"), F.explode(self._per_method("binary")).alias("_m"))
+            .select("image", "gt", "_m.*")
+        )
+        counts = metrics.binary_counts(counted, by=("method", "image"), pred="pred_binary")
+        return metrics.binary_metrics(counts)
 
     @property
     def image_class(self) -> DataFrame:
         """Class scores per method and image, for the classes in the image's truth."""
-        return metrics.class_metrics(metrics.class_counts(self.outcomes, by=("method", "image")))
+        scores = metrics.class_metrics(metrics.class_counts(self.outcomes, by=("pred_no", "image")))
+        names = F.array(*[F.lit(m) for m in self.methods])
+        return scores.withColumn("method", F.get(names, F.col("pred_no"))).drop("pred_no")
 
     @property
     def image_summary(self) -> DataFrame:
@@ -71,15 +92,17 @@ class Evaluation:
         """Per pixel: binary and class prediction and the two-level view of it."""
         pos, neg = self.config.positive_ids, self.config.negative_ids
         view = labels.collapse_levels(
-            F.col("pred"),
+            F.col("pred_class"),
             pos,
             neg,
             self.config.positive_id,
             self.config.negative_id,
             force_positive=F.col("pred_binary") == 1,
         )
-        return self.extra["predicted"].select(
-            "method", *raster.PIXEL, "pred_binary", F.col("pred").alias("pred_class"), view.alias("pred_view")
+        return (
+            self.pixels.select(*raster.PIXEL, F.explode(self._per_method("binary", "class")).alias("_m"))
+            .select(*raster.PIXEL, "_m.*")
+            .withColumn("pred_view", view)
         )
 
 
@@ -99,35 +122,24 @@ def evaluate(
     region and boundary counts then come from one further shuffle by tile.
     """
     known = tuple(config.class_names)
-    layers = {
-        "_primary": raster.drop_unknown(primary, known),
-        "_secondary": raster.drop_unknown(secondary, known),
-    }
+    tables = [
+        raster.drop_unknown(primary, known).withColumnRenamed("label", "_primary"),
+        raster.drop_unknown(secondary, known).withColumnRenamed("label", "_secondary"),
+    ]
     for i, (method, pred) in enumerate(predictions.items()):
         if prediction_dims and method in prediction_dims:
             pred = raster.resample_nearest(pred, prediction_dims[method], dims)
-        for kind in ("binary", "class"):
-            layers[f"_{kind}{i}"] = pred.select(*raster.PIXEL, F.col(f"pred_{kind}").alias("label"))
-    per_method = F.array(
-        *[
-            F.struct(
-                F.lit(method).alias("method"),
-                F.col(f"_binary{i}").alias("pred_binary"),
-                F.col(f"_class{i}").alias("pred"),
+        tables.append(
+            pred.select(
+                *raster.PIXEL, F.col("pred_binary").alias(f"_binary{i}"), F.col("pred_class").alias(f"_class{i}")
             )
-            for i, method in enumerate(predictions)
-        ]
-    )
-    predicted = (
-        raster.align_layers(layers)
-        .withColumn("gt", F.coalesce("_primary", "_secondary"))
-        .withColumn("_m", F.explode(per_method))
-        .select(*raster.PIXEL, "gt", "_m.*")
+        )
+    wide = raster.align_columns([t.select(*raster.PIXEL, *t.columns[3:]) for t in tables]).withColumn(
+        "gt", F.coalesce("_primary", "_secondary")
     )
-    aligned = predicted.filter(F.col("gt").isNotNull())
-    sized = neighborhood.with_boundary_width(aligned, dims, config.boundary_ratio)
-    outcomes = neighborhood.pixel_outcomes(sized, by=("method",))
-    return Evaluation(aligned, outcomes, config, {"predicted": predicted})
+    sized = neighborhood.with_boundary_width(wide.filter(F.col("gt").isNotNull()), dims, config.boundary_ratio)
+    outcomes = neighborhood.pixel_outcomes(sized, [f"_class{i}" for i in range(len(predictions))])
+    return Evaluation(wide, outcomes, tuple(predictions), config)
 
 
 def compare_methods(cache: DataFrame, truth: DataFrame | None = None) -> DataFrame:
@@ -136,8 +148,8 @@ def compare_methods(cache: DataFrame, truth: DataFrame | None = None) -> DataFra
     ``cache`` has method, image, y, x and prediction columns. With ``truth`` only
     pixels that carry a truth label stay.
     """
-    # one row per method and image; the number of methods is a handful
-    present = cache.select("method", "image").distinct()
+    # one row per method and image, stored once because both counts below read it
+    present = cut_lineage(cache.select("method", "image").distinct())
     wanted = present.agg(F.count_distinct("method").alias("n")).scalar()
     common = (
         present.groupBy("image").agg(F.count("*").alias("n")).filter(F.col("n") == wanted).select("image")

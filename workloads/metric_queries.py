@@ -265,7 +265,7 @@ inter_counts AS (SELECT a.image, a.label, count(*) AS i FROM edge a JOIN edge b
 def boundary_iou(spark, folder):
     dims = views.raster_dims(views.raster(spark, folder))
     sized = neighborhood.with_boundary_width(_aligned(spark, folder), dims)
-    counts = metrics.class_counts(neighborhood.pixel_outcomes(sized))
+    counts = metrics.class_counts(neighborhood.pixel_outcomes(sized).drop("pred_no"))
     return rounded(metrics.class_metrics(counts), "boundary_iou").select(
         "image", "class_id", "boundary_inter", "boundary_union", "boundary_iou"
     )

@@ -123,7 +123,7 @@ def compare_methods(spark, folder):
     """Predictions of both methods on common images, limited to labelled pixels."""
     done = _evaluation(spark, folder)
     cache = done.prediction_cache.filter(F.col("pred_class").isNotNull())
-    truth = done.aligned.select(*raster.PIXEL).distinct()
+    truth = done.pixels.filter(F.col("gt").isNotNull())
     rows = evaluate.compare_methods(cache, truth)
     return rows.groupBy("method", "image", "pred_class", "pred_view").agg(F.count("*").alias("n"))
 
