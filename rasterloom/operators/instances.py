@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,13 +64,11 @@ def rasterize(pixels: DataFrame, labels: DataFrame, on: Sequence[str] = ("instan
 def mean_vectors(df: DataFrame, key: Sequence[str], vector: str = "feature") -> DataFrame:
     """Component-wise mean of the vectors of each key.
 
-    Components are averaged as (key, position) groups, so tasks combine a key's
-    rows before the shuffle and a popular key never gathers in one task.
+    Whole vectors are summed in the aggregate, so rows are neither multiplied by
+    their length nor gathered: tasks combine a key's rows before the shuffle.
     """
-    parts = df.select(*key, F.posexplode(vector).alias("_pos", "_v"))
-    means = parts.groupBy(*key, "_pos").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
-    packed = F.array_sort(F.collect_list(F.struct("_pos", "_v")))
-    return means.groupBy(*key).agg(F.transform(packed, lambda s: s["_v"]).alias(vector))
+    summed = df.groupBy(*key).agg(Summarizer.mean(array_to_vector(vector)).alias("_mean"))
+    return summed.select(*key, vector_to_array("_mean").alias(vector))
 
 
 def usable_features(features: DataFrame) -> DataFrame:

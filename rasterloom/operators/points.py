@@ -93,15 +93,21 @@ def point_count(points: DataFrame) -> DataFrame:
 def retention_stats(original: DataFrame, kept: DataFrame) -> DataFrame:
     """Original and kept counts with their rate per file and class, per file and overall.
 
-    Both sides are counted before they meet, so the shuffle carries one row per
-    file and class from each task. Overall rows have NULL file or class.
+    Both sides are counted before the rollup, so its expansion touches one row per
+    file and class and not every point. Overall rows have NULL file or class.
     """
-    marked = original.select("src_file", "class", F.lit(1).alias("o"), F.lit(0).alias("k")).unionByName(
-        kept.select("src_file", "class", F.lit(0).alias("o"), F.lit(1).alias("k"))
-    )
+    per_class = [
+        df.groupBy("src_file", "class").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
+        for side, df in enumerate((original, kept))
+    ]
+    counted = per_class[0].unionByName(per_class[1])
+
+    def total(side: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
+
     return (
-        marked.rollup("src_file", "class")
-        .agg(F.sum("o").alias("n_original"), F.sum("k").alias("n_kept"))
+        counted.rollup("src_file", "class")
+        .agg(total(0).alias("n_original"), total(1).alias("n_kept"))
         .withColumn(
             "rate",
             F.when(F.col("n_original") > 0, F.col("n_kept") / F.col("n_original")).otherwise(0.0),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions import colors
 from rasterloom.operators import camera, neighborhood, points
 
 
@@ -60,6 +62,14 @@ def projection_stats(filled: DataFrame, cameras: DataFrame) -> tuple[DataFrame,
     return per_image, filled.groupBy("image", "label").agg(F.count("*").alias("n"))
 
 
+def color_table(filled: DataFrame, configured: Mapping[int, Sequence[int]] | None = None) -> DataFrame:
+    """Colour of every class that occurs, and black for no label."""
+    found = filled.select("label").distinct()
+    shown = found.select("label", colors.palette_color(F.col("label"), configured or {}).alias("color"))
+    none = filled.sparkSession.createDataFrame([(-1, [0, 0, 0])], "label int, color array<int>")
+    return shown.unionByName(none)
+
+
 def projection_report(filled: DataFrame, cameras: DataFrame, method: str) -> DataFrame:
     """One row per image with its class counts, next to the averages over all images."""
     per_image, classes = projection_stats(filled, cameras)
