@@ -17,19 +17,6 @@ from rasterloom.session import cut_lineage
 PIXEL = ("image", "y", "x")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a 2-D array, without touching single rows."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _lists(matrix: np.ndarray) -> pa.Array:
-    rows, width = matrix.shape
-    offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
-
-
 def map_vectors(df: DataFrame, fn, source: str, target: str) -> DataFrame:
     """Add ``target`` = fn(matrix of ``source`` vectors), one Arrow batch at a time.
 
@@ -44,9 +31,12 @@ def map_vectors(df: DataFrame, fn, source: str, target: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = {n: batch.column(n) for n in names}
-            result = np.asarray(fn(_matrix(batch.column(source))), dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*columns.values(), _lists(result)], [*names, target])
+            # list columns of equal lengths are one flat buffer: no row is touched singly
+            flat = batch.column(source).flatten().to_numpy(zero_copy_only=False)
+            result = np.asarray(fn(flat.reshape(batch.num_rows, -1)), dtype=np.float64)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * result.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(result.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lists], [*names, target])
 
     return df.mapInArrow(run, schema)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.operators import features, instances, raster, tiles
+from rasterloom.operators import instances, raster, tiles
 from rasterloom.plans import evaluate, fusion, ingest, masks, predictors
 from rasterloom.session import work_folder
 from rasterloom.streaming import clouds
@@ -15,9 +16,8 @@ from workloads.instance_queries import (
     CLASS_TYPES,
     HIERARCHY_SQL,
 )
-from workloads.metric_queries import MASKS_SQL
 from workloads.point_queries import VOXEL_SQL
-from workloads.registry import query, r6, rounded, table
+from workloads.registry import query, rounded, table
 
 CONFIG = evaluate.EvaluationConfig(
     class_names={1: "wall", 2: "window", 3: "door", 12: "roof", 101: "tree", 103: "person", 104: "car"},
@@ -316,14 +316,6 @@ def tile_stitch(spark, folder):
     return rounded(tiles.stitch_windows(scores), "score")
 
 
-def _window_model(block):
-    """Scores of a window from its pixels and its own mean, so that windows differ."""
-    import numpy as np
-
-    first, second = block[..., 0].astype(np.float64), block[..., 1].astype(np.float64)
-    return np.stack([first, second, np.full(first.shape, 60.0), first * 0.5 + second.max() * 0.25], axis=-1)
-
-
 @query(
     "predict_windows",
     f"""WITH {TILES_SQL},
@@ -334,18 +326,20 @@ def _window_model(block):
       round(greatest(s0, s1, s2, s3), 4) AS score FROM m""",
 )
 def predict_windows(spark, folder):
+    """Scores come from a window's pixels and its own maximum, so that windows differ."""
+
+    def model(block):
+        first, second = block[..., 0].astype(np.float64), block[..., 1].astype(np.float64)
+        return np.stack([first, second, np.full(first.shape, 60.0), first * 0.5 + second.max() * 0.25], axis=-1)
+
     rasters = views.raster(spark, folder)
     pixels = rasters.select(*raster.PIXEL, F.col("primary_label").alias("r"), F.col("pred_label").alias("g"))
-    scores = tiles.predict_windows(
-        pixels, views.raster_dims(rasters), _window_model, ("r", "g"), WINDOW, STRIDE
-    )
+    scores = tiles.predict_windows(pixels, views.raster_dims(rasters), model, ("r", "g"), WINDOW, STRIDE)
     return tiles.stitch_scores(scores).withColumn("score", F.round("score", 4))
 
 
 # --- streams ----------------------------------------------------------------------
 
-EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-
 
 def _event_stream(spark, folder):
     schema = table(spark, folder, "events").schema
