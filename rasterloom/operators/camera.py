@@ -137,14 +137,28 @@ def _to_pixels(pairs: DataFrame, min_depth: float, max_depth: float) -> DataFram
     return seen.filter(inside)
 
 
-def _cell_of(axis: str, extent: Column) -> Column:
+def scene_extent(points: DataFrame) -> dict[str, tuple[float, float]]:
+    """Smallest and largest finite coordinate per axis: six numbers from one scan."""
+
+    def finite(axis: str) -> Column:
+        value = F.col(axis).cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+
+    row = points.agg(*[f(finite(a)) for a in "xyz" for f in (F.min, F.max)]).first()
+    return {a: (row[2 * i] or 0.0, row[2 * i + 1] or 0.0) for i, a in enumerate("xyz")}
+
+
+def _cell_of(axis: str, low: float, high: float) -> Column:
     """Grid cell of a coordinate; a flat axis has the single cell 0."""
-    span = extent[f"max_{axis}"] - extent[f"min_{axis}"]
-    at = F.floor((F.col(axis) - extent[f"min_{axis}"]) / span * F.lit(_GRID))
-    return F.when(span > 0, F.least(at, F.lit(_GRID - 1))).otherwise(F.lit(0)).cast("int")
+    if high <= low:
+        return F.lit(0)
+    at = F.floor((F.col(axis) - F.lit(low)) / F.lit(high - low) * F.lit(_GRID))
+    return F.greatest(F.least(at, F.lit(_GRID - 1)), F.lit(0)).cast("int")
 
 
-def visible_cells(cameras: DataFrame, extent: Column, min_depth: float, max_depth: float) -> DataFrame:
+def visible_cells(
+    cameras: DataFrame, extent: dict[str, tuple[float, float]], min_depth: float, max_depth: float
+) -> DataFrame:
     """(cell, camera) pairs whose box may hold a visible point.
 
     Every frustum side is a linear test in the point, so its largest value over
@@ -152,17 +166,15 @@ def visible_cells(cameras: DataFrame, extent: Column, min_depth: float, max_dept
     the half edges. A box failing one test holds no visible point; a small slack
     covers rounding.
     """
-    steps = F.sequence(F.lit(0), F.lit(_GRID - 1))
-    placed = cameras.withColumn("_e", extent)
-    for axis in "xyz":
-        flat = F.col("_e")[f"max_{axis}"] <= F.col("_e")[f"min_{axis}"]
-        placed = placed.withColumn(f"_c{axis}", F.explode(F.when(flat, F.array(F.lit(0))).otherwise(steps)))
-    geometry = {}
+    placed, geometry = cameras, {}
     for axis in "xyz":
-        low, high = F.col("_e")[f"min_{axis}"], F.col("_e")[f"max_{axis}"]
-        edge = (high - low) / F.lit(_GRID)
-        geometry[f"_m{axis}"] = low + (F.col(f"_c{axis}") + F.lit(0.5)) * edge
-        geometry[f"_h{axis}"] = edge * F.lit(0.5000001) + (F.abs(low) + F.abs(high)) * F.lit(1e-12)
+        low, high = extent[axis]
+        cells = _GRID if high > low else 1
+        placed = placed.withColumn(f"_c{axis}", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+        edge = (high - low) / cells
+        half = edge * 0.5000001 + (abs(low) + abs(high)) * 1e-12
+        geometry[f"_m{axis}"] = F.lit(low) + (F.col(f"_c{axis}") + F.lit(0.5)) * F.lit(edge)
+        geometry[f"_h{axis}"] = F.lit(half)
     placed = placed.withColumns(geometry)
 
     def side(a: Column, row: int, b: Column) -> Column:
@@ -198,18 +210,9 @@ def project_points(
     broadcast when few; otherwise points are spread over salted cells.
     """
     camera = cameras.select(*CAMERA_COLUMNS)
-    extent = (
-        points.agg(
-            F.struct(
-                *[f(a).alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))]
-            ).alias("e")
-        )
-        .select("e")
-        .scalar()
-    )
+    extent = scene_extent(points)
     pairs = visible_cells(camera, extent, min_depth, max_depth)
-    placed = points.withColumn("_e", extent)
-    placed = placed.withColumns({f"_c{a}": _cell_of(a, F.col("_e")) for a in "xyz"}).drop("_e")
+    placed = points.withColumns({f"_c{a}": _cell_of(a, *extent[a]) for a in "xyz"})
     on = ["_cx", "_cy", "_cz"]
     if fits_broadcast(pairs, _BROADCAST_PAIRS):
         met = placed.join(F.broadcast(pairs), on)

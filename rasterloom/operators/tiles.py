@@ -114,9 +114,10 @@ def cut_windows(pixels: DataFrame, dims: DataFrame, window: int = 800, stride: i
 def stitch_windows(scores: DataFrame) -> DataFrame:
     """Mean score per pixel and class over overlapping windows, then the best class.
 
-    The lowest class id wins a tie.
+    The lowest class id wins a tie. Rows are partitioned by pixel once, which
+    serves both group-bys.
     """
-    mean = scores.groupBy("image", "y", "x", "class_id").agg(F.avg("score").alias("score"))
+    mean = scores.repartition("image", "y", "x").groupBy("image", "y", "x", "class_id").agg(F.avg("score").alias("score"))
     best = mean.groupBy("image", "y", "x").agg(
         F.max(F.struct("score", (-F.col("class_id")).alias("neg"))).alias("b")
     )

@@ -534,3 +534,15 @@ def test_salted_join_keeps_rows(spark):
     assert joins.lookup_join(big, small, ["k"], max_rows=1).count() == 1000
     with pytest.raises(ValueError):
         joins.salted_join(big, small, ["k"], "full_outer")
+
+
+def test_projection_of_odd_clouds(spark):
+    cam = look(spark, [("c", 4, 3, 1.0, 1.0, 0.0, 0.0, *IDENTITY, 0.0, 0.0, 0.0)])
+    empty = spark.createDataFrame([], CLOUD)
+    assert camera.project_points(empty, cam).count() == 0
+    odd = spark.createDataFrame(
+        [("f", 0, float("nan"), 0.0, 1.0, 1), ("f", 1, float("inf"), 0.0, 1.0, 1), ("f", 2, 0.0, float("-inf"), 1.0, 1),
+         ("f", 3, 1.0, 1.0, float("nan"), 1), ("f", 4, 1.0, 1.0, 1.0, 7)],
+        CLOUD,
+    )
+    assert [(r.y, r.x, r.label) for r in camera.project_points(odd, cam).collect()] == [(1, 1, 7)]
