@@ -114,11 +114,6 @@ def pixel_outcomes(aligned: DataFrame, preds: Sequence[str] = ("pred",), tile: i
     )
 
 
-def _square(radius: int) -> list[tuple[int, int]]:
-    steps = range(-radius, radius + 1)
-    return [(dy, dx) for dy in steps for dx in steps]
-
-
 def flag_depth_edges(
     pixels: DataFrame, dims: DataFrame, threshold: float = 0.1, tile: int = TILE
 ) -> DataFrame:
@@ -129,25 +124,33 @@ def flag_depth_edges(
     as depth 0. Edges spread to the four direct neighbours.
     """
     sized = lookup_join(pixels, dims.select("image", "height", "width"), ["image"])
-    around = []
-    for dy, dx in _square(2):
-        near = abs(dy) <= 1 and abs(dx) <= 1
-        gx = dx * (2 - abs(dy)) if near else 0
-        gy = dy * (2 - abs(dx)) if near else 0
-        around.append((-dy, -dx, gx, gy, int(near), int(dy == 0 and dx == 0)))
-    spread = shift_rows(to_tiles(sized, 3, tile), around, ("_gx", "_gy", "_near", "_self"))
-    at_self = F.col("_self") == 1
-    depth = F.col("depth").cast("double")
-    stats = spread.groupBy(*TILE_KEY, "y", "x").agg(
-        F.sum(F.col("_gx") * depth).alias("gx"),
-        F.sum(F.col("_gy") * depth).alias("gy"),
-        F.sum("_near").alias("covered"),
-        F.max(depth).alias("top"),
+    # Along x every pixel tells its neighbours what it adds: to the difference, the
+    # smoothed value and the count of the three around, and to the largest of five.
+    beside = [(0, -dx, dx, int(abs(dx) <= 1), int(dx == 0)) for dx in range(-2, 3)]
+    spread = shift_rows(to_tiles(sized, 3, tile), beside, ("_away", "_near", "_self"))
+    depth, near, at_self = F.col("depth").cast("double"), F.col("_near"), F.col("_self") == 1
+    lines = spread.groupBy(*TILE_KEY, "y", "x").agg(
+        F.sum(near * F.col("_away") * depth).alias("_diff"),
+        F.sum(near * (F.lit(2) - F.abs("_away")) * depth).alias("_smooth"),
+        F.sum("_near").alias("_count"),
+        F.max(depth).alias("_top"),
         F.first("height").alias("height"),
         F.first("width").alias("width"),
         F.max(F.when(at_self, F.col("label"))).alias("label"),
         F.max(F.when(at_self, F.col("depth"))).alias("depth"),
     )
+    # Along y the rows are summed in the same way. A missing row has nothing to add.
+    column = Window.partitionBy(*TILE_KEY, "x").orderBy("y")
+    three = column.rangeBetween(-1, 1)
+    centers = lines.withColumns(
+        {
+            "gx": F.sum("_diff").over(three) + F.col("_diff"),
+            "gy": F.coalesce(F.sum("_smooth").over(column.rangeBetween(1, 1)), F.lit(0.0))
+            - F.coalesce(F.sum("_smooth").over(column.rangeBetween(-1, -1)), F.lit(0.0)),
+            "covered": F.sum("_count").over(three),
+            "top": F.max("_top").over(column.rangeBetween(-2, 2)),
+        }
+    ).filter(F.col("label").isNotNull() | F.col("depth").isNotNull())
 
     def span(axis: str, size: str) -> Column:
         return F.least(F.col(axis) + 1, F.col(size) - 1) - F.greatest(F.col(axis) - 1, F.lit(0)) + 1
@@ -156,7 +159,7 @@ def flag_depth_edges(
         F.col("top") > 0, F.col("top")
     ).otherwise(1.0) > F.lit(float(threshold))
     edge = (F.col("covered") == span("y", "height") * span("x", "width")) & steep
-    centers = stats.filter(F.col("label").isNotNull() | F.col("depth").isNotNull()).withColumn("_edge", edge)
+    centers = centers.withColumn("_edge", edge)
     cross = [(0, 0, 1), (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0)]
     grown = shift_rows(centers, cross, ("_own",), when=F.col("_edge"))
     at_own = F.col("_own") == 1
@@ -174,17 +177,6 @@ def flag_depth_edges(
     )
 
 
-def _disc(radius: int) -> list[tuple[int, int, int]]:
-    """Offsets (dy, dx, rank) from a source to the pixels it may fill, nearest first.
-
-    Among equally near sources of a pixel the one with the smallest y, then x wins;
-    a source above its target has a positive dy, hence the descending order.
-    """
-    inside = [(dy, dx) for dy, dx in _square(radius) if dy * dy + dx * dx <= radius * radius]
-    ranked = sorted(inside, key=lambda o: (o[0] ** 2 + o[1] ** 2, -o[0], -o[1]))
-    return [(dy, dx, rank) for rank, (dy, dx) in enumerate(ranked)]
-
-
 def fill_nearest(
     pixels: DataFrame, dims: DataFrame, radius: int = 5, source: Column | None = None, tile: int = TILE
 ) -> DataFrame:
@@ -213,15 +205,45 @@ def fill_nearest(
             }
         )
         touching = touching & F.col(f"_before_{axis}") & F.col(f"_after_{axis}")
-    spread = shift_rows(rows, _disc(radius), ("_rank",), when=F.col("_source") & ~touching)
-    inside = (
-        (F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") < F.col("width"))
+    # Along x: the nearest source of the same row, the left one on a tie. ``_own``
+    # keeps the label of a covered pixel, whether or not it is a source.
+    lends_out = F.col("_source") & ~touching
+    steps = sorted(range(-radius, radius + 1), key=lambda step: (abs(step), -step))
+    beside = [(0, dx, rank) for rank, dx in enumerate(steps)]
+    keep = rows.withColumn("_lends", lends_out)
+    spread = shift_rows(keep, beside, ("_rank",), when=F.col("_lends"))
+    inside_x = (F.col("x") >= 0) & (F.col("x") < F.col("width"))
+    lines = (
+        spread.filter(inside_x)
+        .groupBy(*TILE_KEY, "y", "x")
+        .agg(
+            F.max(F.when(F.col("_rank") == 0, F.col("label"))).alias("_own"),
+            F.min(F.when(F.col("_lends"), F.col("_rank"))).alias("_rank"),
+            F.min_by("label", F.when(F.col("_lends"), F.col("_rank"))).alias("label"),
+            F.first("height").alias("height"),
+        )
     )
+    # Along y: the nearest of the rows' best; rank counts 0, then two per pixel of
+    # distance. Between equally near ones the upper row wins.
+    above = [(dy, 0, dy) for dy in sorted(range(-radius, radius + 1), key=abs)]
+    moved = shift_rows(lines, above, ("_down",), when=F.col("_rank").isNotNull())
+    across = F.ceil(F.col("_rank") / F.lit(2)).cast("int")
+    square = across * across + F.col("_down") * F.col("_down")
+    key = F.when(square <= radius * radius, square * (2 * radius + 1) + F.lit(radius) - F.col("_down"))
+    inside_y = (F.col("y") >= 0) & (F.col("y") < F.col("height"))
     return (
-        spread.filter(inside & own_tile(tile))
+        moved.filter(inside_y & own_tile(tile))
+        .withColumn("_key", key)
         .groupBy(*TILE_KEY, "y", "x")
-        .agg(F.min_by("label", "_rank").alias("label"), (F.min("_rank") > 0).alias("filled"))
-        .select("image", "y", "x", "label", "filled")
+        .agg(
+            F.max(F.when(F.col("_down") == 0, F.col("_own"))).alias("_own"),
+            F.min_by("label", "_key").alias("label"),
+            F.min("_key").alias("_key"),
+        )
+        .filter(F.col("_own").isNotNull() | F.col("_key").isNotNull())
+        .select(
+            "image", "y", "x", F.coalesce("_own", "label").alias("label"), F.col("_own").isNull().alias("filled")
+        )
     )
 
 
