@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a lookup side may have and still be broadcast. At ~200 bytes a row this
-# stays near 100 MB, which every executor can hold.
+# What a lookup side may measure and still be broadcast; every executor can hold this.
 BROADCAST_ROWS = 500_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+BROADCAST_BYTES = 64 << 20
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Estimated size of a row: fixed-width columns plus the real lengths of the others."""
+    total = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        value, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            plain = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType)
+            total = total + F.greatest(F.size(value), F.lit(0)) * F.lit(8 if plain else 64)
+        elif isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.length(value), F.lit(0))
+    return total
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has few enough rows and bytes; reads no more than ``max_rows`` + 1 rows."""
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def salted_join(

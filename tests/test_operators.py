@@ -546,3 +546,11 @@ def test_projection_of_odd_clouds(spark):
         CLOUD,
     )
     assert [(r.y, r.x, r.label) for r in camera.project_points(odd, cam).collect()] == [(1, 1, 7)]
+
+
+def test_broadcast_check_counts_vectors(spark):
+    wide = spark.range(100).select("id", F.array_repeat(F.lit(1.0), 1000).alias("v"), F.lit("abc").alias("s"))
+    assert joins.fits_broadcast(wide, 100, 1_000_000)
+    assert not joins.fits_broadcast(wide, 100, 700_000)
+    assert not joins.fits_broadcast(wide, 99)
+    assert joins.fits_broadcast(wide.filter("id < 0"))
