@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -9,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact, mixture, packing, rans, repetition
-from rasterloom.llm.common import lower_ascii, table
+from rasterloom.llm import exact, mixture, packing, pages, ppm, rans, repetition, transducer
+from rasterloom.llm.common import lower_ascii, ship, table
 from rasterloom.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,26 +47,52 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_golden_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.char_length("text").cast("long")
+    )
+
+
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"), scanned=True)
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def _shipping(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: _shipping(f)
     for f in (
         op1_suffix_repetition,
         op2_rans_blocks,
         op3_progressive_exact,
+        op6_token_transducer,
         op7_golden_mixture,
+        op8_consensus_paths,
+        op9_ppm_scores,
         op10_best_fit,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = _shipping(corpus_pipeline.run)
 ORACLES: dict[str, str] = {"op3_progressive_exact": OP3_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
