@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact, mixture, packing, repetition
+from rasterloom.llm import chosen_path, exact, mixture, packing, repetition
 from rasterloom.llm.common import stored, table
 
 ORACLE_SQL = None
@@ -32,6 +32,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, exact.exact_duplicates(docs).filter("kept"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate component (five words, similarity 0.8)."""
+    return _only(docs, chosen_path.near_duplicates(docs).filter("kept"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come to their target weights.
 
@@ -54,6 +59,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
     ("mixing", mixing),
     ("packing", pack),
 ]

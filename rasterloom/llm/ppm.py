@@ -2,9 +2,9 @@
 
 Training texts give counts of each byte after its contexts of up to ``order``
 bytes; together the contexts are a trie, held as a table. A byte unseen after a
-context escapes to the next shorter one. Escape mass follows method C (distinct
-followers over followers plus distinct followers), and symbols that a longer
-context has seen are excluded from the shorter ones. The model is fixed once
+context escapes to the next shorter one. Escape mass follows method D (each
+distinct follower gives up half a count), and symbols that a longer context has
+seen are excluded from the shorter ones. The model is fixed once
 trained, so the probability of a context and byte is worked out once per
 distinct pair, in joins, and not once per position.
 
@@ -31,7 +31,7 @@ ORDER = 4
 END = 256  # the symbol after the last byte
 SYMBOLS = 257
 FOLDS, HELD_OUT = 5, 1
-_ORDER_BITS, _SYMBOL_BITS = 52, 9
+_ORDER_BITS, _SYMBOL_BITS = 59, 9  # so that six context bytes fit between them
 # Entries gathered in a task before equal ones are added up.
 _GATHER = 3_000_000
 
@@ -176,7 +176,7 @@ def gram_scores(keys: DataFrame, followers: DataFrame, nodes: DataFrame, order:
         else:
             t, u = F.coalesce(longer["ex_t"], at["t"]), F.coalesce(longer["ex_u"], at["u"])
         hit = here & at["c"].isNotNull()
-        part = F.when(hit, F.log10(at["c"] / (t + u))).when(here & (u > 0), F.log10(u / (t + u))).otherwise(0.0)
+        part = F.when(hit, F.log10((at["c"] - 0.5) / t)).when(here & (u > 0), F.log10(u / (2 * t))).otherwise(0.0)
         value = value + F.when(done, 0.0).otherwise(part)
         done = done | hit
         longer = at

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact, mixture, packing, pages, ppm, rans, repetition, transducer
+from rasterloom.llm import chosen_path, exact, mixture, packing, pages, ppm, rans, repetition, transducer
 from rasterloom.llm.common import lower_ascii, ship, table
 from rasterloom.session import work_folder
 
@@ -47,6 +47,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op1_suffix_repetition,
         op2_rans_blocks,
         op3_progressive_exact,
+        op4_chosen_path,
         op6_token_transducer,
         op7_golden_mixture,
         op8_consensus_paths,
