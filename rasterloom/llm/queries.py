@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chosen_path, exact, mixture, packing, pages, ppm, rans, repetition, transducer
+from rasterloom.llm import chosen_path, exact, mixture, packing, pages, ppm, rans, repetition, substrings, transducer
 from rasterloom.llm.common import lower_ascii, ship, table
 from rasterloom.session import work_folder
 
@@ -51,6 +51,10 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op5_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.repeated_substrings(table(spark, sf_dir, "documents")))
+
+
 def op6_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
         op2_rans_blocks,
         op3_progressive_exact,
         op4_chosen_path,
+        op5_deep_shallow,
         op6_token_transducer,
         op7_golden_mixture,
         op8_consensus_paths,
