@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _document(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The file's JSON object as (key, value) rows; a missing file gives none."""
+def _text(spark: SparkSession, path: str) -> DataFrame | None:
+    """The whole file as one row, or None where there is no file."""
     try:
-        whole = spark.read.text(path, wholetext=True)
+        return spark.read.text(path, wholetext=True)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
+        return None
+
+
+def _document(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The file's JSON object as (key, value) rows; a missing file gives none."""
+    whole = _text(spark, path)
+    if whole is None:
         return spark.createDataFrame([], f"key string, value {kind}")
     return whole.select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("key", "value"))
 
@@ -27,7 +34,7 @@ def read_int_map(spark: SparkSession, path: str, kind: str = "int") -> DataFrame
 def read_retention(spark: SparkSession, path: str) -> dict[int, float]:
     """Retention rate per class. Notes may hold any JSON, so values are read as text first."""
     rows = read_int_map(spark, path, "string").select("key", F.col("value").cast("double").alias("value"))
-    return {r["key"]: r["value"] for r in rows.limit(65_536).collect()}
+    return {r["key"]: r["value"] for r in rows.collect()}
 
 
 def read_class_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -41,16 +48,18 @@ def read_class_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_merge_map(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    """Target to sources, in the order of the file (the merges are ordered)."""
-    whole = spark.read.text(path, wholetext=True)
+    """Target to sources, in the order of the file (the merges are ordered); a missing file merges nothing."""
+    whole = _text(spark, path)
+    if whole is None:
+        return {}
     entries = F.from_json("value", "map<string,array<int>>")
     rows = whole.select(F.posexplode(F.map_entries(entries)).alias("i", "e")).orderBy("i").select("e.*")
-    return {int(r["key"]): list(r["value"]) for r in rows.limit(65_536).collect()}
+    return {int(r["key"]): list(r["value"]) for r in rows.collect()}
 
 
 def read_colors(spark: SparkSession, path: str) -> dict[int, tuple[int, ...]]:
     rows = read_int_map(spark, path, "array<int>")
-    return {r["key"]: tuple(r["value"]) for r in rows.limit(65_536).collect()}
+    return {r["key"]: tuple(r["value"]) for r in rows.collect()}
 
 
 def read_frame_shift(spark: SparkSession, path: str) -> tuple[float, float, float]:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.paths import file_name
 from rasterloom.sources import records
 
 POINT_COLUMNS = ("src_file", "point_idx", "x", "y", "z", "class")
@@ -37,7 +36,8 @@ def read_points(spark: SparkSession, path: str, kind: str = "parquet", class_fie
     elif kind == "parquet":
         cloud = spark.read.parquet(path)
         if "src_file" not in cloud.columns:
-            cloud = cloud.withColumn("src_file", file_name(F.input_file_name()))
+            # the whole path: files of one name in two folders stay apart
+            cloud = cloud.withColumn("src_file", F.input_file_name())
     else:
         raise ValueError(f"unknown point format {kind!r}")
     return cloud.select(
@@ -49,7 +49,9 @@ def read_points(spark: SparkSession, path: str, kind: str = "parquet", class_fie
 
 
 def count_points(spark: SparkSession, path: str, kind: str = "las") -> int:
-    """Number of records by counting; the scan of fixed records is cheap and parallel."""
+    """Number of records as the headers state it; clouds without such headers are counted."""
+    if kind in ("las", "ply"):
+        return records.count_records(spark, path, kind)
     return read_points(spark, path, kind).count()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.paths import stem
@@ -100,18 +100,36 @@ def read_feature_rasters(spark: SparkSession, path: str) -> DataFrame:
     return _arrays(spark, path).mapInPandas(explode, "image string, y int, x int, feature array<float>")
 
 
+def _plain(path: Column) -> Column:
+    """One spelling of a path: sources differ in the slashes after ``file:``."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _picture_files(spark: SparkSession, path: str) -> DataFrame:
+    """The picture files of a folder, with contents that are read only if asked for."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.filter(F.col("path").rlike(r"(?i)\.(png|jpe?g)$"))
+
+
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded pictures of any known ending, one per stem (the first by path)."""
-    pictures = spark.read.format("image").option("dropInvalid", True).load(path)
+    """Decoded pictures of any known ending, one per stem (the first by path).
+
+    A picture that cannot be decoded is an error that names it. The files are
+    chosen from their names, so every picture is decoded once.
+    """
+    pictures = spark.read.format("image").option("dropInvalid", False).load(path)
     origin = F.col("image.origin")
-    known = origin.rlike(r"(?i)\.(png|jpe?g)$")
-    kept = pictures.filter(known).select(
+    broken = F.raise_error(F.concat(F.lit("cannot decode picture "), origin)).cast("int")
+    kept = pictures.filter(origin.rlike(r"(?i)\.(png|jpe?g)$")).select(
         stem(origin).alias("image"),
         origin.alias("path"),
-        *[F.col(f"image.{n}").alias(n) for n in ("height", "width", "nChannels", "data")],
+        _plain(origin).alias("_file"),
+        F.when(F.col("image.height") < 1, broken).otherwise(F.col("image.height")).alias("height"),
+        *[F.col(f"image.{n}").alias(n) for n in ("width", "nChannels", "data")],
     )
-    first = kept.groupBy("image").agg(F.min("path").alias("path"))
-    return kept.join(first, ["image", "path"], "left_semi")
+    files = _picture_files(spark, path).select(stem(F.col("path")).alias("image"), _plain(F.col("path")).alias("_file"))
+    first = files.groupBy("image").agg(F.min("_file").alias("_file")).select("_file")
+    return kept.join(first, "_file", "left_semi").drop("_file")
 
 
 def picture_pixels(pictures: DataFrame) -> DataFrame:
@@ -145,9 +163,25 @@ def picture_pixels(pictures: DataFrame) -> DataFrame:
 def read_instance_rasters(spark: SparkSession, path: str) -> DataFrame:
     """8-bit id pictures as instance pixels: the first stored channel is the id.
 
-    Wider ids come as parquet or as arrays through ``read_label_rasters``.
+    The picture decoder brings every depth down to 8 bits, so a file whose header
+    states another one is an error; wider ids come as parquet, or as arrays
+    through ``read_label_rasters``.
     """
-    pixels = picture_pixels(read_pictures(spark, path))
+    pictures = read_pictures(spark, path)
+    # a PNG states its depth in byte 25; the other kinds here always have 8 bits
+    depth = F.conv(F.hex(F.substring("content", 25, 1)), 16, 10).cast("int")
+    heads = _picture_files(spark, path).select(
+        _plain(F.col("path")).alias("_file"),
+        F.when(F.lower("path").endswith(".png"), depth).otherwise(F.lit(8)).alias("_depth"),
+    )
+    wrong = F.concat(
+        F.lit("instance ids need an 8-bit picture, or an array for wider ids: "), F.col("path"), F.lit(" has "), F.col("_depth"), F.lit(" bits")
+    )
+    checked = pictures.withColumn("_file", _plain(F.col("path"))).join(heads, "_file")
+    checked = checked.withColumn(
+        "height", F.when(F.col("_depth") != 8, F.raise_error(wrong).cast("int")).otherwise(F.col("height"))
+    )
+    pixels = picture_pixels(checked)
     return pixels.select("image", "y", "x", F.col("b").cast("int").alias("instance_id"))
 
 

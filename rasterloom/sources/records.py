@@ -53,6 +53,14 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return found
 
 
+def inner_name(root: str, path: str) -> str:
+    """A file's path below the folder that was loaded, which tells files of one name apart."""
+    fs, inner = open_filesystem(root)
+    if any(ch in inner for ch in "*?[") or fs.get_file_info(inner).type != pafs.FileType.Directory:
+        return posixpath.basename(path)
+    return posixpath.relpath(path, inner)
+
+
 @dataclass
 class Layout:
     """Where a file's records are and how one looks."""
@@ -68,6 +76,7 @@ class ByteRange(InputPartition):
     path: str
     low: int
     high: int
+    name: str
 
 
 class RecordReader(DataSourceReader):
@@ -81,7 +90,8 @@ class RecordReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         out = []
         for path, size in list_files(self.path, self.suffixes):
-            out += [ByteRange(path, low, min(low + self.split, size)) for low in range(0, size, self.split)]
+            name = inner_name(self.path, path)
+            out += [ByteRange(path, low, min(low + self.split, size), name) for low in range(0, size, self.split)]
         return out
 
     def layout(self, head) -> Layout:
@@ -102,7 +112,7 @@ class RecordReader(DataSourceReader):
 
             index, end = first_at(partition.low), first_at(partition.high)
             step = max(1, _BATCH_BYTES // width)
-            name = posixpath.basename(partition.path)
+            name = partition.name
             while index < end:
                 n = min(step, end - index)
                 file.seek(layout.start + index * width)
@@ -234,6 +244,10 @@ class PlyReader(RecordReader):
         order = {"binary_little_endian": "<", "binary_big_endian": ">"}.get(kind)
         if order is None:
             raise ValueError(f"PLY format {kind!r} is not read here; only binary files can be split")
+        wanted = [f.name for f in self.schema.fields if f.name not in ("src_file", "point_idx")]
+        found = [n for n, _ in properties]
+        if not set(wanted) <= set(found):
+            raise ValueError(f"a PLY file has the fields {found}, but the table needs {wanted}")
         return Layout(start, count, np.dtype([(n, order + PLY_TYPES[t][0]) for n, t in properties]), {})
 
     def columns(self, block: np.ndarray, layout: Layout) -> dict[str, np.ndarray]:
@@ -269,6 +283,25 @@ class PlySource(DataSource):
         return PlyWriter(schema, self.options, overwrite)
 
 
+def count_records(spark: SparkSession, path: str, kind: str) -> int:
+    """Sum of the record counts that the files' headers state; one task row per file, no record is read."""
+    source = {"las": LasReader, "ply": PlyReader}[kind]
+    fields = T.StructType()
+    files = [(p,) for p, _ in list_files(path, source.suffixes)]
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, (fs, _) = source(fields, {"path": path}), open_filesystem(path)
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                with fs.open_input_file(name) as file:
+                    found.append(reader.layout(file).count)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["n"])
+
+    rows = spark.createDataFrame(files, "path string").mapInArrow(counts, "n long")
+    return rows.agg({"n": "sum"}).first()[0] or 0
+
+
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session."""
     for source in (LasSource, PlySource):
