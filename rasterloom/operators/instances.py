@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,9 @@ from rasterloom.functions import vectors
 from rasterloom.operators.joins import lookup_join
 from rasterloom.session import cut_lineage
 
+# Prototype vectors that one task compares at once.
+PROTOTYPE_BLOCK = 4096
+
 
 def select_by_share(pixels: DataFrame, threshold: float = 0.7, by: Sequence[str] = ("image",)) -> DataFrame:
     """Instances whose area lies inside ``mask`` by more than ``threshold`` (strict; id 0 too)."""
@@ -93,14 +98,9 @@ def class_prototypes(prompts: DataFrame, key: str = "class_id") -> DataFrame:
     return mean_vectors(unit, [key]).withColumn("feature", vectors.l2_normalize(F.col("feature"), 0.0))
 
 
-def prompt_rows(prototypes: DataFrame, key: str = "class_id", limit: int = 4096) -> list[tuple[int, list[float]]]:
-    """Prototype vectors on the driver, ordered by id; refuses more than ``limit``.
-
-    Prompts come from a class configuration, tens of rows; the check keeps it so.
-    """
-    rows = prototypes.select(key, "feature").orderBy(key).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} prompt vectors")
+def prompt_rows(prototypes: DataFrame, key: str = "class_id") -> list[tuple[int, list[float]]]:
+    """Prompt vectors of a class configuration on the driver, ordered by id."""
+    rows = prototypes.select(key, "feature").orderBy(key).collect()
     return [(int(r[0]), [float(v) for v in r[1]]) for r in rows]
 
 
@@ -109,22 +109,65 @@ def classify_instances(
 ) -> DataFrame:
     """Most similar class per instance, NULL below ``threshold``; lowest id on a tie.
 
-    The prototypes travel inside the expression, so each instance is scored where
-    it is and no instance-class pairs are shuffled.
+    Blocks of instances meet blocks of at most about ``PROTOTYPE_BLOCK``
+    prototypes as matrix products; each instance keeps one best class per block,
+    and the best of those wins. Neither side passes through the driver, and a
+    task holds one block of each, whatever their number.
     """
-    table = prompt_rows(prototypes, key)
-    if not table:
-        return instances.select("instance_id", F.lit(None).cast("int").alias("label"))
+    classes = prototypes.select(F.col(key).cast("int").alias("label"), F.col("feature").cast("array<double>").alias("feature"))
+    blocks = -(-classes.count() // PROTOTYPE_BLOCK)
+    if not blocks:
+        return instances.select("instance_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("score"))
+    parts = instances.sparkSession.sparkContext.defaultParallelism
     unit = vectors.l2_normalize(F.col("feature"))
-    scored = instances.withColumn("_f", unit).withColumn(
-        "_s", F.transform(vectors.matrix([v for _, v in table]), lambda p: vectors.dot(F.col("_f"), p))
+    # copies of an instance are told apart by their vectors
+    left = instances.select("instance_id", unit.alias("feature")).withColumns(
+        {
+            "_part": F.pmod(F.xxhash64("instance_id", "feature"), F.lit(parts)).cast("int"),
+            "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
+        }
+    )
+    right = classes.withColumns(
+        {
+            "_block": F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"),
+            "_part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))),
+        }
+    )
+
+    def best(some: pa.Table, table: pa.Table) -> pa.Table:
+        names = ["instance_id", "feature", "label", "score"]
+        kinds = [some.schema.field("instance_id").type, some.schema.field("feature").type, pa.int32(), pa.float64()]
+        if not some.num_rows or not table.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        order = np.argsort(table.column("label").to_numpy(), kind="stable")
+        label = table.column("label").to_numpy()[order]
+        matrix = np.stack(table.column("feature").to_pylist())[order]
+        out = []
+        for batch in some.to_batches(max_chunksize=4096):
+            if not batch.num_rows:
+                continue
+            # summed in the same order for every pair, so that equal prototypes tie exactly
+            scores = np.einsum("ij,kj->ik", np.stack(batch.column("feature").to_pylist()), matrix)
+            place = scores.argmax(axis=1)  # the first of equals, so the lowest id
+            columns = [batch.column("instance_id"), batch.column("feature"), pa.array(label[place], pa.int32())]
+            out.append(pa.RecordBatch.from_arrays([*columns, pa.array(scores[np.arange(len(place)), place])], names))
+        return pa.Table.from_batches(out)
+
+    kind = instances.schema["instance_id"].dataType.simpleString()
+    found = (
+        left.groupBy("_part", "_block")
+        .cogroup(right.groupBy("_part", "_block"))
+        .applyInArrow(
+            lambda a, b: best(a.select(["instance_id", "feature"]), b.select(["label", "feature"])),
+            f"instance_id {kind}, feature array<double>, label int, score double",
+        )
     )
-    ids = F.array(*[F.lit(c) for c, _ in table])
-    best = F.array_max("_s")
-    return scored.select(
-        "instance_id",
-        F.when(best >= F.lit(float(threshold)), vectors.pick(ids, vectors.argmax(F.col("_s")))).alias("label"),
-        best.alias("score"),
+    if blocks > 1:
+        rank = F.struct(F.col("score"), -F.col("label"))
+        found = found.groupBy("instance_id", "feature").agg(F.max(rank).alias("_b"), F.max("score").alias("score"))
+        found = found.withColumn("label", -F.col("_b.col2"))
+    return found.select(
+        "instance_id", F.when(F.col("score") >= F.lit(float(threshold)), F.col("label")).alias("label"), "score"
     )
 
 

@@ -22,14 +22,26 @@ def _cells(df: DataFrame, edge: float) -> DataFrame:
 
 
 def _start_edge(places: DataFrame, cell: float, split: int) -> float:
-    """Halve the edge until no cell holds more than ``split`` places."""
-    edge = float(cell)
-    for _ in range(40):
-        crowd = _cells(places, edge).groupBy(*_CELL).count().agg(F.max("count")).first()[0]
-        if crowd is None or crowd <= split:
-            break
-        edge /= 2.0
-    return edge
+    """The largest of cell, cell / 2, cell / 4, ... at which no cell holds more than ``split`` places.
+
+    Eight edges are counted in one job. Halving ends where cell numbers would
+    leave 64 bits; places closer than that share a cell, which costs time only.
+    """
+    edge, last = float(cell), F.greatest(*[F.max(F.abs(a)) for a in _POINT])
+    extent = float(places.agg(last).first()[0] or 0.0)
+    while True:
+        edges = [e for e in (edge / 2.0**i for i in range(8)) if extent / e < 2.0**62]
+        if not edges:
+            return edge * 2.0
+        level = F.explode(F.array(*[F.lit(e) for e in edges]))
+        cells = places.withColumn("_edge", level).groupBy(
+            "_edge", *[F.floor(F.col(a) / F.col("_edge")).cast("long").alias(g) for g, a in zip(_CELL, _POINT)]
+        )
+        crowds = cells.count().groupBy("_edge").agg(F.max("count").alias("crowd"))
+        fits = crowds.filter(F.col("crowd") <= split).agg(F.max("_edge")).first()[0]
+        if fits is not None:
+            return fits
+        edge /= 2.0**8
 
 
 def initial_scale(points: DataFrame, cell: float, k: int = 3, split: int = 64) -> DataFrame:
