@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +12,11 @@ from rasterloom.functions.geometry import ROTATION, camera_center, quat_to_rot,
 from rasterloom.functions.paths import stem
 from rasterloom.operators.joins import fits_broadcast, salted_join
 from rasterloom.operators.ranking import numbered
+from rasterloom.session import cut_lineage
 
 CAMERA_COLUMNS = ("image", "width", "height", "fx", "fy", "cx", "cy", *ROTATION, "t0", "t1", "t2")
 
-# Cells per axis of the grid laid over the scene before projecting.
+# Cells along the widest side of the middle of a cloud, and the fewest cells in a block.
 _GRID = 16
 # Pairs of (cell, camera) that are broadcast; past this the points are shuffled to them.
 _BROADCAST_PAIRS = 500_000
@@ -137,66 +141,96 @@ def _to_pixels(pairs: DataFrame, min_depth: float, max_depth: float) -> DataFram
     return seen.filter(inside)
 
 
-def scene_extent(points: DataFrame) -> dict[str, tuple[float, float]]:
-    """Smallest and largest finite coordinate per axis: six numbers from one scan."""
+def cell_edge(points: DataFrame) -> float:
+    """Edge of the cells that points are matched to cameras by: a power of two.
+
+    It follows the middle 98 % of the coordinates, so a few far points do not
+    change it, and is about a sixteenth of their widest side.
+    """
 
     def finite(axis: str) -> Column:
         value = F.col(axis).cast("double")
         return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
-    row = points.agg(*[f(finite(a)) for a in "xyz" for f in (F.min, F.max)]).first()
-    return {a: (row[2 * i] or 0.0, row[2 * i + 1] or 0.0) for i, a in enumerate("xyz")}
-
-
-def _cell_of(axis: str, low: float, high: float) -> Column:
-    """Grid cell of a coordinate; a flat axis has the single cell 0."""
-    if high <= low:
-        return F.lit(0)
-    at = F.floor((F.col(axis) - F.lit(low)) / F.lit(high - low) * F.lit(_GRID))
-    return F.greatest(F.least(at, F.lit(_GRID - 1)), F.lit(0)).cast("int")
+    shares = F.array(F.lit(0.01), F.lit(0.99))
+    row = points.agg(*[F.percentile_approx(finite(a), shares, F.lit(1000)) for a in "xyz"]).first()
+    side = max((r[1] - r[0] for r in row if r), default=0.0)
+    return 2.0 ** math.floor(math.log2(side / _GRID)) if side > 0 else 1.0
 
 
-def visible_cells(
-    cameras: DataFrame, extent: dict[str, tuple[float, float]], min_depth: float, max_depth: float
-) -> DataFrame:
-    """(cell, camera) pairs whose box may hold a visible point.
+def _box_test(cameras_min: float, cameras_max: float, axes: Sequence[str], edge: float) -> Column:
+    """Whether the box of cells (numbers in ``axes``, side ``edge``) may hold a visible point.
 
     Every frustum side is a linear test in the point, so its largest value over
     a box is the value at the box centre plus the absolute coefficients times
     the half edges. A box failing one test holds no visible point; a small slack
     covers rounding.
     """
-    placed, geometry = cameras, {}
-    for axis in "xyz":
-        low, high = extent[axis]
-        cells = _GRID if high > low else 1
-        placed = placed.withColumn(f"_c{axis}", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-        edge = (high - low) / cells
-        half = edge * 0.5000001 + (abs(low) + abs(high)) * 1e-12
-        geometry[f"_m{axis}"] = F.lit(low) + (F.col(f"_c{axis}") + F.lit(0.5)) * F.lit(edge)
-        geometry[f"_h{axis}"] = F.lit(half)
-    placed = placed.withColumns(geometry)
 
     def side(a: Column, row: int, b: Column) -> Column:
         """a * (camera axis ``row``) + b * depth, at its largest over the box."""
         coef = [a * F.col(f"r{row}{i}") + b * F.col(f"r2{i}") for i in range(3)]
         at_center = a * F.col(f"t{row}") + b * F.col("t2")
         reach = F.lit(1e-9) * (F.abs(a) + F.abs(b))
-        for i, axis in enumerate("xyz"):
-            at_center = at_center + coef[i] * F.col(f"_m{axis}")
-            reach = reach + F.abs(coef[i]) * F.col(f"_h{axis}")
+        for i, axis in enumerate(axes):
+            middle = (F.col(axis) + F.lit(0.5)) * F.lit(edge)
+            half = F.lit(edge * 0.5000001) + F.abs(middle) * F.lit(1e-12)
+            at_center = at_center + coef[i] * middle
+            reach = reach + F.abs(coef[i]) * half
         return at_center + reach
 
     zero, one = F.lit(0.0), F.lit(1.0)
-    tests = (
-        (side(zero, 0, one) > F.lit(float(min_depth)))
-        & (side(zero, 0, -one) > F.lit(-float(max_depth)))
+    return (
+        (side(zero, 0, one) > F.lit(float(cameras_min)))
+        & (side(zero, 0, -one) > F.lit(-float(cameras_max)))
         & (side(F.col("fx"), 0, F.col("cx") + one) > 0)
         & (side(-F.col("fx"), 0, F.col("width") - F.col("cx")) > 0)
         & (side(F.col("fy"), 1, F.col("cy") + one) > 0)
         & (side(-F.col("fy"), 1, F.col("height") - F.col("cy")) > 0)
     )
-    return placed.filter(tests).select("_cx", "_cy", "_cz", *cameras.columns)
+
+
+def frustum_blocks(cameras: DataFrame, edge: float, min_depth: float, max_depth: float) -> DataFrame:
+    """Cameras with the blocks (``_bx``, ``_by``, ``_bz``) of side ``edge`` that their frustum may touch.
+
+    Blocks come from the box around the camera's centre and its four far corners.
+    """
+    placed = cameras
+    center = camera_center()
+    for axis, name in enumerate("xyz"):
+        middle = center[f"center_{name}"]
+        corners = [middle]
+        for u in (F.lit(-1.0), F.col("width").cast("double")):
+            for v in (F.lit(-1.0), F.col("height").cast("double")):
+                ray = [(u - F.col("cx")) / F.col("fx"), (v - F.col("cy")) / F.col("fy"), F.lit(1.0)]
+                along = sum((F.col(f"r{row}{axis}") * ray[row] for row in range(3)), F.lit(0.0))
+                corners.append(middle + along * F.lit(float(max_depth)))
+        slack = F.lit(edge * 1e-6)
+        first = F.floor((F.least(*corners) - slack) / F.lit(edge))
+        last = F.floor((F.greatest(*corners) + slack) / F.lit(edge))
+        placed = placed.withColumn(f"_r{name}", F.sequence(first, last))
+    for name in "xyz":
+        placed = placed.withColumn(f"_b{name}", F.explode(f"_r{name}")).drop(f"_r{name}")
+    return placed.filter(_box_test(min_depth, max_depth, ("_bx", "_by", "_bz"), edge))
+
+
+def visible_cells(
+    cells: DataFrame, cameras: DataFrame, edge: float, min_depth: float, max_depth: float
+) -> DataFrame:
+    """(cell, camera) pairs whose cell may hold a visible point, for the cells that hold points.
+
+    Cells have a fixed size wherever they lie. They are found through blocks of
+    at least sixteen cells and an eighth of the largest depth a side, so a camera
+    lists a bounded number of blocks (about 17 x 17 x 17 in a box around its
+    frustum, for usual opening angles) however wide the scene is.
+    """
+    times = max(_GRID, math.ceil(max_depth / 8.0 / edge))
+    blocks = frustum_blocks(cameras, edge * times, min_depth, max_depth)
+    held = cells.withColumns({f"_b{a}": F.floor(F.col(f"_c{a}") / F.lit(times)) for a in "xyz"})
+    met = salted_join(held, blocks, ["_bx", "_by", "_bz"], salts=4)
+    return met.filter(_box_test(min_depth, max_depth, ("_cx", "_cy", "_cz"), edge)).select(
+        "_cx", "_cy", "_cz", *cameras.columns
+    )
 
 
 def project_points(
@@ -204,16 +238,19 @@ def project_points(
 ) -> DataFrame:
     """Every point in every camera that sees it: image, y, x, depth, class, point order.
 
-    A coarse grid over the scene is matched with the camera frusta first, and
-    points meet only the cameras that can see their cell (an equi-join), so the
-    work follows what is visible and not points times cameras. The pairs are
-    broadcast when few; otherwise points are spread over salted cells.
+    Points are put into cells of a fixed size, occupied cells are matched with
+    the camera frusta, and points meet only the cameras that can see their cell
+    (an equi-join), so the work follows what is visible and not points times
+    cameras. The pairs are stored, and broadcast when few; otherwise points are
+    spread over salted cells.
     """
     camera = cameras.select(*CAMERA_COLUMNS)
-    extent = scene_extent(points)
-    pairs = visible_cells(camera, extent, min_depth, max_depth)
-    placed = points.withColumns({f"_c{a}": _cell_of(a, *extent[a]) for a in "xyz"})
+    edge = cell_edge(points)
+    placed = points.withColumns({f"_c{a}": F.floor(F.col(a).cast("double") / F.lit(edge)).cast("double") for a in "xyz"})
+    # a coordinate that is not a number is in no cell; cells are doubles, so none overflows
+    placed = placed.filter(~F.isnan(F.col("_cx") + F.col("_cy") + F.col("_cz")))
     on = ["_cx", "_cy", "_cz"]
+    pairs = cut_lineage(visible_cells(placed.select(*on).distinct(), camera, edge, min_depth, max_depth))
     if fits_broadcast(pairs, _BROADCAST_PAIRS):
         met = placed.join(F.broadcast(pairs), on)
     else:

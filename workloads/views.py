@@ -60,7 +60,7 @@ SELECT CAST(s_suppkey AS INT) AS camera_id, 60e0 + s_suppkey AS fx, 60e0 + s_sup
        CASE WHEN s_suppkey % 2 = 0 THEN 1e0 ELSE 0e0 END AS r11, 0e0 AS r12,
        0e0 AS r20, 0e0 AS r21, 1e0 AS r22,
        s_suppkey * 1e0 - 5e0 AS t0, -3e0 AS t1, 5e0 AS t2
-FROM supplier WHERE s_suppkey < 8)"""
+FROM supplier)"""
 
 INSTANCES_SQL = """
 v_instances AS (
@@ -161,13 +161,12 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cameras(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight cameras; ``image`` is the camera number."""
+    """One camera per supplier; ``image`` is the camera number."""
     key = F.col("s_suppkey")
     even = key % 2 == 0
     one, zero = F.lit(1.0), F.lit(0.0)
     return (
         table(spark, folder, "supplier")
-        .filter(key < 8)
         .select(
             key.cast("int").alias("image"),
             F.lit(64).alias("width"),
