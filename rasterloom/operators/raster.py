@@ -59,6 +59,14 @@ def shape_mismatches(dims_a: DataFrame, dims_b: DataFrame) -> DataFrame:
     )
 
 
+def require_same_shape(dims_a: DataFrame, dims_b: DataFrame) -> None:
+    """Raises where an image's two layers differ in size; at most ten are named."""
+    wrong = shape_mismatches(dims_a, dims_b).orderBy("image").limit(10).collect()
+    if wrong:
+        sizes = ", ".join(f"{r['image']}: {r['height']}x{r['width']} and {r['height_b']}x{r['width_b']}" for r in wrong)
+        raise ValueError(f"truth layers differ in size: {sizes}")
+
+
 def merge_labels(pixels: DataFrame, merge_map: Mapping[int, Sequence[int]]) -> DataFrame:
     """Ordered class merges."""
     return pixels.withColumn("label", labels.merge_sequential(F.col("label"), merge_map))

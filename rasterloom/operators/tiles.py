@@ -12,11 +12,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.functions.vectors import argmax
+from rasterloom.operators.joins import lookup_join
 
 TILE = 256
 TILE_KEY = ("image", "_ty", "_tx")
@@ -104,11 +107,15 @@ def cut_windows(pixels: DataFrame, dims: DataFrame, window: int = 800, stride: i
     A pixel works out its windows from the image size, so nothing is joined by
     range: only the sizes are looked up.
     """
-    sized = pixels.join(dims.select("image", "height", "width"), "image")
+    return _windowed(pixels, dims, window, stride).drop("height", "width")
+
+
+def _windowed(pixels: DataFrame, dims: DataFrame, window: int, stride: int) -> DataFrame:
+    sized = lookup_join(pixels, dims.select("image", "height", "width"), ["image"])
     for axis, size in (("y", "height"), ("x", "width")):
         covering = covering_origins(F.col(axis), F.col(size).cast("int"), window, stride)
         sized = sized.withColumn(f"{axis}0", F.explode(covering))
-    return sized.drop("height", "width")
+    return sized
 
 
 def stitch_windows(scores: DataFrame) -> DataFrame:
@@ -136,10 +143,11 @@ def predict_windows(
 ) -> DataFrame:
     """Run ``model`` on every window; it maps (h, w, c) to scores (h, w, classes).
 
-    One group is one window, so its size is fixed by ``window``. The result has
-    one ``scores`` array per pixel and window.
+    One group is one window. The model sees the whole window, cut only by the
+    image's border; places without a pixel are 0. The result has one ``scores``
+    array per pixel and window.
     """
-    cut = cut_windows(pixels, dims, window, stride)
+    cut = _windowed(pixels, dims, window, stride)
     image_field = pixels.schema["image"]
     schema = T.StructType(
         [
@@ -153,7 +161,8 @@ def predict_windows(
     def run(group: pa.Table) -> pa.Table:
         y0, x0 = group["y0"][0].as_py(), group["x0"][0].as_py()
         ys, xs = group["y"].to_numpy() - y0, group["x"].to_numpy() - x0
-        block = np.zeros((ys.max() + 1, xs.max() + 1, len(channels)), dtype=np.float32)
+        height, width = (min(window, group[n][0].as_py() - at) for n, at in (("height", y0), ("width", x0)))
+        block = np.zeros((height, width, len(channels)), dtype=np.float32)
         for i, channel in enumerate(channels):
             block[ys, xs, i] = group[channel].to_numpy()
         scores = np.ascontiguousarray(np.asarray(model(block), dtype=np.float32)[ys, xs])
@@ -167,14 +176,9 @@ def predict_windows(
 def stitch_scores(scores: DataFrame) -> DataFrame:
     """Mean of a pixel's score arrays over its windows, then the best class (first on a tie).
 
-    A pixel has as many arrays as windows cover it, a handful set by window and stride.
+    Arrays are summed in the aggregate, so a pixel's windows combine before the shuffle.
     """
-    gathered = scores.groupBy("image", "y", "x").agg(F.collect_list("scores").alias("s"))
-    zeros = F.transform(F.col("s")[0], lambda v: v.cast("double") * 0)
-    total = F.aggregate(
-        "s", zeros, lambda acc, one: F.zip_with(acc, one, lambda a, b: a + b.cast("double"))
-    )
-    mean = F.transform(total, lambda v: v / F.size("s"))
-    return gathered.withColumn("_m", mean).select(
+    mean = scores.groupBy("image", "y", "x").agg(Summarizer.mean(array_to_vector("scores")).alias("_v"))
+    return mean.withColumn("_m", vector_to_array("_v")).select(
         "image", "y", "x", argmax(F.col("_m")).alias("label"), F.array_max("_m").alias("score")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import labels
 from rasterloom.operators import metrics, neighborhood, raster
-from rasterloom.session import cut_lineage
+from rasterloom.session import cut_lineage, work_folder
 
 # The classes that count as positive at the binary level by default.
 DEFAULT_POSITIVE = (1, 2, 3, 12)
@@ -38,6 +38,14 @@ class Evaluation:
     outcomes: DataFrame
     methods: tuple[str, ...]
     config: EvaluationConfig
+    count: Callable[[DataFrame], DataFrame]
+
+    def stored(self) -> "Evaluation":
+        """The same with pixels written once and outcomes checkpointed, so that all tables derive from files."""
+        folder = work_folder(self.pixels.sparkSession, "evaluation")
+        self.pixels.write.parquet(folder)
+        pixels = self.pixels.sparkSession.read.schema(self.pixels.schema).parquet(folder)
+        return Evaluation(pixels, cut_lineage(self.count(pixels)), self.methods, self.config, self.count)
 
     def _per_method(self, *kinds: str) -> Column:
         """Array of (method, columns of that method) for a pixel."""
@@ -137,13 +145,18 @@ def evaluate(
     wide = raster.align_columns([t.select(*raster.PIXEL, *t.columns[3:]) for t in tables]).withColumn(
         "gt", F.coalesce("_primary", "_secondary")
     )
-    sized = neighborhood.with_boundary_width(wide.filter(F.col("gt").isNotNull()), dims, config.boundary_ratio)
-    outcomes = neighborhood.pixel_outcomes(sized, [f"_class{i}" for i in range(len(predictions))])
-    return Evaluation(wide, outcomes, tuple(predictions), config)
+
+    def count(pixels: DataFrame) -> DataFrame:
+        sized = neighborhood.with_boundary_width(pixels.filter(F.col("gt").isNotNull()), dims, config.boundary_ratio)
+        return neighborhood.pixel_outcomes(sized, [f"_class{i}" for i in range(len(predictions))])
+
+    return Evaluation(wide, count(wide), tuple(predictions), config, count)
 
 
-def compare_methods(cache: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """Rows of all methods on the images that every present method has.
+def compare_methods(
+    cache: DataFrame, truth: DataFrame | None = None, also: Sequence[DataFrame] = ()
+) -> DataFrame:
+    """Rows of all methods on the images that every present method, and every table of ``also``, has.
 
     ``cache`` has method, image, y, x and prediction columns. With ``truth`` only
     pixels that carry a truth label stay.
@@ -154,5 +167,7 @@ def compare_methods(cache: DataFrame, truth: DataFrame | None = None) -> DataFra
     common = (
         present.groupBy("image").agg(F.count("*").alias("n")).filter(F.col("n") == wanted).select("image")
     )
+    for table in also:
+        common = common.join(table.select("image").distinct(), "image", "left_semi")
     out = cache.join(common, "image", "left_semi")
     return out if truth is None else raster.mask_by_truth(out, truth)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from rasterloom.operators import inventory, metrics
+from rasterloom.operators import inventory, metrics, raster
 from rasterloom.plans.evaluate import Evaluation, EvaluationConfig, compare_methods, evaluate
 from rasterloom.plans.predictors import Predictor
 from rasterloom.sinks import tables
@@ -33,9 +33,18 @@ def run_evaluation(
     predictors: Sequence[Predictor],
     config: RunConfig,
     files: DataFrame | None = None,
+    secondary_dims: DataFrame | None = None,
+    prediction_dims: Mapping[str, DataFrame] | None = None,
 ) -> Evaluation:
-    """Score all methods on the (first) images that have both truth layers."""
+    """Score all methods on the (first) images that have both truth layers.
+
+    ``dims`` are the sizes of the primary layer. Where the secondary layer's
+    sizes are given they must agree. A method with sizes of its own, in
+    ``prediction_dims`` or as its predictor's ``dims``, is resized to the truth.
+    """
     inventory.require_complete(primary, secondary)
+    if secondary_dims is not None:
+        raster.require_same_shape(dims, secondary_dims)
     images = inventory.first_images(primary, config.first_images)
     if files is not None:
         check_inputs(predictors, images, files)
@@ -44,11 +53,16 @@ def run_evaluation(
         return pixels if not config.first_images else pixels.join(images, "image", "left_semi")
 
     predictions = {p.name: chosen(p.predict()) for p in predictors}
-    return evaluate(chosen(primary), chosen(secondary), dims, predictions, config.evaluation)
+    own = {p.name: p.dims for p in predictors if getattr(p, "dims", None) is not None} | dict(prediction_dims or {})
+    return evaluate(chosen(primary), chosen(secondary), dims, predictions, config.evaluation, own)
 
 
 def store(done: Evaluation, folder: str, config: RunConfig, previous_summary: str | None = None) -> None:
-    """Reports, per-image scores, summary, stability subset and prediction cache."""
+    """Reports, per-image scores, summary, stability subset and prediction cache.
+
+    Pixels are aligned once and stored; everything is derived from that table.
+    """
+    done = done.stored()
     overall, per_class = done.report_overall, done.report_class
     report = tables.nested_report(overall, per_class, done.report_binary)
     tables.write_reports(report, done.image_class, folder)
@@ -58,6 +72,11 @@ def store(done: Evaluation, folder: str, config: RunConfig, previous_summary: st
     tables.write_prediction_cache(done.prediction_cache, f"{folder}/predictions")
 
 
-def comparison(cache: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """Predictions of all stored methods side by side; see ``compare_methods``."""
-    return compare_methods(cache, truth)
+def comparison(
+    cache: DataFrame,
+    truth: DataFrame | None = None,
+    pictures: DataFrame | None = None,
+    layers: Sequence[DataFrame] = (),
+) -> DataFrame:
+    """Predictions of all stored methods on the images that the pictures and both truth layers have too."""
+    return compare_methods(cache, truth, [t for t in (pictures, *layers) if t is not None])

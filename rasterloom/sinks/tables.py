@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rasterloom.functions.labels import with_sentinel
 from rasterloom.operators import metrics
@@ -109,13 +110,16 @@ def write_reports(report: DataFrame, per_image: DataFrame, folder: str, mode: st
 def upsert_summary(new: DataFrame, folder: str, previous: str | None = None) -> None:
     """Merge method rows into a summary and store it in a new folder.
 
-    ``previous`` is the folder of the last summary; an absent or unreadable one
-    counts as empty.
+    ``previous`` is the folder of the last summary; an absent one counts as
+    empty, and lines that are not whole rows are left out.
     """
     merged = new
     if previous:
         try:
-            old = new.sparkSession.read.schema(new.schema).json(previous)
+            bad = "_corrupt_record"
+            schema = T.StructType([*new.schema.fields, T.StructField(bad, T.StringType())])
+            old = new.sparkSession.read.schema(schema).option("columnNameOfCorruptRecord", bad).json(previous)
+            old = old.filter(F.col(bad).isNull() & F.col("method").isNotNull()).drop(bad)
             merged = metrics.upsert(old, new)
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
