@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators.joins import lookup_join
-from rasterloom.operators.tiles import TILE, TILE_KEY, own_tile, shift_rows, to_tiles
+from rasterloom.operators.tiles import TILE, TILE_KEY, own_tile, shift_rows, tile_for, to_tiles
 
 
 def boundary_width(height: Column, width: Column, ratio: float = 0.02) -> Column:
@@ -44,10 +44,12 @@ def mark_boundary(
     2d+1 consecutive pixels ends at p exactly when p lies 2d past the start of
     its run, and then p - d survives; doing this along x and then along y on the
     survivors erodes by the full square. Both steps run inside the tiles made by
-    the one shuffle. Adds ``boundary``; other columns beyond the key are dropped,
+    the one shuffle; tiles grow with ``_d``, so a pixel has at most four copies
+    at any image size. Adds ``boundary``; other columns beyond the key are dropped,
     and the tile columns too unless ``keep_tile``.
     """
     keep = [*TILE_KEY, *same, "y", "x", "_d"]
+    tile = tile_for(F.col("_d"), tile)
     rows = to_tiles(pixels.select("image", *same, "y", "x", "_d"), F.col("_d"), tile)
     rows = _run_start(rows, [*TILE_KEY, *same, "y"], "x")
     across = F.col("x") - F.col("_start") >= 2 * F.col("_d")

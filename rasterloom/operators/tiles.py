@@ -25,22 +25,27 @@ TILE = 256
 TILE_KEY = ("image", "_ty", "_tx")
 
 
-def to_tiles(pixels: DataFrame, halo: int | Column, tile: int = TILE) -> DataFrame:
+def tile_for(halo: Column, tile: int = TILE) -> Column:
+    """Tile size for a halo that differs by row: never below twice the halo, so a row has at most four copies."""
+    return F.greatest(F.lit(int(tile)), 2 * halo)
+
+
+def to_tiles(pixels: DataFrame, halo: int | Column, tile: int | Column = TILE) -> DataFrame:
     """Copy rows into all tiles that need them and partition by tile."""
     reach = halo if isinstance(halo, Column) else F.lit(int(halo))
+    tile = tile if isinstance(tile, Column) else F.lit(int(tile))
     out = pixels
     for axis in ("y", "x"):
-        low = F.greatest(F.floor((F.col(axis) - reach) / F.lit(tile)), F.lit(0)).cast("int")
-        high = F.floor((F.col(axis) + reach) / F.lit(tile)).cast("int")
+        low = F.greatest(F.floor((F.col(axis) - reach) / tile), F.lit(0)).cast("int")
+        high = F.floor((F.col(axis) + reach) / tile).cast("int")
         out = out.withColumn(f"_t{axis}", F.explode(F.sequence(low, high)))
     return out.repartition(*TILE_KEY)
 
 
-def own_tile(tile: int = TILE) -> Column:
+def own_tile(tile: int | Column = TILE) -> Column:
     """True for rows inside their tile proper, not in its halo."""
-    return (F.floor(F.col("y") / F.lit(tile)) == F.col("_ty")) & (
-        F.floor(F.col("x") / F.lit(tile)) == F.col("_tx")
-    )
+    tile = tile if isinstance(tile, Column) else F.lit(int(tile))
+    return (F.floor(F.col("y") / tile) == F.col("_ty")) & (F.floor(F.col("x") / tile) == F.col("_tx"))
 
 
 def shift_rows(

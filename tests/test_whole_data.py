@@ -164,6 +164,13 @@ def test_far_point_adds_no_pairs(spark):
     assert pairs([*rows, ("f", 9999, 1e7, -1e7, 1e6, 1)])[:2] == plain[:2]
 
 
+@pytest.mark.parametrize("width", [1, 150, 849])
+def test_halo_copies_are_bounded(spark, width):
+    pixels = spark.range(4000).select(F.lit("a").alias("image"), (F.col("id") * 7).cast("int").alias("y"), (F.col("id") * 13 % 30_000).cast("int").alias("x"), F.lit(width).alias("_d"))
+    copies = tiles.to_tiles(pixels, F.col("_d"), tiles.tile_for(F.col("_d"))).groupBy("y", "x").count()
+    assert copies.agg(F.max("count")).first()[0] <= 4
+
+
 def test_windows_have_their_full_size(spark):
     seen = spark.createDataFrame([("a", 0, 0, 1), ("a", 1, 1, 2)], "image string, y int, x int, r int")
     dims = spark.createDataFrame([("a", 5, 7)], "image string, height int, width int")
