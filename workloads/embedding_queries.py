@@ -36,48 +36,37 @@ def _class_table(spark, folder):
 
 @query(
     "l2_normalize",
-    f"WITH {UNIT_SQL} SELECT vec_id, round(v[1], 6) AS first, round(v[64], 6) AS last, round(sqrt(list_dot_product(v, v)), 6) AS length FROM unit",
+    f"""WITH {UNIT_SQL} SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, round(unnest(v), 6) AS value,
+    round(sqrt(list_dot_product(v, v)), 6) AS length FROM unit""",
 )
 def l2_normalize(spark, folder):
     unit = _vectors(spark, folder).withColumn("v", vectors.l2_normalize(F.col("feature")))
     return unit.select(
-        "vec_id",
-        r6(F.col("v")[0]).alias("first"),
-        r6(F.col("v")[63]).alias("last"),
-        r6(vectors.norm(F.col("v"))).alias("length"),
-    )
+        "vec_id", F.posexplode("v").alias("pos", "value"), r6(vectors.norm(F.col("v"))).alias("length")
+    ).withColumn("value", r6("value"))
 
 
 @query(
     "prototypes",
-    f"WITH {UNIT_SQL} SELECT label AS instance_id, round(v[1], 6) AS first, round(v[33], 6) AS middle, len(v) AS size FROM proto WHERE label <> 0",
+    f"WITH {UNIT_SQL} SELECT label AS instance_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, round(unnest(v), 6) AS value FROM proto WHERE label <> 0",
 )
 def prototypes(spark, folder):
     rows = _vectors(spark, folder).select(F.col("label").alias("instance_id"), "feature")
     proto = instances.instance_prototypes(rows)
-    return proto.select(
-        "instance_id",
-        r6(F.col("feature")[0]).alias("first"),
-        r6(F.col("feature")[32]).alias("middle"),
-        F.size("feature").cast("long").alias("size"),
-    )
+    return rounded(proto.select("instance_id", F.posexplode("feature").alias("pos", "value")), "value")
 
 
 @query(
     "class_prototypes",
-    f"WITH {UNIT_SQL} SELECT label AS class_id, round(v[1], 6) AS first, round(list_dot_product(v, v), 6) AS length FROM cls",
+    f"WITH {UNIT_SQL} SELECT label AS class_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, round(unnest(v), 6) AS value FROM cls",
 )
 def class_prototypes(spark, folder):
     proto = _class_table(spark, folder)
-    return proto.select(
-        "class_id",
-        r6(F.col("feature")[0]).alias("first"),
-        r6(vectors.dot(F.col("feature"), F.col("feature"))).alias("length"),
-    )
+    return rounded(proto.select("class_id", F.posexplode("feature").alias("pos", "value")), "value")
 
 
 SCORES_SQL = UNIT_SQL + """,
-sims AS (SELECT u.vec_id, c.label AS class_id, list_dot_product(u.v, c.v) AS s FROM unit u CROSS JOIN cls c WHERE c.label < 8),
+sims AS (SELECT u.vec_id, c.label AS class_id, list_dot_product(u.v, c.v) AS s FROM unit u CROSS JOIN cls c),
 best AS (SELECT vec_id, max(s) AS score, arg_min(class_id, ROW(-s, class_id)) AS class_id FROM sims GROUP BY vec_id)"""
 
 
@@ -87,7 +76,7 @@ best AS (SELECT vec_id, max(s) AS score, arg_min(class_id, ROW(-s, class_id)) AS
 )
 def cosine_classify(spark, folder):
     rows = _vectors(spark, folder).select(F.col("vec_id").cast("int").alias("instance_id"), "feature")
-    classes = _class_table(spark, folder).filter(F.col("class_id") < 8)
+    classes = _class_table(spark, folder)
     return rounded(instances.classify_instances(rows, classes, 0.2), "score")
 
 
@@ -105,7 +94,7 @@ def label_override(spark, folder):
         .select(F.col("vec_id").cast("int").alias("instance_id"), (F.col("label") + 100).alias("label"))
     )
     rows = _vectors(spark, folder).select(F.col("vec_id").cast("int").alias("instance_id"), "feature")
-    classes = _class_table(spark, folder).filter(F.col("class_id") < 8)
+    classes = _class_table(spark, folder)
     left = instances.classify_instances(instances.without_label(rows, known), classes, 0.2)
     return instances.override_labels(left.select("instance_id", "label"), known)
 
@@ -279,22 +268,27 @@ def dual_features(spark, folder):
     return both.groupBy("image").agg(F.count("*").alias("pixels"), F.count_if("covered_b").alias("covered"))
 
 
+# two dense layers, 64 -> 6 -> 4, with weights from a rule
+_FIRST = [[((7 * i + 3 * j) % 11 - 5) / 10 for j in range(64)] for i in range(6)]
+_SECOND = [[((5 * i + 2 * j) % 7 - 3) / 4 for j in range(6)] for i in range(4)]
+_BIAS = ([0.1 * i - 0.2 for i in range(6)], [0.3, 0.0, 0.1, -0.4])
+
+
+def _layer_sql(vector: str, weights, bias, relu: bool) -> str:
+    cells = [f"list_dot_product({vector}, {[float(w) for w in row]!r}::DOUBLE[]) + ({b!r})::DOUBLE" for row, b in zip(weights, bias)]
+    return "[" + ", ".join(f"greatest({c}, 0)" if relu else c for c in cells) + "]"
+
+
 @query(
     "decode_vectors",
-    """WITH c AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
-    h AS (SELECT vec_id, greatest(a - b + 0.1e0, 0) AS h0, greatest(0.5e0 * b + c - 0.2e0, 0) AS h1, greatest(-a + 2e0 * c, 0) AS h2 FROM c),
-    o AS (SELECT vec_id, h0 + h1 + 0.3e0 AS o0, h1 - h2 AS o1, 0.5e0 * h0 + h2 + 0.1e0 AS o2, -h0 - 0.4e0 AS o3 FROM h)
-    SELECT vec_id, round(o0 / n, 6) AS o0, round(o1 / n, 6) AS o1, round(o2 / n, 6) AS o2, round(o3 / n, 6) AS o3
-    FROM (SELECT *, sqrt(o0 * o0 + o1 * o1 + o2 * o2 + o3 * o3) AS n FROM o)""",
+    f"""WITH h AS (SELECT vec_id, {_layer_sql("CAST(embedding AS DOUBLE[])", _FIRST, _BIAS[0], True)} AS v FROM embeddings),
+    o AS (SELECT vec_id, {_layer_sql("v", _SECOND, _BIAS[1], False)} AS v FROM h)
+    SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS pos, round(unnest(v) / sqrt(list_dot_product(v, v)), 6) AS value FROM o""",
 )
 def decode_vectors(spark, folder):
-    """Three numbers per row through two dense layers; the result has length one."""
+    """Whole vectors through two dense layers; the result has length one."""
     import numpy as np
 
-    layers = [
-        (np.array([[1, -1, 0], [0, 0.5, 1], [-1, 0, 2.0]]), np.array([0.1, -0.2, 0.0])),
-        (np.array([[1, 1, 0], [0, 1, -1], [0.5, 0, 1], [-1, 0, 0.0]]), np.array([0.3, 0.0, 0.1, -0.4])),
-    ]
-    small = _vectors(spark, folder).select("vec_id", F.slice("feature", 1, 3).alias("feature"))
-    out = features.decode_vectors(small, layers)
-    return out.select("vec_id", *[r6(F.col("feature")[i]).alias(f"o{i}") for i in range(4)])
+    layers = [(np.array(w), np.array(b)) for w, b in zip((_FIRST, _SECOND), _BIAS)]
+    out = features.decode_vectors(_vectors(spark, folder).select("vec_id", F.col("feature").cast("array<double>").alias("feature")), layers)
+    return rounded(out.select("vec_id", F.posexplode("feature").alias("pos", "value")), "value")

@@ -304,32 +304,35 @@ def _splats(spark, folder):
 
 @query(
     "splat_activate",
-    f"""WITH {SPLATS_SQL} SELECT point_idx, round(opacity, 6) AS opacity, round(s0, 6) AS s0, round(s2, 6) AS s2,
-    round(q1, 6) AS q1, round(q3, 6) AS q3 FROM act""",
+    f"""WITH {SPLATS_SQL} SELECT point_idx, round(opacity, 6) AS opacity, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2,
+    round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, round(q3, 6) AS q3 FROM act""",
 )
 def splat_activate(spark, folder):
     active = splats.activate(_splats(spark, folder))
     return active.select(
         "point_idx",
         r6("opacity").alias("opacity"),
-        r6(F.col("scale")[0]).alias("s0"),
-        r6(F.col("scale")[2]).alias("s2"),
-        r6(F.col("rot")[1]).alias("q1"),
-        r6(F.col("rot")[3]).alias("q3"),
+        *[r6(F.col("scale")[i]).alias(f"s{i}") for i in range(3)],
+        *[r6(F.col("rot")[i]).alias(f"q{i}") for i in range(4)],
     )
 
 
 @query(
     "splat_covariance",
     f"""WITH {SPLATS_SQL}, r AS (SELECT *, 1 - 2 * q2 * q2 - 2 * q3 * q3 AS a, 2 * q1 * q2 - 2 * q0 * q3 AS b, 2 * q1 * q3 + 2 * q0 * q2 AS c,
-      2 * q1 * q2 + 2 * q0 * q3 AS d, 1 - 2 * q1 * q1 - 2 * q3 * q3 AS e, 2 * q2 * q3 - 2 * q0 * q1 AS f FROM act)
+      2 * q1 * q2 + 2 * q0 * q3 AS d, 1 - 2 * q1 * q1 - 2 * q3 * q3 AS e, 2 * q2 * q3 - 2 * q0 * q1 AS f,
+      2 * q1 * q3 - 2 * q0 * q2 AS g, 2 * q2 * q3 + 2 * q0 * q1 AS h, 1 - 2 * q1 * q1 - 2 * q2 * q2 AS i FROM act)
     SELECT point_idx, round(a * a * s0 * s0 + b * b * s1 * s1 + c * c * s2 * s2, 5) AS xx,
-           round(a * d * s0 * s0 + b * e * s1 * s1 + c * f * s2 * s2, 5) AS xy FROM r""",
+           round(a * d * s0 * s0 + b * e * s1 * s1 + c * f * s2 * s2, 5) AS xy,
+           round(a * g * s0 * s0 + b * h * s1 * s1 + c * i * s2 * s2, 5) AS xz,
+           round(d * d * s0 * s0 + e * e * s1 * s1 + f * f * s2 * s2, 5) AS yy,
+           round(d * g * s0 * s0 + e * h * s1 * s1 + f * i * s2 * s2, 5) AS yz,
+           round(g * g * s0 * s0 + h * h * s1 * s1 + i * i * s2 * s2, 5) AS zz FROM r""",
 )
 def splat_covariance(spark, folder):
     cov = splats.covariance(splats.activate(_splats(spark, folder)))
     return cov.select(
-        "point_idx", F.round(F.col("cov")[0], 5).alias("xx"), F.round(F.col("cov")[1], 5).alias("xy")
+        "point_idx", *[F.round(F.col("cov")[i], 5).alias(n) for i, n in enumerate(("xx", "xy", "xz", "yy", "yz", "zz"))]
     )
 
 
@@ -363,17 +366,16 @@ def initial_scale(spark, folder):
 
 @query(
     "composite_alpha",
-    """SELECT o_orderkey AS pixel, round((o_custkey % 256) / 255e0 * ((o_orderkey % 11) / 10e0) + 1e0 * (1 - (o_orderkey % 11) / 10e0), 6) AS r
+    """SELECT o_orderkey AS pixel, round((o_custkey % 256) / 255e0 * ((o_orderkey % 11) / 10e0) + 1e0 * (1 - (o_orderkey % 11) / 10e0), 6) AS r,
+      round((o_custkey % 97) / 96e0 * ((o_orderkey % 11) / 10e0) + 1e0 * (1 - (o_orderkey % 11) / 10e0), 6) AS g,
+      round((o_custkey % 31) / 30e0 * ((o_orderkey % 11) / 10e0) + 1e0 * (1 - (o_orderkey % 11) / 10e0), 6) AS b
     FROM orders""",
 )
 def composite_alpha(spark, folder):
     orders = table(spark, folder, "orders")
-    level = F.col("o_custkey") % 256 / F.lit(255.0)
     pixels = orders.select(
         F.col("o_orderkey").alias("pixel"),
-        level.alias("r"),
-        level.alias("g"),
-        level.alias("b"),
+        *[(F.col("o_custkey") % n / F.lit(n - 1.0)).alias(c) for c, n in (("r", 256), ("g", 97), ("b", 31))],
         (F.col("o_orderkey") % 11 / F.lit(10.0)).alias("a"),
     )
-    return rounded(splats.composite_alpha(pixels, 1.0), "r").select("pixel", "r")
+    return rounded(splats.composite_alpha(pixels, 1.0), "r", "g", "b").select("pixel", "r", "g", "b")
