@@ -22,6 +22,8 @@ def build_session(app: str = "rasterloom", master: str | None = None, **conf: st
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # call sites of single expressions are costly to record and only help debugging
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # checkpoint files go once nothing refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

@@ -1,4 +1,4 @@
-"""Dense raster files as pixel tables. One file is one image and one unit of work."""
+"""Dense raster files as pixel tables. Arrays are read line by line, pictures file by file."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.paths import stem
+from rasterloom.sources import records
 
 _ROWS = 200_000
 # endings of pictures, in no particular order of preference
@@ -32,37 +33,35 @@ def _load(content: bytes) -> np.ndarray:
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
+def _array_lines(spark: SparkSession, path: str, axes: int, ending: str = ".npy") -> DataFrame:
+    """(image, line_no, shape, kind, line) of array files; a large file is read by several tasks."""
+    records.register(spark)
+    lines = spark.read.format("npy").option("axes", axes).option("ending", ending).load(path)
+    return lines.select(stem(F.col("src_file")).alias("image"), F.col("point_idx").alias("line_no"), "shape", "kind", "line")
+
+
 def read_label_rasters(spark: SparkSession, path: str, lowest_valid: int = 0) -> DataFrame:
     """Label arrays as sparse pixels; values below ``lowest_valid`` mean no label."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for image, content in zip(batch["image"], batch["content"]):
-                array = _load(content).astype(np.int32)
-                ys, xs = np.nonzero(array >= lowest_valid)
-                for low in range(0, len(ys), _ROWS):
-                    y, x = ys[low : low + _ROWS], xs[low : low + _ROWS]
-                    yield pd.DataFrame({"image": image, "y": y.astype(np.int32), "x": x.astype(np.int32), "label": array[y, x]})
+            for image, y, kind, line in zip(batch["image"], batch["line_no"], batch["kind"], batch["line"]):
+                labels = np.frombuffer(line, np.dtype(kind)).astype(np.int32)
+                x = np.flatnonzero(labels >= lowest_valid)
+                yield pd.DataFrame({"image": image, "y": np.int32(y), "x": x.astype(np.int32), "label": labels[x]})
 
-    return _arrays(spark, path).mapInPandas(explode, "image string, y int, x int, label int")
+    return _array_lines(spark, path, 1).mapInPandas(explode, "image string, y int, x int, label int")
 
 
 def read_raster_dims(spark: SparkSession, path: str) -> DataFrame:
-    """Height and width of every array, from the headers."""
-
-    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for image, file, head in zip(batch["image"], batch["path"], batch["content"]):
-                stream = io.BytesIO(head)
-                version = np.lib.format.read_magic(stream)
-                reader = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-                shape = reader(stream)[0]
-                rows.append((image, file, int(shape[0]), int(shape[1]), len(shape)))
-            yield pd.DataFrame(rows, columns=["image", "path", "height", "width", "axes"])
-
-    heads = _arrays(spark, path).withColumn("content", F.substring("content", 1, 65536))
-    return heads.mapInPandas(shapes, "image string, path string, height int, width int, axes int")
+    """Height and width of every array, from the headers alone."""
+    return records.read_shapes(spark, path).select(
+        stem(F.col("path")).alias("image"),
+        "path",
+        F.col("shape")[0].alias("height"),
+        F.col("shape")[1].alias("width"),
+        F.size("shape").alias("axes"),
+    )
 
 
 def detect_resolution(spark: SparkSession, path: str) -> DataFrame:
@@ -80,24 +79,17 @@ def read_feature_rasters(spark: SparkSession, path: str) -> DataFrame:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for image, content in zip(batch["image"], batch["content"]):
-                array = _load(content).astype(np.float32)
-                height, width, channels = array.shape
-                flat = array.reshape(-1, channels)
-                step = max(1, _ROWS // channels)
+            for image, y, shape, kind, line in zip(
+                batch["image"], batch["line_no"], batch["shape"], batch["kind"], batch["line"]
+            ):
+                flat = np.frombuffer(line, np.dtype(kind)).astype(np.float32).reshape(shape[1], shape[2])
+                step = max(1, _ROWS // shape[2])
                 for low in range(0, len(flat), step):
                     part = flat[low : low + step]
-                    at = np.arange(low, low + len(part))
-                    yield pd.DataFrame(
-                        {
-                            "image": image,
-                            "y": (at // width).astype(np.int32),
-                            "x": (at % width).astype(np.int32),
-                            "feature": list(part),
-                        }
-                    )
+                    x = np.arange(low, low + len(part), dtype=np.int32)
+                    yield pd.DataFrame({"image": image, "y": np.int32(y), "x": x, "feature": list(part)})
 
-    return _arrays(spark, path).mapInPandas(explode, "image string, y int, x int, feature array<float>")
+    return _array_lines(spark, path, 2).mapInPandas(explode, "image string, y int, x int, feature array<float>")
 
 
 def _plain(path: Column) -> Column:
@@ -217,38 +209,35 @@ def read_language_features(spark: SparkSession, folder: str) -> tuple[DataFrame,
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for image, content in zip(batch["image"], batch["content"]):
-                for level, plane in enumerate(_load(content)):
-                    height, width = plane.shape
-                    flat = plane.reshape(-1).astype(np.int32)
-                    for low in range(0, len(flat), _ROWS):
-                        part = flat[low : low + _ROWS]
-                        at = np.arange(low, low + len(part))
-                        yield pd.DataFrame(
-                            {
-                                "image": image[: -len("_s")],
-                                "level": np.int32(level),
-                                "y": (at // width).astype(np.int32),
-                                "x": (at % width).astype(np.int32),
-                                "seg": part,
-                            }
-                        )
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for image, content in zip(batch["image"], batch["content"]):
-                matrix = _load(content).astype(np.float32)
+            for image, number, shape, kind, line in zip(
+                batch["image"], batch["line_no"], batch["shape"], batch["kind"], batch["line"]
+            ):
+                seg = np.frombuffer(line, np.dtype(kind)).astype(np.int32)
+                level, y = divmod(number, shape[1])
                 yield pd.DataFrame(
                     {
-                        "image": image[: -len("_f")],
-                        "seg": np.arange(len(matrix), dtype=np.int32),
-                        "feature": list(matrix),
+                        "image": image[: -len("_s")],
+                        "level": np.int32(level),
+                        "y": np.int32(y),
+                        "x": np.arange(len(seg), dtype=np.int32),
+                        "seg": seg,
                     }
                 )
 
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            feature = [np.frombuffer(v, np.dtype(k)).astype(np.float32) for k, v in zip(batch["kind"], batch["line"])]
+            yield pd.DataFrame(
+                {
+                    "image": [i[: -len("_f")] for i in batch["image"]],
+                    "seg": batch["line_no"].astype(np.int32),
+                    "feature": feature,
+                }
+            )
+
     return (
-        _arrays(spark, folder, "*_s.npy").mapInPandas(segments, "image string, level int, y int, x int, seg int"),
-        _arrays(spark, folder, "*_f.npy").mapInPandas(vectors, "image string, seg int, feature array<float>"),
+        _array_lines(spark, folder, 1, "_s.npy").mapInPandas(segments, "image string, level int, y int, x int, seg int"),
+        _array_lines(spark, folder, 1, "_f.npy").mapInPandas(vectors, "image string, seg int, feature array<float>"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Spark data sources for files of fixed-length point records: ``las`` and ``ply``.
+"""Spark data sources for files of fixed-length records: ``las`` and ``ply`` points, ``npy`` array lines.
 
 A file is cut into byte ranges, one task each. A task reads the file's header and
 then the records that start inside its range, so record numbers (``point_idx``)
@@ -135,6 +135,8 @@ _ARROW = {
     "smallint": pa.int16(),
     "double": pa.float64(),
     "float": pa.float32(),
+    "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
 }
 
 # --- LAS --------------------------------------------------------------------------
@@ -283,6 +285,75 @@ class PlySource(DataSource):
         return PlyWriter(schema, self.options, overwrite)
 
 
+# --- arrays -----------------------------------------------------------------------
+
+NPY_SCHEMA = "src_file string, point_idx bigint, shape array<int>, kind string, line binary"
+
+
+def npy_header(file) -> tuple[tuple[int, ...], np.dtype, int]:
+    """Shape, item type and data offset of an array file; nothing past the header is read."""
+    file.seek(0)
+    version = np.lib.format.read_magic(file)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, by_column, dtype = read(file)
+    if by_column or dtype.hasobject:
+        raise ValueError("only plain arrays stored row by row are read")
+    return shape, dtype, file.tell()
+
+
+class NpyReader(RecordReader):
+    """One record is one line: the values of the last ``axes`` axes (option, 1 by default)."""
+
+    suffixes = (".npy",)
+
+    def __init__(self, schema: T.StructType, options: dict[str, str]):
+        super().__init__(schema, options)
+        self.axes = int(options.get("axes", 1))
+        self.suffixes = (options.get("ending", ".npy").lower(),)
+
+    def layout(self, file) -> Layout:
+        shape, dtype, start = npy_header(file)
+        if len(shape) < self.axes:
+            raise ValueError(f"an array of shape {shape} has no lines of {self.axes} axes")
+        width = int(np.prod(shape[len(shape) - self.axes :])) * dtype.itemsize
+        count = int(np.prod(shape[: len(shape) - self.axes])) if width else 0
+        return Layout(start, count, np.dtype((np.void, max(width, 1))), {"shape": list(shape), "kind": dtype.str})
+
+    def columns(self, block: np.ndarray, layout: Layout) -> dict[str, np.ndarray]:
+        n = len(block)
+        return {"shape": [layout.extra["shape"]] * n, "kind": [layout.extra["kind"]] * n, "line": block.tolist()}
+
+
+class NpySource(DataSource):
+    """``spark.read.format("npy").load(path)``: the lines of array files, large files in several tasks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npy"
+
+    def schema(self) -> str:
+        return NPY_SCHEMA
+
+    def reader(self, schema: T.StructType) -> NpyReader:
+        return NpyReader(schema, self.options)
+
+
+def read_shapes(spark: SparkSession, path: str, ending: str = ".npy"):
+    """(path, shape) of every array file, from the headers alone."""
+    files = [(p,) for p, _ in list_files(path, (ending.lower(),))]
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_filesystem(path)
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                with fs.open_input_file(name) as file:
+                    found.append(list(npy_header(file)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.list_(pa.int32()))], ["path", "shape"])
+
+    return spark.createDataFrame(files, "path string").mapInArrow(shapes, "path string, shape array<int>")
+
+
 def count_records(spark: SparkSession, path: str, kind: str) -> int:
     """Sum of the record counts that the files' headers state; one task row per file, no record is read."""
     source = {"las": LasReader, "ply": PlyReader}[kind]
@@ -304,5 +375,5 @@ def count_records(spark: SparkSession, path: str, kind: str) -> int:
 
 def register(spark: SparkSession) -> None:
     """Make the formats known to a session."""
-    for source in (LasSource, PlySource):
+    for source in (LasSource, PlySource, NpySource):
         spark.dataSource.register(source)

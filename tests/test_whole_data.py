@@ -13,7 +13,7 @@ from rasterloom.operators import camera, instances, knn, sampling, tiles
 from rasterloom.plans.evaluate import EvaluationConfig, compare_methods
 from rasterloom.plans.run import RunConfig, run_evaluation, store
 from rasterloom.sinks import tables
-from rasterloom.sources import configs, points, rasters
+from rasterloom.sources import configs, points, rasters, records
 from tests.test_sources import las_file
 
 
@@ -171,6 +171,23 @@ def test_halo_copies_are_bounded(spark, width):
     assert copies.agg(F.max("count")).first()[0] <= 4
 
 
+def test_arrays_are_split(spark, tmp_path):
+    """Lines of one array come from several tasks, whatever the byte borders, and sizes from headers."""
+    rng = np.random.default_rng(6)
+    labels = rng.integers(-1, 9, (57, 31)).astype(np.int16)
+    np.save(tmp_path / "a.npy", labels)
+    records.register(spark)
+    lines = spark.read.format("npy").option("splitbytes", "500").load(str(tmp_path))
+    assert lines.rdd.getNumPartitions() > 5 and lines.count() == 57
+    got = {(r.y, r.x): r.label for r in rasters.read_label_rasters(spark, str(tmp_path)).collect()}
+    assert got == {(y, x): int(labels[y, x]) for y, x in zip(*np.nonzero(labels >= 0))}
+    dims = rasters.read_raster_dims(spark, str(tmp_path)).first()
+    assert (dims.image, dims.height, dims.width, dims.axes) == ("a", 57, 31, 2)
+    np.save(tmp_path / "f.npy", np.asfortranarray(np.ones((3, 4))))
+    with pytest.raises(Exception, match="row by row"):
+        rasters.read_label_rasters(spark, str(tmp_path)).collect()
+
+
 def test_windows_have_their_full_size(spark):
     seen = spark.createDataFrame([("a", 0, 0, 1), ("a", 1, 1, 2)], "image string, y int, x int, r int")
     dims = spark.createDataFrame([("a", 5, 7)], "image string, height int, width int")
