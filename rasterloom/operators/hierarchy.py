@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators.joins import salted_join
 from rasterloom.session import cut_lineage
 
 # Which type decides when an instance falls under several.
@@ -27,19 +28,21 @@ def reached_types(entities: DataFrame, types: Sequence[str]) -> DataFrame:
     Paths are followed by pointer doubling: in each round every entity takes over
     what its pointer has gathered and then points twice as far, so a tree of depth
     n needs log2(n) joins. A round in which nothing is learned ends the search,
-    which also ends it on cycles. Every round is checkpointed.
+    which also ends it on cycles. Every round is checkpointed. Entities at the
+    top of their path leave the loop; a parent with very many children is looked
+    up through a salted join.
     """
     wanted = [str(t) for t in types]
     own = F.when(F.col("type").isin(wanted), F.array("type")).otherwise(F.array().cast("array<string>"))
     state = cut_lineage(entities.select("entity_id", F.col("parent_id").alias("ptr"), own.alias("types")))
+    finished = state.filter(F.col("ptr").isNull())
+    state = state.filter(F.col("ptr").isNotNull())
     while True:
-        target = state.select(
+        target = state.unionByName(finished).select(
             F.col("entity_id").alias("ptr"), F.col("ptr").alias("_next"), F.col("types").alias("_more")
         )
         state = cut_lineage(
-            state.filter(F.col("ptr").isNotNull())
-            .join(target, "ptr", "left")
-            .select(
+            salted_join(state, target, ["ptr"], "left", salts=16).select(
                 "entity_id",
                 F.col("_next").alias("ptr"),
                 F.when(F.col("_more").isNull(), F.col("types"))
@@ -47,17 +50,14 @@ def reached_types(entities: DataFrame, types: Sequence[str]) -> DataFrame:
                 .alias("types"),
                 (F.size(F.array_except(F.col("_more"), F.col("types"))) > 0).alias("learned"),
             )
-            .unionByName(
-                state.filter(F.col("ptr").isNull()).select(
-                    "entity_id", "ptr", "types", F.lit(False).alias("learned")
-                )
-            )
         )
         learned, linked = state.agg(F.bool_or("learned"), F.bool_or(F.col("ptr").isNotNull())).first()
+        state = state.drop("learned")
         if not (learned and linked):
             break
-        state = state.drop("learned")
-    return state.select("entity_id", "types")
+        finished = finished.unionByName(state.filter(F.col("ptr").isNull()))
+        state = state.filter(F.col("ptr").isNotNull())
+    return finished.unionByName(state).select("entity_id", "types")
 
 
 def descendants(entities: DataFrame, types: Sequence[str]) -> DataFrame:

@@ -218,7 +218,7 @@ def normalize_boxes(
         centered = F.col("_inverted") > 0.3
     else:
         centered = F.lit(box_format == "center")
-    sized = boxes.join(stats, batch).join(frames, "image")
+    sized = lookup_join(boxes.join(stats, batch), frames, ["image"])
     fraction = F.col("_top") <= 1.5
     unit_x = F.when(fraction, F.col("det_width").cast("double")).otherwise(1.0)
     unit_y = F.when(fraction, F.col("det_height").cast("double")).otherwise(1.0)
@@ -251,7 +251,7 @@ def scale_boxes(boxes: DataFrame, frames: DataFrame, target: DataFrame) -> DataF
     sx = F.col("_w") / F.col("width").cast("double")
     sy = F.col("_h") / F.col("height").cast("double")
     return (
-        boxes.join(sizes, "image")
+        lookup_join(boxes, sizes, ["image"])
         .withColumns(
             {
                 "x1": F.col("x1") * sx,

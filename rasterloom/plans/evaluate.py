@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import labels
 from rasterloom.operators import metrics, neighborhood, raster
+from rasterloom.operators.joins import lookup_join
 from rasterloom.session import cut_lineage, work_folder
 
 # The classes that count as positive at the binary level by default.
@@ -169,5 +170,5 @@ def compare_methods(
     )
     for table in also:
         common = common.join(table.select("image").distinct(), "image", "left_semi")
-    out = cache.join(common, "image", "left_semi")
+    out = lookup_join(cache, common, ["image"], "left_semi")
     return out if truth is None else raster.mask_by_truth(out, truth)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import instances, inventory
+from rasterloom.operators.joins import lookup_join
 
 
 def anchor_selection(
@@ -16,7 +17,7 @@ def anchor_selection(
     ``masks`` holds the covered pixels (class_id, y, x) of the anchor frame.
     """
     frame = inventory.anchor_image(instance_pixels.select("image"), anchor)
-    on_anchor = instance_pixels.join(frame, "image", "left_semi")
+    on_anchor = lookup_join(instance_pixels, frame, ["image"], "left_semi")
     area = on_anchor.groupBy("instance_id").agg(F.count("*").alias("area"))
     inside = (
         on_anchor.join(masks.select("class_id", "y", "x").distinct(), ["y", "x"])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import vectors
 from rasterloom.operators import features, hierarchy, instances, raster
+from rasterloom.operators.joins import lookup_join
 
 
 class Predictor(Protocol):
@@ -145,4 +146,4 @@ class BoxPredictor:
             )
         )
         both = marked.groupBy(*on).agg(F.max("pred_binary").alias("pred_binary"), F.max("pred_class").alias("pred_class"))
-        return self.instance_pixels.join(both, on).select(*raster.PIXEL, "pred_binary", "pred_class")
+        return lookup_join(self.instance_pixels, both, on).select(*raster.PIXEL, "pred_binary", "pred_class")

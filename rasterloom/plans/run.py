@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from rasterloom.operators import inventory, metrics, raster
+from rasterloom.operators.joins import lookup_join
 from rasterloom.plans.evaluate import Evaluation, EvaluationConfig, compare_methods, evaluate
 from rasterloom.plans.predictors import Predictor
 from rasterloom.sinks import tables
@@ -50,7 +51,7 @@ def run_evaluation(
         check_inputs(predictors, images, files)
 
     def chosen(pixels: DataFrame) -> DataFrame:
-        return pixels if not config.first_images else pixels.join(images, "image", "left_semi")
+        return pixels if not config.first_images else lookup_join(pixels, images, ["image"], "left_semi")
 
     predictions = {p.name: chosen(p.predict()) for p in predictors}
     own = {p.name: p.dims for p in predictors if getattr(p, "dims", None) is not None} | dict(prediction_dims or {})

@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from rasterloom.operators import camera, instances, knn, sampling, tiles
+from rasterloom.operators import camera, hierarchy, instances, knn, sampling, tiles
 from rasterloom.plans.evaluate import EvaluationConfig, compare_methods
 from rasterloom.plans.run import RunConfig, run_evaluation, store
 from rasterloom.sinks import tables
@@ -188,6 +188,15 @@ def test_arrays_are_split(spark, tmp_path):
         rasters.read_label_rasters(spark, str(tmp_path)).collect()
 
 
+def test_many_children_of_one_root(spark):
+    rows = spark.range(100_000).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("entity_id"), F.lit("Part").alias("type"), F.lit("r").alias("parent_id")
+    )
+    root = spark.createDataFrame([("r", "WallSurface", None)], "entity_id string, type string, parent_id string")
+    got = hierarchy.reached_types(rows.unionByName(root), ["WallSurface"])
+    assert got.count() == 100_001 and got.filter("types = array('WallSurface')").count() == 100_001
+
+
 def test_windows_have_their_full_size(spark):
     seen = spark.createDataFrame([("a", 0, 0, 1), ("a", 1, 1, 2)], "image string, y int, x int, r int")
     dims = spark.createDataFrame([("a", 5, 7)], "image string, height int, width int")
