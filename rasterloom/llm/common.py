@@ -63,9 +63,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: str
     ``size`` in ``groups`` is the number of rows of a key. Keys with more than
     total / HEAVY rows are fewer than HEAVY, so their broadcast has a fixed
     bound; all other keys are joined by a shuffle in which none is large.
+    ``groups`` is stored, so that looking for heavy keys does not make it twice.
     """
+    groups = stored(groups, "groups")
     heavy = F.col(size) * HEAVY > total
     first = groups.filter(heavy)
+    if first.isEmpty():
+        return rows.join(groups, list(on), "inner")
     many = rows.join(F.broadcast(first), list(on), "inner")
     rest = rows.join(F.broadcast(first.select(*on)), list(on), "left_anti")
     return many.unionByName(rest.join(groups.filter(~heavy), list(on), "inner"))

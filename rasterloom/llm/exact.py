@@ -39,9 +39,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         "exact-signs",
     )
     total = signs.count()
-    near = _shared(_shared(signs, ["_bytes"], total), ["_bytes", "_prefix"], total)
-    # whole texts are hashed for survivors only
-    chosen = near.select("doc_id").distinct()
+    near = stored(_shared(signs, ["_bytes"], total), "exact-lengths")
+    near = stored(_shared(near, ["_bytes", "_prefix"], total), "exact-prefixes")
+    # whole texts are hashed for survivors only; the join is a shuffle at every size
+    chosen = near.select("doc_id").distinct().hint("shuffle_hash")
     full = stored(
         source.join(chosen, source["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select(
             "doc_id", F.octet_length("_text").alias("_bytes"), F.sha2("_text", 256).alias("_hash")
