@@ -31,7 +31,9 @@ LENGTH = 200
 GRAM = 24
 SHALLOW = 32
 # Different stretches of one anchor that are sorted together; more are split by string hash.
-TOGETHER = 256
+TOGETHER = 50_000
+# Up to so many of them are compared through all pairs of common prefixes, more through classes by depth.
+PAIRWISE = 64
 # Bytes of a single text looked at together, and stretches sorted together.
 CHUNK = 4 << 20
 BLOCK = 20_000
@@ -269,6 +271,31 @@ def _agreement(order: np.ndarray, lcp: np.ndarray, starts: np.ndarray, size: int
     return sorted_[np.arange(len(starts))[:, None, None], rank[:, :, None], rank[:, None, :]]
 
 
+def _mark_by_depth(
+    marks: np.ndarray, sides: list, place: np.ndarray, count: np.ndarray, rows: slice, length: int
+) -> None:
+    """Marks the shared strings of one large group: for every number of bytes before the anchor, members that
+    fall into one class on both sides. A class is a run of sorted members whose common prefixes are long enough."""
+    size = rows.stop - rows.start
+    places = [(order[rows] - rows.start, lcp[rows]) for order, lcp in sides]
+    low, high = (place - count + 1)[rows], place[rows]
+    for before in range(length + 1):
+        valid = np.flatnonzero((low <= before) & (before <= high))
+        if len(valid) < 2:
+            continue
+        classes = []
+        for (order, lcp), depth in zip(places, (before, length - before)):
+            fresh = lcp < depth
+            fresh[0] = True
+            of = np.empty(size, np.int64)
+            of[order] = np.cumsum(fresh)
+            classes.append(of[valid])
+        _, back, n = np.unique(classes[0] * (size + 1) + classes[1], return_inverse=True, return_counts=True)
+        shared = valid[n[back] > 1] + rows.start
+        marks[shared, before] += 1
+        marks[shared, before + 1] -= 1
+
+
 def repeated(
     keys: np.ndarray, at: np.ndarray, left: list[bytes], right: list[bytes], length: int = LENGTH
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,7 +312,9 @@ def repeated(
     sizes = np.diff(np.append(starts, n))
     sides = [deep_shallow(s, group) for s in (left, right)]
     marks = np.zeros((n, length + 2), np.int32)
-    for size in np.unique(sizes[sizes > 1]).tolist():
+    for start, size in zip(starts[sizes > PAIRWISE].tolist(), sizes[sizes > PAIRWISE].tolist()):
+        _mark_by_depth(marks, sides, place, count, slice(start, start + size), length)
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= PAIRWISE)]).tolist():
         chosen = starts[sizes == size]
         for chunk in range(0, len(chosen), max(1, 2_000_000 // (size * size))):
             some = chosen[chunk : chunk + max(1, 2_000_000 // (size * size))]
@@ -318,9 +347,10 @@ def repeated_substrings(
     if not gram < length <= 255:
         raise ValueError("strings are longer than the anchor and at most 255 bytes")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = stored(_listed(docs, length, gram), "repeat-stretches")
-    total = found.count()
-    keys = found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    # listed anew for each use: storing all stretches would take half as much disk as the input
+    found = _listed(docs, length, gram)
+    keys = stored(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "repeat-keys")
+    total = keys.agg(F.sum("c")).first()[0] or 0
     shared = stored(join_groups(found, keys, ["key"], "c", total).drop("c"), "repeat-shared")
     variants = stored(
         shared.groupBy("key", "print").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "at")).alias("one")),

@@ -203,6 +203,29 @@ def test_repeats(docs, wide, none, rows, together):
         assert substrings.repeated_substrings(none).collect() == []
 
 
+@pytest.mark.parametrize("pairwise", [64, 1])
+def test_shared_strings_of_an_anchor(monkeypatch, pairwise):
+    """Both ways of comparing stretches against brute force."""
+    monkeypatch.setattr(substrings, "PAIRWISE", pairwise)
+    rng = np.random.default_rng(9)
+    length, anchor = 24, b"ANCHOR"
+    keys, at, left, right, windows = [], [], [], [], []
+    for key in range(12):
+        for _ in range(rng.integers(1, 9)):
+            before = bytes(rng.choice([97, 98], 2).astype(np.uint8)) * 6
+            before = before[: rng.integers(0, 13)]
+            count = int(rng.integers(1, len(before) + 2))
+            after = anchor + bytes(rng.choice([97, 98], 2).astype(np.uint8)) * 12
+            whole = (before + after)[: count - 1 + length]
+            keys.append(key), at.append(1000 << 16 | count << 8 | len(before))
+            left.append(before[::-1]), right.append(whole[len(before) :])
+            windows.append([(key, len(before) - i, whole[i : i + length]) for i in range(count)])
+    seen = collections.Counter(w for own in windows for w in set(own))
+    expected = {(n, 1000 + i + j) for n, own in enumerate(windows) for i, w in enumerate(own) if seen[w] > 1 for j in range(length)}
+    who, start, stop = substrings.repeated(np.array(keys), np.array(at), left, right, length)
+    assert {(n, p) for n, a, b in zip(who.tolist(), start.tolist(), stop.tolist()) for p in range(a, b)} == expected
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(5)
     for _ in range(60):
