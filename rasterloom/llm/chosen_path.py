@@ -5,9 +5,11 @@ each of several independent trees it walks a path whose next minhash position is
 chosen by the hash of the path so far, so two sets stay together at a step with
 the chance of their similarity. A node that is small enough is compared
 exhaustively on 128-bit sketches; a larger one is branched further, and its
-members are linked to its least member on the way. Nodes still large at the last
-depth compare members of different components only. Every candidate pair is
-confirmed on the full sets; copies of one set are never expanded into pairs.
+members are linked to its least member on the way. A first round of few trees
+finds most components; the second round, of all trees, ends a node as soon as its
+members are one component, so large groups are never expanded into pairs. Nodes
+still large at the last depth compare members of different components. Every
+candidate pair is confirmed on the full sets.
 
 A pair of similarity s that is alone in its node at depth d is missed by all
 trees with chance (1 - s^d)^trees: about 2e-9 for s = 0.8, d = 2 and 20 trees,
@@ -38,6 +40,8 @@ class Search:
 
     similarity: int = 80
     trees: int = 20
+    # trees of the first round, which connects most documents of each group
+    first_trees: int = 2
     node: int = 16
     first_depth: int = 2
     last_depth: int = 6
@@ -133,33 +137,47 @@ def _distance(a: str, b: str):
     )
 
 
-def candidates(classes: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, d) with a < b, and the members (key, rep, s1, s2) of nodes still large at the end."""
-    step = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(search.trees - 1).cast("long")))
-    rows = classes.select("rep", "s1", "s2", "mins", step.alias("key"))
+def candidates(classes: DataFrame, search: Search, trees: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, d) with a < b in different parts, and the members of nodes still large at the end.
+
+    ``classes`` has rep, part, mins, s1, s2. A node whose members are all of one
+    part has nothing to find and ends there, so pairs inside what is already
+    known to be connected are never made.
+    """
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")))
+    rows = classes.select("rep", "part", "s1", "s2", "mins", step.alias("key"))
     for _ in range(search.first_depth):
         rows = rows.withColumn("key", _next(F.col("key"), F.col("mins")))
-    pairs, kept = [], ["key", "rep", "s1", "s2"]
+    pairs, kept = [], ["key", "rep", "part", "s1", "s2"]
     depth = search.first_depth
     while True:
         rows = stored(rows.select(*kept), "path-rows")
         total = rows.count()
-        nodes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).filter("m > 1")
+        nodes = rows.groupBy("key").agg(
+            F.count("*").alias("m"), F.min("rep").alias("pivot"), F.min("part").alias("p0"), F.max("part").alias("p1")
+        )
+        nodes = nodes.filter("p0 < p1").select("key", "m", "pivot")
         rows = stored(join_groups(rows, nodes, ["key"], "m", total), "path-nodes")
         small, large = rows.filter(F.col("m") <= search.node), rows.filter(F.col("m") > search.node)
         a, b = small.select(*kept).alias("a"), small.select(*kept).alias("b")
-        near = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (_distance("a", "b") <= search.distance)
+        near = (
+            (F.col("a.key") == F.col("b.key"))
+            & (F.col("a.rep") < F.col("b.rep"))
+            & (F.col("a.part") != F.col("b.part"))
+            & (_distance("a", "b") <= search.distance)
+        )
         pairs.append(a.join(b, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), _distance("a", "b").alias("d")))
-        pivots = large.filter("rep = pivot").select("key", "rep", "s1", "s2", "m")
+        pivots = large.filter("rep = pivot").select("key", "rep", "part", "s1", "s2", "m")
         star = join_groups(
-            large.select(*kept).withColumnsRenamed({"rep": "b", "s1": "t1", "s2": "t2"}),
+            large.select(*kept).withColumnsRenamed({"rep": "b", "part": "bpart", "s1": "t1", "s2": "t2"}),
             pivots.withColumnRenamed("rep", "a"),
             ["key"],
             "m",
             total,
         )
         d = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        pairs.append(star.filter("a < b").select("a", "b", d.alias("d")).filter(F.col("d") <= search.distance))
+        star = star.filter("a < b AND part != bpart").select("a", "b", d.alias("d"))
+        pairs.append(star.filter(F.col("d") <= search.distance))
         if depth == search.last_depth or large.isEmpty():
             break
         depth += 1
@@ -173,6 +191,22 @@ def candidates(classes: DataFrame, search: Search) -> tuple[DataFrame, DataFrame
     return found, large.select(*kept)
 
 
+def crossing(leaves: DataFrame, search: Search) -> DataFrame:
+    """Pairs (a, b) of members in different parts of one node: each member outside the node's largest part meets all."""
+    members = stored(leaves, "path-leaves")
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top")).select("key", F.col("top.part").alias("main"))
+    few = salted_join(members, main, ["key"], salts=8).filter("part != main").select(
+        "key", F.col("rep").alias("q"), F.col("part").alias("qpart"), F.col("s1").alias("t1"), F.col("s2").alias("t2")
+    )
+    d = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+    return (
+        salted_join(members, few, ["key"], salts=8)
+        .filter((F.col("part") != F.col("qpart")) & (d <= search.distance))
+        .select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
+    )
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(u, v): pairs whose full sets reach the similarity."""
 
@@ -188,8 +222,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], ["u", "v"]
             )
 
-    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("y"))
+    # shuffled at every size: what is broadcast must not depend on how many pairs there are
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("x")).hint("merge")
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("y")).hint("merge")
     met = pairs.select("a", "b").join(left, "a").join(right, "b")
     return met.select("a", "b", "x", "y").mapInArrow(check, "u long, v long")
 
@@ -213,9 +248,6 @@ def near_duplicates(
     on = ["n", "f1", "f2"]
     groups = named.groupBy(*on).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_size"), F.first("mins").alias("mins"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     classes = stored(groups, "path-classes")
-    pairs, leaves = candidates(classes, search)
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-    wanted = wanted.unionByName(leaves.select("rep")).distinct()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -224,31 +256,26 @@ def near_duplicates(
             raw = [sets[e - n : e].astype("<u8").tobytes() for e, n in zip(ends, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(raw, pa.binary())], ["rep", "set"])
 
-    texts = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = stored(texts.dropDuplicates(["rep"]).mapInArrow(listed, "rep long, set binary"), "path-sets")
-    # first each document's closest candidate, then whatever still lies between two components
-    best = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = stored(confirmed(best, sets, search.similarity), "path-links")
-    labels = stored(components(links, "path-stars"), "path-labels")
-
-    def component(rows: DataFrame, column: str, name: str) -> DataFrame:
-        known = labels.select(F.col("node").alias(column), F.col("component").alias(name))
-        return salted_join(rows, known, [column], "left", salts=8).withColumn(name, F.coalesce(name, column))
-
-    members = stored(component(leaves, "rep", "part"), "path-leaves")
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    few = salted_join(members, mixed.select("key", F.col("top.part").alias("main")), ["key"], salts=8).filter("part != main")
-    few = few.select("key", F.col("rep").alias("q"), F.col("part").alias("qpart"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    d = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    across = (
-        salted_join(members, few, ["key"], salts=8)
-        .filter((F.col("part") != F.col("qpart")) & (d <= search.distance))
-        .select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Full sets of the documents in the pairs."""
+        wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["rep"], "left_semi")
+        texts = texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+        return stored(texts.mapInArrow(listed, "rep long, set binary"), "path-sets")
+
+    # a few trees connect the bulk of each group: every document by its closest candidate
+    pairs, _ = candidates(classes.withColumn("part", F.col("rep")), search, search.first_trees)
+    best = stored(
+        pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "path-best"
     )
-    rest = pairs.select("a", "b").unionByName(across).distinct()
-    rest = stored(component(component(rest, "a", "pa"), "b", "pb").filter("pa != pb").select("a", "b"), "path-rest")
-    more = confirmed(rest, sets, search.similarity)
+    links = stored(confirmed(best, sets_of(best), search.similarity), "path-links")
+    labels = stored(components(links, "path-stars"), "path-labels")
+    # all trees then look for links between what is still apart
+    known = labels.select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    apart = classes.join(known, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    pairs, leaves = candidates(stored(apart, "path-parts"), search, search.trees)
+    rest = stored(pairs.select("a", "b").unionByName(crossing(leaves, search)).distinct(), "path-rest")
+    more = confirmed(rest, sets_of(rest), search.similarity)
     final = stored(components(links.unionByName(more), "path-final"), "path-components")
     placed = classes.select(*on, "rep", "_size").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select(*on, "_size", F.coalesce("component", "rep").alias("component_id"))
