@@ -4,7 +4,9 @@ Each page is outlined once and its containers are scored by the running text
 they hold. The best container's path, generalised to tags and classes with
 numbers blanked, is the page's vote. Spark sums votes per host, and each page is
 extracted again from the container at its host's winning path, or from its own
-best container where that path is missing or empty.
+best container where that path is missing or empty. Navigation, hidden elements
+and the like are left out; forms and elements with names such as sidebar only
+where they do not hold what the page is about.
 """
 
 from __future__ import annotations
@@ -38,12 +40,14 @@ BLOCK = frozenset(
 )
 ENDS_PARAGRAPH = BLOCK - {"html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CONTAINER = frozenset("article main section div td body html blockquote center".split())
-# What is never article text: by element, by landmark role, by a word of a class or id.
+# What is never article text: by element, by landmark role.
 LEFT_OUT = frozenset(
-    "nav aside form footer head script style textarea title noscript iframe template xmp noembed noframes button "
+    "nav aside footer head script style textarea title noscript iframe template xmp noembed noframes button "
     "select input svg canvas object menu dialog".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog".split())
+# What is usually not article text: forms, and elements with one of these words in a class or id. Layout wrappers have
+# such names too (content-sidebar-wrap), so what such an element holds decides, see Outline._judge.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription sidebar sidenav "
@@ -51,6 +55,7 @@ NAMES = frozenset(
     "comments commentlist disqus respond reply replies share sharing social related recommended widget login "
     "signup search".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 _SAME_CLOSES = {"li": "li", "option": "option", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 
 
@@ -62,6 +67,8 @@ class Outline:
         self.parent = [-1]
         self.label = ["#page"]
         self.out = [False]
+        self.doubted = [False]
+        self.leading: list[set | frozenset] = [frozenset()]
         self.last = [0]
         self.linked = [False]
         self.texts: list[tuple[int, int, str]] = []
@@ -70,6 +77,7 @@ class Outline:
         self._read(html)
         while self._open:
             self.last[self._open.pop()] = len(self.tag) - 1
+        self._judge()
 
     def _close(self) -> None:
         node = self._open.pop()
@@ -99,14 +107,14 @@ class Outline:
             if tag == "br" and self.texts:
                 self.texts.append((self._open[-1], self._block, " "))
             return
-        names, role, hidden = "", "", False
+        names, ident, role, hidden = "", "", "", False
         if raw and not raw.isspace():
             for name, a, b, c in _ATTRIBUTE.findall(raw):
                 name, value = name.lower(), a or b or c
                 if name == "class":
                     names = value.lower()
                 elif name == "id":
-                    hidden |= bool(NAMES.intersection(_WORD.findall(value.lower()))) and tag not in ("body", "html")
+                    ident = value.lower()
                 elif name == "role":
                     role = value.lower()
                 elif name == "hidden":
@@ -116,8 +124,13 @@ class Outline:
         up = self._open[-1]
         classes = names.split()
         bad = tag in LEFT_OUT or hidden or role in ROLES
-        if not bad and classes and tag not in ("body", "html", "article", "main"):
-            bad = bool(NAMES.intersection(w for c in classes for w in _WORD.findall(c)))
+        doubted = tag == "form" or role == "form"
+        leading: set | frozenset = frozenset()
+        if (classes or ident) and not bad and tag not in ("body", "html"):
+            words = [_WORD.findall(c) for c in classes]
+            by_id = [_WORD.findall(c) for c in ident.split()]
+            leading = {w[0] for w in words + by_id if w}
+            doubted |= any(w in NAMES for c in (by_id if tag in ("article", "main") else words + by_id) for w in c)
         if tag == "header" and not any(self.tag[n] in ("article", "main") for n in self._open):
             bad = True
         node = len(self.tag)
@@ -125,6 +138,8 @@ class Outline:
         self.parent.append(up)
         self.label.append(".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})]))
         self.out.append(bad or self.out[up])
+        self.doubted.append(doubted)
+        self.leading.append(leading)
         self.linked.append(tag == "a" or self.linked[up])
         self.last.append(node)
         self._open.append(node)
@@ -155,6 +170,47 @@ class Outline:
         if at < len(html):
             self.texts.append((self._open[-1], self._block, html[at:]))
 
+    def _judge(self) -> None:
+        """Leaves out doubted elements, but not those that hold what the page is about.
+
+        That is the ``main`` with most running text; without one, the largest
+        article that is not named like a comment or teaser, if it holds as much as
+        all text outside doubted elements. An element with over half of the running
+        text of the page, or of the main or article it is in, stays as well. Comments
+        may well outgrow their article, so they need nine tenths, and no such main or
+        article on the page.
+        """
+        if True not in self.doubted:
+            return
+        count = len(self.tag)
+        under = [False] * count
+        for node in range(1, count):
+            under[node] = self.doubted[node] or under[self.parent[node]]
+        size, plain = [0.0] * count, 0.0
+        for node, _, text in self.texts:
+            if not self.out[node]:
+                length = len(text.strip()) * (0.1 if self.linked[node] else 1.0)
+                size[node] += length
+                plain += 0.0 if under[node] else length
+        for node in range(count - 1, 0, -1):
+            size[self.parent[node]] += size[node]
+        mains = [n for n in range(1, count) if self.tag[n] == "main" and size[n] > 0]
+        focus = max(mains, key=lambda n: (size[n], -n), default=0)
+        if not focus:
+            articles = [n for n in range(1, count) if self.tag[n] == "article" and size[n] > 0 and not self.leading[n] & NAMES]
+            focus = max(articles, key=lambda n: (size[n], -n), default=0)
+            focus = focus if size[focus] >= plain else 0
+        for node in range(1, count):
+            if self.doubted[node] and not self.out[node]:
+                stays = focus and node <= focus <= self.last[node]
+                if not stays and self.leading[node] & COMMENTS:
+                    stays = not focus and size[node] > 0.9 * size[0]
+                elif not stays:
+                    inside = focus and focus < node <= self.last[focus]
+                    stays = size[node] > 0.5 * size[focus if inside else 0]
+                self.out[node] = not stays
+            self.out[node] |= self.out[self.parent[node]]
+
     def path(self, node: int) -> str:
         parts = []
         while node > 0:

@@ -25,6 +25,49 @@ def test_extract():
     assert len(pages.extract(long, None)) == 249_999
 
 
+BODY = "<p>" + "A sentence of the article. " * 8 + "<p>" + "Another one of it. " * 8
+WHOLE = "\n".join((("A sentence of the article. " * 8).strip(), ("Another one of it. " * 8).strip()))
+SIDE = "<div class='sidebar'><p>Side text</p></div><nav>n</nav>"
+
+
+def test_wrappers_are_no_furniture():
+    """Layout wrappers with names of furniture, and forms around the page, lose nothing of what they hold."""
+    for page in (
+        f"<div class='content-sidebar-wrap'><main>{BODY}</main>{SIDE}</div>",
+        f"<div class='site-content has-sidebar'><article>{BODY}</article>{SIDE}</div>",
+        f"<form id='aspnetForm'><div class='page'>{BODY}</div>{SIDE}<input><button>go</button></form>",
+        f"<form><div class='widget-area'><div id='search-main'>{BODY}</div>{SIDE}</div></form>",
+        f"<div role='form'><div>{BODY}</div></div>",
+        f"<main id='has-sidebar'>{BODY}</main>{SIDE}",
+        f"<main><div class='main-sidebar-layout'><div>{BODY}</div>{SIDE}</div></main><div id='comments'>{'long reply. ' * 90}</div>",
+        f"<div class='comments-open single'><div>{BODY}</div></div>",
+    ):
+        page = f"<body>{page}</body>"
+        assert pages.extract(page, None) == WHOLE, page
+        assert pages.extract(page, pages.vote(page)[0]) == WHOLE, page
+
+
+def test_furniture_stays_out():
+    """Comments longer than their article, teasers and side columns are still left out."""
+    talk = "<li class='comment'><article id='c-1' class='comment-body'><p>" + "a long reply. " * 60 + "</article>"
+    card = "<article class='card'><p>A teaser</article>"
+    for page in (
+        f"<article>{BODY}</article><div id='comments'><ol class='commentlist'>{talk * 3}</ol></div>",
+        f"<div class='post'>{BODY}</div><div id='comments'><ol>{talk}</ol></div>",
+        f"<div class='post'>{BODY}<div class='related-posts'>{card * 3}</div></div>{SIDE}",
+        f"<div class='post'>{BODY}<form><p>Write to us</form></div><aside>{card * 9}</aside>",
+    ):
+        assert pages.extract(f"<body>{page}</body>", None) == WHOLE, page
+
+
+def test_wrapped_hosts(spark):
+    ship(spark)
+    page = f"<body><div class='logo'>Site</div><form id='aspnetForm'><div class='content-sidebar-wrap'><article>{BODY}</article>{SIDE}</div></form></body>"
+    rows = [(i, f"http://w.example/{i}", page) for i in range(4)]
+    out = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in out] == [WHOLE] * 4
+
+
 def test_hosts_vote(spark):
     ship(spark)
     own = "<body><div class='main-1'><p>" + "good text here. " * 5 + "</p></div><div class='odd'>%s</div></body>"
