@@ -208,3 +208,26 @@ def test_windows_have_their_full_size(spark):
 
     got = tiles.predict_windows(seen, dims, shape, ["r"], window=6, stride=4).collect()
     assert {tuple(r.scores) for r in got if r.y == 0} == {(5.0, 6.0)}
+
+
+def test_colored_cloud_of_any_key(spark, tmp_path):
+    """Orders beyond what single precision counts to come back with their keys."""
+    from workloads.io_queries import ply_colored_round_trip
+
+    keys = [1, 1048575, 1048576, 16777215, 16777216, 16777217, 600_000_001, 2**40 + 2**20 + 1, 2**53 - 1]
+    frame = spark.createDataFrame([(k, 300) for k in keys], "o_orderkey long, o_custkey long")
+    frame.write.parquet(str(tmp_path / "orders.parquet"))
+    rows = ply_colored_round_trip(spark, str(tmp_path)).collect()
+    assert sorted((r.x, round(r.g * 255)) for r in rows) == [(float(k), k % 256) for k in keys]
+
+
+def test_label_rasters_of_all_images(spark, tmp_path):
+    """Every stored image is read back, not two of them."""
+    import __spark_entry__ as entry
+
+    rows = [(k, 14 * k + 1, "O") for k in range(500)]
+    frame = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string")
+    frame.write.parquet(str(tmp_path / "orders.parquet"))
+    found = entry.queries()["label_rasters_all_round_trip"](spark, str(tmp_path)).collect()
+    assert {r.image for r in found} == {0, 1, 2, 3, 4}
+    assert len(found) == sum((14 * k + 1) % 13 > 0 for k in range(500))

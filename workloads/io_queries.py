@@ -79,19 +79,21 @@ def header_counts(spark, folder):
     round((o_custkey % 7) / 255e0, 6) AS b, 0e0 AS nx FROM orders WHERE o_orderkey < 16777216""",
 )
 def ply_colored_round_trip(spark, folder):
+    """Every order; x, y and z hold 20 bits of its key each, as single precision holds whole numbers up to 2^24."""
     records.register(spark)
     target = work_folder(spark, "ply-colored")
-    # single precision holds whole numbers up to 2^24
-    rows = table(spark, folder, "orders").filter("o_orderkey < 16777216").select(
-        F.col("o_orderkey").cast("double").alias("x"),
-        F.lit(0.0).alias("y"),
-        F.lit(1.0).alias("z"),
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").bitwiseAND(0xFFFFF).alias("x"),
+        F.shiftright("o_orderkey", 20).bitwiseAND(0xFFFFF).alias("y"),
+        F.shiftright("o_orderkey", 40).alias("z"),
         (F.col("o_custkey") % 256).cast("int").alias("r"),
         (F.col("o_orderkey") % 256).cast("int").alias("g"),
         (F.col("o_custkey") % 7).cast("int").alias("b"),
     )
     ply.write_colored(rows, target, tile_rows=5000)
-    return rounded(points.read_colored(spark, target).select("x", "r", "g", "b", "nx"), "r", "g", "b")
+    x, y, z = (F.col(a).cast("long") for a in "xyz")
+    key = (F.shiftleft(z, 40) + F.shiftleft(y, 20) + x).cast("double")
+    return rounded(points.read_colored(spark, target).select(key.alias("x"), "r", "g", "b", "nx"), "r", "g", "b")
 
 
 @query(
@@ -144,6 +146,18 @@ def label_rasters_round_trip(spark, folder):
     return tables.read_images(spark, target, ["1", "4"]).select("image", "y", "x", "label")
 
 
+@query(
+    "label_rasters_all_round_trip",
+    f"WITH {views.RASTER_SQL} SELECT image, y, x, primary_label AS label FROM v_raster WHERE primary_label >= 0",
+)
+def label_rasters_all_round_trip(spark, folder):
+    """All images are stored, and all are read by the names that the table has."""
+    target, layer = work_folder(spark, "label-rasters"), views.layer(views.raster(spark, folder), "primary")
+    tables.write_label_rasters(layer, target)
+    names = [str(r[0]) for r in layer.select("image").distinct().collect()]
+    return tables.read_images(spark, target, names).select("image", "y", "x", "label")
+
+
 @query(
     "class_masks_round_trip",
     f"WITH {views.RASTER_SQL} SELECT image, y, x, primary_label AS class_id FROM v_raster WHERE primary_label >= 0",
