@@ -1,4 +1,9 @@
-"""Small JSON files that steer a run: class names, colours, maps, rates, frames, entities."""
+"""JSON files that steer a run: class names, colours, maps, rates, frames, entities.
+
+A file is one JSON object and small. Class names and entities may be many: with
+``lines`` each line is an object with some of the entries, and lines are read by
+many tasks.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _text(spark: SparkSession, path: str) -> DataFrame | None:
-    """The whole file as one row, or None where there is no file."""
+def _text(spark: SparkSession, path: str, lines: bool = False) -> DataFrame | None:
+    """The whole file as one row, or a row per line, or None where there is no file."""
     try:
-        return spark.read.text(path, wholetext=True)
+        return spark.read.text(path, wholetext=not lines)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return None
 
 
-def _document(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The file's JSON object as (key, value) rows; a missing file gives none."""
-    whole = _text(spark, path)
+def _document(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """The file's JSON object, or one object per line, as (key, value) rows; a missing file gives none."""
+    whole = _text(spark, path, lines)
     if whole is None:
         return spark.createDataFrame([], f"key string, value {kind}")
     return whole.select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias("key", "value"))
 
 
-def read_int_map(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
+def read_int_map(spark: SparkSession, path: str, kind: str = "int", lines: bool = False) -> DataFrame:
     """(key, value) of a JSON object with integer keys; keys with a leading _ are notes."""
-    return _document(spark, path, kind).filter(~F.col("key").startswith("_")).select(
+    return _document(spark, path, kind, lines).filter(~F.col("key").startswith("_")).select(
         F.col("key").cast("int").alias("key"), "value"
     )
 
@@ -37,9 +42,9 @@ def read_retention(spark: SparkSession, path: str) -> dict[int, float]:
     return {r["key"]: r["value"] for r in rows.collect()}
 
 
-def read_class_prompts(spark: SparkSession, path: str) -> DataFrame:
+def read_class_prompts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(class_id, prompts) where a class has one text or a list; the first is its name."""
-    texts = read_int_map(spark, path, "string")
+    texts = read_int_map(spark, path, "string", lines)
     listed = F.from_json("value", "array<string>")
     is_list = F.trim("value").startswith("[")
     return texts.select(
@@ -70,9 +75,9 @@ def read_frame_shift(spark: SparkSession, path: str) -> tuple[float, float, floa
     return tuple(row["s"])
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
+def read_entities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(entity_id, type, parent_id) of a JSON object of typed entities."""
-    return _document(spark, path, "struct<type:string,parent:string>").select(
+    return _document(spark, path, "struct<type:string,parent:string>", lines).select(
         F.col("key").alias("entity_id"),
         F.coalesce("value.type", F.lit("")).alias("type"),
         F.col("value.parent").alias("parent_id"),

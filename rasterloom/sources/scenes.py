@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions.geometry import fov_to_focal, focal_to_fov
 from rasterloom.functions.paths import stem
 from rasterloom.operators.camera import resolve_cameras
+from rasterloom.operators.ranking import numbered
 
 # Model number, name and parameter count of the binary camera files.
 CAMERA_MODELS = {
@@ -212,20 +213,27 @@ def load_cameras(
     return resolve_cameras(*read_scene(spark, folder), target_width, target_height)
 
 
-def read_transform_cameras(spark: SparkSession, path: str, width: int, height: int, extension: str = ".png") -> DataFrame:
+def read_transform_cameras(
+    spark: SparkSession, path: str, width: int, height: int, extension: str = ".png", lines: bool = False
+) -> DataFrame:
     """Cameras of a pose JSON file (camera_angle_x and frames with 4x4 matrices).
 
     The matrices go from camera to world with y up and z back. Flipping those two
     axes and inverting the rigid motion gives world to camera. The file does not
-    state the image size, so the caller does.
+    state the image size, so the caller does. ``uid`` is the place of a frame.
+
+    With ``lines`` each line is such an object with some of the frames, and lines
+    are read by many tasks; frames are then numbered in the order of their paths.
     """
     schema = "camera_angle_x double, frames array<struct<file_path:string,transform_matrix:array<array<double>>>>"
     frames = (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .json(path)
         .select("camera_angle_x", F.posexplode("frames").alias("uid", "f"))
     )
+    if lines:
+        frames = numbered(frames.drop("uid").withColumn("_path", F.col("f.file_path")), ["_path"], "uid")
     m = F.col("f.transform_matrix")
 
     def c2w(row: int, column: int) -> Column:

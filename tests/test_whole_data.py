@@ -231,3 +231,37 @@ def test_label_rasters_of_all_images(spark, tmp_path):
     found = entry.queries()["label_rasters_all_round_trip"](spark, str(tmp_path)).collect()
     assert {r.image for r in found} == {0, 1, 2, 3, 4}
     assert len(found) == sum((14 * k + 1) % 13 > 0 for k in range(500))
+
+
+def test_configuration_is_stored_and_read_by_entry(spark, tmp_path):
+    """Tables that grow become one line an entry in several files, no row holds them whole."""
+    from rasterloom.sources import scenes
+    from workloads import io_queries
+
+    n = 1000
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.concat(F.lit("n \"[x] "), "id").alias("p_name"), F.lit(None).cast("string").alias("p_brand"))
+    stored = io_queries._entries(part.repartition(3), "p_partkey", F.array("p_name", "p_brand"), str(tmp_path / "prompts"))
+    assert spark.read.text(stored).count() == n and len(list((tmp_path / "prompts").glob("part-*"))) == 3
+    back = {r.class_id: list(r.prompts) for r in configs.read_class_prompts(spark, stored, lines=True).collect()}
+    assert back == {i: [f'n "[x] {i}', None] for i in range(n)}
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "1.txt").write_text('{"a": {"type": "Window", "parent": null}, "c": {"parent": "b"}}\n\n')
+    (tmp_path / "e" / "2.txt").write_text('{"b": {"parent": "a"}}\n')
+    found = configs.read_entities(spark, str(tmp_path / "e"), lines=True).collect()
+    assert {tuple(r) for r in found} == {("a", "Window", None), ("b", "", "a"), ("c", "", "b")} and len(found) == 3
+    pose = {"camera_angle_x": 0.8, "frames": [{"file_path": "r_0", "transform_matrix": np.eye(4).tolist()}]}
+    lines = [json.dumps(pose | {"frames": [pose["frames"][0] | {"file_path": f"r_{i}"}]}) for i in (2, 0, 1)]
+    (tmp_path / "t.json").write_text("\n".join(lines))
+    seen = scenes.read_transform_cameras(spark, str(tmp_path / "t.json"), 800, 600, lines=True).collect()
+    assert {(r.uid, r.image) for r in seen} == {(i, f"r_{i}") for i in range(3)}
+
+
+@pytest.mark.parametrize("name", ["class_prompts_file", "entities_file", "transform_cameras_file"])
+def test_growing_tables_are_not_gathered(spark, monkeypatch, name):
+    """What these queries store has a line for each row."""
+    from workloads import io_queries
+
+    counts, store_lines = [], io_queries._lines
+    monkeypatch.setattr(io_queries, "_lines", lambda df, target: counts.append(df.count()) or store_lines(df, target))
+    rows = getattr(io_queries, name)(spark, "/root/testdata/sf0.001").count()
+    assert counts == [rows] and rows > 1

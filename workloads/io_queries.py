@@ -22,12 +22,17 @@ def _lines(df: DataFrame, target: str) -> str:
 
 
 def _object(df: DataFrame, key: str, value, target: str) -> str:
-    """A small table as one JSON object in one line of one file."""
+    """A table of bounded size as one JSON object in one line of one file."""
     entries = F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), value.alias("v"))))
     one = df.agg(F.to_json(F.map_from_entries(entries)).alias("value"))
     return _lines(one, target)
 
 
+def _entries(df: DataFrame, key: str, value, target: str) -> str:
+    """A table of any size as JSON objects, one entry a line, stored by the tasks that have the rows."""
+    return _lines(df.select(F.to_json(F.create_map(F.col(key).cast("string"), value)).alias("value")), target)
+
+
 # --- point files ------------------------------------------------------------------
 
 
@@ -288,8 +293,8 @@ def int_map_file(spark, folder):
 def class_prompts_file(spark, folder):
     """Every part as a class with two prompts."""
     part = table(spark, folder, "part")
-    path = _object(part, "p_partkey", F.array("p_name", "p_brand"), work_folder(spark, "prompts"))
-    back = configs.read_class_prompts(spark, path)
+    path = _entries(part, "p_partkey", F.array("p_name", "p_brand"), work_folder(spark, "prompts"))
+    back = configs.read_class_prompts(spark, path, lines=True)
     return back.select("class_id", F.col("prompts")[0].alias("name"), F.size("prompts").alias("n"))
 
 
@@ -299,8 +304,8 @@ def class_prompts_file(spark, folder):
 )
 def entities_file(spark, folder):
     value = F.struct("type", F.col("parent_id").alias("parent"))
-    path = _object(views.entities(spark, folder), "entity_id", value, work_folder(spark, "entities"))
-    return configs.read_entities(spark, path)
+    path = _entries(views.entities(spark, folder), "entity_id", value, work_folder(spark, "entities"))
+    return configs.read_entities(spark, path, lines=True)
 
 
 @query(
@@ -353,7 +358,7 @@ def scene_points_text(spark, folder):
     """SELECT concat('v', CAST(s_suppkey AS STRING)) AS image, 800 AS width, -(s_suppkey * 1e0) AS t0, 2e0 AS t1, 3e0 AS t2, 1e0 AS r00, -1e0 AS r11 FROM supplier""",
 )
 def transform_cameras_file(spark, folder):
-    """One pose file with a frame per supplier, axis-aligned, at x = key, y = 2, z = 3."""
+    """Pose lines with a frame per supplier, axis-aligned, at x = key, y = 2, z = 3."""
     key = F.col("s_suppkey")
 
     def row(*values):
@@ -361,7 +366,7 @@ def transform_cameras_file(spark, folder):
 
     matrix = F.array(row(1, 0, 0, key * F.lit(1.0)), row(0, 1, 0, 2), row(0, 0, 1, 3), row(0, 0, 0, 1))
     frame = F.struct(F.concat(F.lit("r/v"), key.cast("string")).alias("file_path"), matrix.alias("transform_matrix"))
-    one = table(spark, folder, "supplier").agg(F.collect_list(frame).alias("frames")).withColumn("camera_angle_x", F.lit(0.5))
-    path = _lines(one.select(F.to_json(F.struct("camera_angle_x", "frames"))), work_folder(spark, "transforms"))
-    back = scenes.read_transform_cameras(spark, path, 800, 600)
+    poses = table(spark, folder, "supplier").select(F.lit(0.5).alias("camera_angle_x"), F.array(frame).alias("frames"))
+    path = _lines(poses.select(F.to_json(F.struct("camera_angle_x", "frames"))), work_folder(spark, "transforms"))
+    back = scenes.read_transform_cameras(spark, path, 800, 600, lines=True)
     return back.select("image", "width", *[r6(n).alias(n) for n in ("t0", "t1", "t2", "r00", "r11")])
