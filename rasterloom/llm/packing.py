@@ -1,13 +1,13 @@
-"""Best-fit packing in bulk-synchronous rounds.
-
-Pieces and gaps are sorted by size. Both are held as runs: all pieces of one
-length, and all sequences with one gap, are a count and a range of ranks, so
-either side has at most ``capacity`` runs at any input size. A round takes the
-longest pieces left; a successor sweep over the sorted gaps finds the smallest
-that holds them; where more pieces than gaps compete, the pieces of lower rank
-win; gaps are updated and the sweep repeats until the length is placed. That is
-best-fit decreasing. Ranking the pieces inside a length, and giving each piece
-its place, are distributed.
+"""Best-fit-decreasing packing, matched on the driver over the histogram of lengths.
+
+Pieces and gaps are held as runs: all pieces of one length, and all sequences
+with one gap, are a count and a range of ranks, so either side has at most
+``capacity`` sizes at any input size. Matching is a sequential loop over these
+runs on the driver: lengths in falling order, and for each a binary search for
+the smallest gap that holds it; pieces of lower rank are placed first. There are
+no distributed rounds, sweeps or conflicts: the histogram is bounded, and a round
+of Spark jobs for each size would only add to it. Counting the lengths, ranking
+the pieces inside a length, and giving each piece its place, are distributed.
 """
 
 from __future__ import annotations
