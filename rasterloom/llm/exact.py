@@ -21,9 +21,14 @@ def _shared(rows: DataFrame, on: list[str], total: int) -> DataFrame:
     return join_groups(rows, groups, on, "_size", total).drop("_size")
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
+def exact_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX, digest: bool = False
+) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept.
 
+    With ``digest`` each row also has the text_sha256 of its own lower-cased text;
+    then the texts of all documents are hashed, not only those of survivors.
+
     Texts are equal when they agree after lower-casing A-Z; null counts as
     empty. Of equal texts the largest doc_id stays; a null doc_id is smaller than
     any other. Rows that repeat a doc_id with the same text are kept or dropped
@@ -42,7 +47,23 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     near = stored(_shared(signs, ["_bytes"], total), "exact-lengths")
     near = stored(_shared(near, ["_bytes", "_prefix"], total), "exact-prefixes")
     # whole texts are hashed for survivors only; the join is a shuffle at every size
-    chosen = near.select("doc_id").distinct().hint("shuffle_hash")
+    chosen = near.select("doc_id").distinct()
+    if digest:
+        marked = chosen.select(F.col("doc_id").alias("_near_id"), F.lit(True).alias("_near")).hint("shuffle_hash")
+        hashed = stored(
+            source.join(marked, source["doc_id"].eqNullSafe(marked["_near_id"]), "left").select(
+                "doc_id", F.octet_length("_text").alias("_bytes"), F.sha2("_text", 256).alias("_hash"), "_near"
+            ),
+            "exact-hashes",
+        )
+        full, rest = hashed.filter("_near").drop("_near"), hashed.filter("_near IS NULL")
+        groups = full.groupBy("_bytes", "_hash").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+        last = join_groups(full, groups, ["_bytes", "_hash"], "group_size", total)
+        alone = rest.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "_hash")
+        return last.select("doc_id", "keep_id", "group_size", "_hash").unionByName(alone).select(
+            "doc_id", "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("kept"), F.col("_hash").alias("text_sha256")
+        )
+    chosen = chosen.hint("shuffle_hash")
     full = stored(
         source.join(chosen, source["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").select(
             "doc_id", F.octet_length("_text").alias("_bytes"), F.sha2("_text", 256).alias("_hash")

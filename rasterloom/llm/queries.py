@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import chosen_path, exact, mixture, packing, pages, ppm, rans, repetition, substrings, transducer
-from rasterloom.llm.common import lower_ascii, ship, table
+from rasterloom.llm.common import ship, table
 from rasterloom.session import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,7 @@ def op2_rans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_progressive_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = exact.exact_duplicates(docs)
-    digest = docs.select("doc_id", F.sha2(lower_ascii(F.col("text")), 256).alias("text_sha256"))
-    return found.join(digest, "doc_id")
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), digest=True)
 
 
 OP3_SQL = f"""

@@ -139,6 +139,25 @@ def test_exact(spark, docs, wide, none, rows):
     )
 
 
+def test_exact_query_with_null_ids(spark, tmp_path):
+    """Every row comes back once with its own digest, also where ids are null or repeated."""
+    from hashlib import sha256
+
+    import __spark_entry__ as entry
+
+    odd = [(None, "a"), (None, "b"), (None, "A"), (1, "a"), (1, "a"), (2, None), (3, "long and alone")]
+    spark.createDataFrame(odd, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["op3_progressive_exact"](spark, str(tmp_path)).collect()
+
+    def sha(text):
+        return sha256(text.encode()).hexdigest()
+
+    wanted = [(None, 1, 4, False, sha("a"))] * 2 + [(1, 1, 4, True, sha("a"))] * 2
+    wanted += [(None, None, 1, True, sha("b")), (2, 2, 1, True, sha("")), (3, 3, 1, True, sha("long and alone"))]
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(wanted, key=str)
+
+
 # -- near duplicates
 
 
