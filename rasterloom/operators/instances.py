@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,6 +18,8 @@ from rasterloom.session import cut_lineage
 
 # Prototype vectors that one task compares at once.
 PROTOTYPE_BLOCK = 4096
+# Instances, in vectors of 512 numbers, that meet a block of prototypes at once (about 64 MB).
+INSTANCE_BLOCK = 16_384
 
 
 def select_by_share(pixels: DataFrame, threshold: float = 0.7, by: Sequence[str] = ("image",)) -> DataFrame:
@@ -112,13 +115,15 @@ def classify_instances(
     Blocks of instances meet blocks of at most about ``PROTOTYPE_BLOCK``
     prototypes as matrix products; each instance keeps one best class per block,
     and the best of those wins. Neither side passes through the driver, and a
-    task holds one block of each, whatever their number.
+    task holds one block of each, whatever their number: blocks of instances have
+    about ``INSTANCE_BLOCK`` vectors, fewer where vectors are longer than 512.
     """
     classes = prototypes.select(F.col(key).cast("int").alias("label"), F.col("feature").cast("array<double>").alias("feature"))
     blocks = -(-classes.count() // PROTOTYPE_BLOCK)
     if not blocks:
         return instances.select("instance_id", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("score"))
-    parts = instances.sparkSession.sparkContext.defaultParallelism
+    held = instances.agg(F.sum(F.greatest(F.size("feature") / F.lit(512.0), F.lit(1.0))).alias("size")).first()
+    parts = max(instances.sparkSession.sparkContext.defaultParallelism, math.ceil((held["size"] or 0) / INSTANCE_BLOCK))
     unit = vectors.l2_normalize(F.col("feature"))
     # copies of an instance are told apart by their vectors
     left = instances.select("instance_id", unit.alias("feature")).withColumns(

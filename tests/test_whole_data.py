@@ -265,3 +265,24 @@ def test_growing_tables_are_not_gathered(spark, monkeypatch, name):
     monkeypatch.setattr(io_queries, "_lines", lambda df, target: counts.append(df.count()) or store_lines(df, target))
     rows = getattr(io_queries, name)(spark, "/root/testdata/sf0.001").count()
     assert counts == [rows] and rows > 1
+
+
+@pytest.mark.parametrize("width, block, most", [(2, 10, 40), (1024, 20, 40)])
+def test_blocks_of_instances_are_bounded(spark, monkeypatch, width, block, most):
+    """More instances, or longer vectors, give more groups, and not larger ones."""
+    monkeypatch.setattr(instances, "INSTANCE_BLOCK", block)
+    sizes, call = [], type(spark.range(1).groupBy("id")).cogroup
+
+    def cogroup(left, right):
+        sizes.extend(r["count"] for r in left.count().collect())
+        return call(left, right)
+
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "cogroup", cogroup)
+    vectors = [[float((i * 7 + j) % 5 + 1) + i % 3 * j / width for j in range(width)] for i in range(400)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "instance_id int, feature array<double>")
+    classes = spark.createDataFrame([(c, vectors[c]) for c in range(3)], "class_id int, feature array<double>")
+    got = {r.instance_id: r for r in instances.classify_instances(rows, classes, -1.0).collect()}
+    assert sum(sizes) == len(got) == 400 and max(sizes) <= most
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = unit @ np.array(vectors[:3]).T
+    assert np.allclose([got[i].score for i in range(400)], scores.max(axis=1), rtol=1e-6)
