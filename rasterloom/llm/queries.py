@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, each over its whole table, with SQL where SQL can say it."""
+"""The thirteen operators as registered queries, each over its whole table, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -10,7 +10,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chosen_path, exact, mixture, packing, pages, ppm, rans, repetition, substrings, transducer
+from rasterloom.llm import (
+    attention,
+    chosen_path,
+    codebooks,
+    exact,
+    mixture,
+    packing,
+    pages,
+    ppm,
+    rans,
+    repetition,
+    substrings,
+    transducer,
+    turns,
+)
 from rasterloom.llm.common import ship, table
 from rasterloom.session import work_folder
 
@@ -75,6 +89,61 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_target_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    damaged = turns.damage(rows)
+    return turns.digests(damaged, turns.audits(damaged, rows))
+
+
+def op12_limb_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def _op12_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """Integers as doubles: all numbers of the test tables stay far below 2^53."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT rn, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT rn, p, x, e, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d
+    FROM parts JOIN c{n} USING (p)) GROUP BY rn, p)""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (
+  SELECT p, e, list(v ORDER BY i) AS c FROM (
+    SELECT p, e, i, CAST(floor(sum(v) / count(*)) AS DOUBLE) AS v FROM (
+      SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY p, e, i) GROUP BY p, e),
+c{n + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (p, e))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v,
+         row_number() OVER (ORDER BY vec_id) AS rn
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (
+  SELECT rn, p, list_slice(v, p * (len(v) // {codebooks.PARTS}) + 1, (p + 1) * (len(v) // {codebooks.PARTS})) AS x
+  FROM kept, range({codebooks.PARTS}) t(p)),
+c0 AS (SELECT p, rn - 1 AS e, x AS c FROM parts WHERE rn <= {codebooks.ENTRIES}),
+{",".join(steps)},
+books AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM c{rounds})),
+codes AS (
+  SELECT rn, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (rn), books
+"""
+
+
+def op13_attention_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipping(query: Query) -> Query:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +166,12 @@ QUERIES: dict[str, Query] = {
         op8_consensus_paths,
         op9_ppm_scores,
         op10_best_fit,
+        op11_target_alignment,
+        op12_limb_gemm,
+        op13_attention_bags,
     )
 }
 QUERIES["pipeline"] = _shipping(corpus_pipeline.run)
-ORACLES: dict[str, str] = {"op3_progressive_exact": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_progressive_exact": OP3_SQL, "op12_limb_gemm": _op12_sql()}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
