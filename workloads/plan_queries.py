@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import instances, raster, tiles
 from rasterloom.plans import evaluate, fusion, ingest, masks, predictors
 from rasterloom.session import work_folder
-from rasterloom.streaming import clouds
+from rasterloom.streaming import clouds, voxels
 from workloads import views
 from workloads.embedding_queries import NEGATIVE_LABELS, PIXELS_SQL, UNIT_SQL, _class_table, _pixels, _vectors
 from workloads.instance_queries import (
@@ -347,27 +347,44 @@ def _event_stream(spark, folder):
     return reader.parquet(folder)
 
 
+def _in_two_runs(spark, folder, target, start):
+    """All events as six files: three are streamed one by one, then the rest after a restart from the checkpoint."""
+    events = table(spark, folder, "events")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 1
+    for arriving in (~late, late):
+        events.filter(arriving).repartition(3).write.mode("append").parquet(f"{target}/arrivals")
+        reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        start(reader.parquet(f"{target}/arrivals")).awaitTermination()
+
+
 @query(
     "stream_running_counts",
     """SELECT event_type AS class, count(*) AS n_original, count(*) FILTER (WHERE event_id % 10 < 3) AS n_kept FROM events GROUP BY 1""",
 )
 def stream_running_counts(spark, folder):
-    """The event table as a file stream, counted until all of it is read."""
+    """Six files are six micro-batches; counts live in the state between them and over a restart."""
     target = work_folder(spark, "running-counts")
-    stream = _event_stream(spark, folder).withColumnRenamed("event_type", "class")
-    counts = clouds.running_counts(stream, kept=F.col("event_id") % 10 < 3)
 
     def store(batch, number):
         batch.write.mode("overwrite").parquet(f"{target}/counts")
 
-    clouds.start_counts(counts, store, f"{target}/state").awaitTermination()
+    def start(stream):
+        stream = stream.withColumnRenamed("event_type", "class")
+        counts = clouds.running_counts(stream, kept=F.col("event_id") % 10 < 3)
+        return clouds.start_counts(counts, store, f"{target}/state")
+
+    _in_two_runs(spark, folder, target, start)
     return spark.read.parquet(f"{target}/counts")
 
 
 def _cloud_stream(spark, folder):
+    return _as_cloud(_event_stream(spark, folder))
+
+
+def _as_cloud(events):
     """Events as points: the id is the position, coordinates follow from it."""
     key = F.col("event_id")
-    return _event_stream(spark, folder).select(
+    return events.select(
         F.lit("events").alias("src_file"),
         key.alias("point_idx"),
         (key % 97 / F.lit(10.0)).alias("x"),
@@ -405,3 +422,19 @@ def stream_sampled_ingest(spark, folder):
         _cloud_stream(spark, folder), config, f"{target}/out", f"{target}/state"
     ).awaitTermination()
     return spark.read.parquet(f"{target}/out").select("point_idx", "class")
+
+
+@query(
+    "stream_voxel_state",
+    f"""WITH {STREAM_POINTS_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY floor(x), floor(y), floor(z) ORDER BY class, point_idx) AS rn FROM e)
+    SELECT point_idx, x, y, z, class FROM v WHERE rn = 1""",
+)
+def stream_voxel_state(spark, folder):
+    """Six micro-batches and a restart keep one point a voxel, as one batch over all events does."""
+    target = work_folder(spark, "voxel-state")
+
+    def start(stream):
+        return voxels.start_voxel_ingest(_as_cloud(stream), 1.0, f"{target}/out", f"{target}/state")
+
+    _in_two_runs(spark, folder, target, start)
+    return voxels.current_voxels(spark, f"{target}/out").drop("src_file")
