@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from rasterloom.operators import dense, runs
 from rasterloom.operators.joins import lookup_join
-from rasterloom.operators.tiles import TILE, TILE_KEY, own_tile, shift_rows, tile_for, to_tiles
+from rasterloom.operators.tiles import TILE, TILE_KEY, own_tile, shift_rows, to_tiles
 
 
 def boundary_width(height: Column, width: Column, ratio: float = 0.02) -> Column:
@@ -23,52 +28,46 @@ def with_boundary_width(pixels: DataFrame, dims: DataFrame, ratio: float = 0.02)
     return lookup_join(pixels, sized, ["image"])
 
 
-def _run_start(rows: DataFrame, group: Sequence[str], axis: str) -> DataFrame:
-    """Add ``_start``: where the row's run of consecutive positions along ``axis`` begins."""
-    w = Window.partitionBy(*group).orderBy(axis)
-    fresh = F.coalesce(F.lag(axis).over(w) != F.col(axis) - 1, F.lit(True))
-    return rows.withColumn("_fresh", fresh).withColumn(
-        "_start",
-        F.max(F.when(F.col("_fresh"), F.col(axis))).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    )
-
-
-def mark_boundary(
-    pixels: DataFrame, same: Sequence[str] = ("label",), tile: int = TILE, keep_tile: bool = False
-) -> DataFrame:
+def mark_boundary(pixels: DataFrame, same: Sequence[str] = ("label",), tile: int = TILE) -> DataFrame:
     """Flag pixels of each mask that an erosion by ``_d`` (square, zero outside) removes.
 
-    A mask is the set of pixels of an image with equal ``same`` columns. A row of
-    2d+1 consecutive pixels ends at p exactly when p lies 2d past the start of
-    its run, and then p - d survives; doing this along x and then along y on the
-    survivors erodes by the full square. Both steps run inside the tiles made by
-    the one shuffle; tiles grow with ``_d``, so a pixel has at most four copies
-    at any image size. Adds ``boundary``; other columns beyond the key are dropped,
-    and the tile columns too unless ``keep_tile``.
+    A mask is the set of pixels of an image with equal ``same`` columns; masks may
+    overlap. Masks travel as runs; a tile erodes them along x by arithmetic on runs
+    and along y in the same way. Tiles grow with ``_d``. Adds ``boundary``; other
+    columns beyond the key are dropped.
     """
-    keep = [*TILE_KEY, *same, "y", "x", "_d"]
-    tile = tile_for(F.col("_d"), tile)
-    rows = to_tiles(pixels.select("image", *same, "y", "x", "_d"), F.col("_d"), tile)
-    rows = _run_start(rows, [*TILE_KEY, *same, "y"], "x")
-    across = F.col("x") - F.col("_start") >= 2 * F.col("_d")
-    original = F.struct(F.lit(0).alias("_stage"), F.col("x").alias("x"))
-    survivor = F.struct(F.lit(1).alias("_stage"), (F.col("x") - F.col("_d")).alias("x"))
-    rows = rows.withColumn(
-        "_e", F.explode(F.when(across, F.array(original, survivor)).otherwise(F.array(original)))
-    ).select(*[c for c in keep if c != "x"], "_e.*")
-    rows = _run_start(rows, [*TILE_KEY, *same, "_stage", "x"], "y")
-    down = F.col("y") - F.col("_start") >= 2 * F.col("_d")
-    rows = rows.filter((F.col("_stage") == 0) | down).withColumn(
-        "y", F.when(F.col("_stage") == 1, F.col("y") - F.col("_d")).otherwise(F.col("y"))
-    )
-    return (
-        rows.filter(own_tile(tile))
-        .groupBy(*TILE_KEY, *same, "y", "x")
-        .agg((F.max("_stage") == 0).alias("boundary"))
-        .select(*(TILE_KEY if keep_tile else ("image",)), *same, "y", "x", "boundary")
-    )
+    same = list(same)
+    rows = runs.label_runs(pixels, same, ["_d"], by_label=True)
+    kinds = [pixels.schema[c] for c in ("image", *same, "y", "x")]
+    schema = T.StructType([*kinds, T.StructField("boundary", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def work(table: pa.Table) -> pa.Table:
+        area = runs.Tile(table, tile)
+        masks = np.stack([runs.codes_of(table.column(c))[0] for c in same], axis=1)
+        _, first, code = np.unique(masks, axis=0, return_index=True, return_inverse=True)
+        code = code.reshape(-1)
+        everything = dense.paint(area.y, area.x0, area.x1, code, area.window)
+        widths = np.minimum(area.x1, area.window[1] + area.window[3] - 1) - np.maximum(area.x0, area.window[1]) + 1
+        in_lines = (area.y >= area.window[0]) & (area.y < area.window[0] + area.window[2])
+        apart = int(np.maximum(widths, 0)[in_lines].sum()) == int((everything >= 0).sum())
+        found = []
+        # masks that don't overlap are eroded together; a label ends where another begins
+        for one in [None] if apart else range(len(first)):
+            pick = slice(None) if one is None else code == one
+            painted = everything if apart else dense.paint(
+                area.y[pick], area.x0[pick], area.x1[pick], code[pick], area.window
+            )
+            edge = ~dense.interior(painted, area.reach)
+            y, x = area.cells(painted >= 0)
+            at = (y - area.window[0], x - area.window[1])
+            found.append((y, x, first[painted[at]], edge[at]))
+        y, x, row, edge = (np.concatenate(c) for c in zip(*found))
+        whole = [table.column(c).take(pa.array(row)) for c in ("image", *same)]
+        columns = [*whole, pa.array(y), pa.array(x), pa.array(edge)]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return runs.by_tile(rows, work, schema, tile)
 
 
 def pixel_outcomes(aligned: DataFrame, preds: Sequence[str] = ("pred",), tile: int = TILE) -> DataFrame:
@@ -76,44 +75,57 @@ def pixel_outcomes(aligned: DataFrame, preds: Sequence[str] = ("pred",), tile: i
 
     ``aligned`` has image, y, x, gt, ``_d`` and one label column per prediction;
     only pixels with a truth label count. ``pred_no`` is the prediction's place in
-    ``preds``. The truth is eroded once for all predictions. The result is a
-    handful of rows per image from which both the region and the boundary scores
-    follow, so the pixels are shuffled once for all of them.
+    ``preds``. Layers travel together, as runs in which no label changes; a tile
+    erodes each layer once and returns counts, so neither pixels nor flags are
+    shuffled. The result is a handful of rows per image from which both the region
+    and the boundary scores follow.
     """
-    layers = F.array(
-        *[F.struct(F.lit(i).alias("layer"), F.col(c).alias("label")) for i, c in enumerate(("gt", *preds))]
+    layers = ["gt", *preds]
+    rows = runs.label_runs(aligned.filter(F.col("gt").isNotNull()), layers, ["_d"])
+    image, truth, pred = (aligned.schema[c].dataType for c in ("image", "gt", preds[0]))
+    schema = (
+        T.StructType()
+        .add("image", image)
+        .add("gt", truth)
+        .add("gt_boundary", T.BooleanType())
+        .add("pred_no", T.IntegerType())
+        .add("pred", pred)
+        .add("pred_boundary", T.BooleanType())
+        .add("n", T.LongType())
     )
-    stacked = (
-        aligned.filter(F.col("gt").isNotNull())
-        .select("image", "y", "x", "_d", F.explode(layers).alias("_l"))
-        .select("image", "y", "x", "_d", "_l.*")
-        .filter(F.col("label").isNotNull())
-    )
-    # Still partitioned by tile, so bringing the layers together is local.
-    marked = mark_boundary(stacked, ("layer", "label"), tile, keep_tile=True)
-    at = range(len(preds) + 1)
+    arrow = to_arrow_schema(schema)
 
-    def of(layer: int, value: str) -> Column:
-        return F.max(F.when(F.col("layer") == layer, F.col(value)))
+    def work(table: pa.Table) -> pa.Table:
+        area = runs.Tile(table, tile)
+        codes, edges, values = [], [], []
+        for layer in layers:
+            code, names = runs.codes_of(table.column(layer))
+            painted = dense.paint(area.y, area.x0, area.x1, code, area.window)
+            edges.append(((painted >= 0) & ~dense.interior(painted, area.reach))[area.own].ravel())
+            codes.append(painted[area.own].ravel())
+            values.append(names)
+        scored = codes[0] >= 0
+        parts = []
+        for no, (code, edge, names) in enumerate(zip(codes[1:], edges[1:], values[1:])):
+            n = len(names) + 1
+            packed = ((codes[0] * 2 + edges[0]) * n + code + 1) * 2 + edge
+            outcome, count = np.unique(packed[scored], return_counts=True)
+            which = outcome // 2 % n - 1
+            truth_at = outcome // 2 // n
+            columns = [
+                pa.array([table.column("image")[0].as_py()] * len(count), arrow.field("image").type),
+                values[0].take(pa.array(truth_at // 2)).cast(arrow.field("gt").type),
+                pa.array(truth_at % 2 == 1),
+                pa.array(np.full(len(count), no, np.int32)),
+                names.take(pa.array(which, mask=which < 0)).cast(arrow.field("pred").type),
+                pa.array(outcome % 2 == 1),
+                pa.array(count.astype(np.int64)),
+            ]
+            parts.append(pa.Table.from_arrays(columns, schema=arrow))
+        return pa.concat_tables(parts)
 
-    pixels = marked.groupBy(*TILE_KEY, "y", "x").agg(
-        *[of(i, "label").alias(f"_l{i}") for i in at], *[of(i, "boundary").alias(f"_b{i}") for i in at]
-    )
-    each = F.array(
-        *[
-            F.struct(
-                F.lit(i - 1).alias("pred_no"),
-                F.col(f"_l{i}").alias("pred"),
-                F.coalesce(f"_b{i}", F.lit(False)).alias("pred_boundary"),
-            )
-            for i in at[1:]
-        ]
-    )
-    return (
-        pixels.select("image", F.col("_l0").alias("gt"), F.col("_b0").alias("gt_boundary"), F.explode(each).alias("_p"))
-        .groupBy("image", "gt", "gt_boundary", "_p.pred_no", "_p.pred", "_p.pred_boundary")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = runs.by_tile(rows, work, schema, tile)
+    return counts.groupBy(*[c for c in counts.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 def flag_depth_edges(
@@ -185,68 +197,51 @@ def fill_nearest(
     """Give uncovered pixels the label of the nearest covered pixel within ``radius``.
 
     ``source`` restricts which covered pixels may lend their label. Covered pixels
-    keep theirs. Only sources with a direct neighbour that is not a source are
-    spread: a step from the nearest source toward the hole always leaves the
-    sources, so interior pixels can never be nearest. Adds ``filled``.
+    keep theirs. Among equally near sources the uppermost lends, then the left one.
+    Each tile, with a halo of ``radius``, is filled by an exact distance transform
+    whose work does not grow with the radius; tiles are at least twice as large as
+    their halo, so a pixel has at most four copies. Adds ``filled``.
     """
     sized = lookup_join(pixels, dims.select("image", "height", "width"), ["image"])
     lends = F.lit(True) if source is None else F.coalesce(source, F.lit(False))
-    sized = sized.withColumn("_source", lends).select(
-        "image", "y", "x", "label", "_source", "height", "width"
-    )
-    rows = to_tiles(sized, radius + 1, tile)
-    touching = F.lit(True)
-    for axis, other, size in (("x", "y", "width"), ("y", "x", "height")):
-        w = Window.partitionBy(*TILE_KEY, "_source", other).orderBy(axis)
-        rows = rows.withColumns(
-            {
-                f"_before_{axis}": (F.col(axis) == 0)
-                | F.coalesce(F.lag(axis).over(w) == F.col(axis) - 1, F.lit(False)),
-                f"_after_{axis}": (F.col(axis) == F.col(size) - 1)
-                | F.coalesce(F.lead(axis).over(w) == F.col(axis) + 1, F.lit(False)),
-            }
-        )
-        touching = touching & F.col(f"_before_{axis}") & F.col(f"_after_{axis}")
-    # Along x: the nearest source of the same row, the left one on a tie. ``_own``
-    # keeps the label of a covered pixel, whether or not it is a source.
-    lends_out = F.col("_source") & ~touching
-    steps = sorted(range(-radius, radius + 1), key=lambda step: (abs(step), -step))
-    beside = [(0, dx, rank) for rank, dx in enumerate(steps)]
-    keep = rows.withColumn("_lends", lends_out)
-    spread = shift_rows(keep, beside, ("_rank",), when=F.col("_lends"))
-    inside_x = (F.col("x") >= 0) & (F.col("x") < F.col("width"))
-    lines = (
-        spread.filter(inside_x)
-        .groupBy(*TILE_KEY, "y", "x")
-        .agg(
-            F.max(F.when(F.col("_rank") == 0, F.col("label"))).alias("_own"),
-            F.min(F.when(F.col("_lends"), F.col("_rank"))).alias("_rank"),
-            F.min_by("label", F.when(F.col("_lends"), F.col("_rank"))).alias("label"),
-            F.first("height").alias("height"),
-        )
-    )
-    # Along y: the nearest of the rows' best; rank counts 0, then two per pixel of
-    # distance. Between equally near ones the upper row wins.
-    above = [(dy, 0, dy) for dy in sorted(range(-radius, radius + 1), key=abs)]
-    moved = shift_rows(lines, above, ("_down",), when=F.col("_rank").isNotNull())
-    across = F.ceil(F.col("_rank") / F.lit(2)).cast("int")
-    square = across * across + F.col("_down") * F.col("_down")
-    key = F.when(square <= radius * radius, square * (2 * radius + 1) + F.lit(radius) - F.col("_down"))
-    inside_y = (F.col("y") >= 0) & (F.col("y") < F.col("height"))
-    return (
-        moved.filter(inside_y & own_tile(tile))
-        .withColumn("_key", key)
-        .groupBy(*TILE_KEY, "y", "x")
-        .agg(
-            F.max(F.when(F.col("_down") == 0, F.col("_own"))).alias("_own"),
-            F.min_by("label", "_key").alias("label"),
-            F.min("_key").alias("_key"),
-        )
-        .filter(F.col("_own").isNotNull() | F.col("_key").isNotNull())
-        .select(
-            "image", "y", "x", F.coalesce("_own", "label").alias("label"), F.col("_own").isNull().alias("filled")
-        )
+    sized = sized.filter(F.col("label").isNotNull()).select(
+        "image", "y", "x", "label", lends.alias("_source"), "height", "width"
     )
+    tile = max(tile, 2 * radius)
+    kinds = [pixels.schema[c] for c in ("image", "y", "x", "label")]
+    schema = T.StructType([*kinds, T.StructField("filled", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def work(table: pa.Table) -> pa.Table:
+        height, width, ty, tx = (int(table.column(c)[0].as_py()) for c in ("height", "width", "_ty", "_tx"))
+        top, left = max(ty * tile - radius, 0), max(tx * tile - radius, 0)
+        shape = (min((ty + 1) * tile + radius, height) - top, min((tx + 1) * tile + radius, width) - left)
+        if min(shape) <= 0:
+            return arrow.empty_table()
+        table = table.sort_by("label")  # of several labels of one pixel the largest is painted last
+        code, names = runs.codes_of(table.column("label"))
+        y, x = (table.column(c).to_numpy().astype(np.int64) - start for c, start in (("y", top), ("x", left)))
+        inside = (y >= 0) & (y < shape[0]) & (x >= 0) & (x < shape[1])
+        y, x, code = y[inside], x[inside], code[inside]
+        covered, source_at = np.full(shape, -1, np.int64), np.zeros(shape, bool)
+        covered[y, x] = code
+        lending = table.column("_source").to_numpy()[inside]
+        source_at[y[lending], x[lending]] = True
+        own = (slice(ty * tile - top, (ty + 1) * tile - top), slice(tx * tile - left, (tx + 1) * tile - left))
+        line, column, away = dense.nearest_source(source_at, radius)
+        empty = covered < 0
+        label = np.where(empty & (away < dense.FAR), covered[line, column], covered)[own]
+        y, x = np.nonzero(label >= 0)
+        columns = [
+            pa.array([table.column("image")[0].as_py()] * len(y), arrow.field("image").type),
+            pa.array(y + own[0].start + top),
+            pa.array(x + own[1].start + left),
+            names.take(pa.array(label[y, x])),
+            pa.array(empty[own][y, x]),
+        ]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return to_tiles(sized, radius, tile).groupBy(*TILE_KEY).applyInArrow(work, schema)
 
 
 def fill_edge_aware(

@@ -26,23 +26,26 @@ def drop_unknown(pixels: DataFrame, classes: Iterable[int] | DataFrame) -> DataF
     return pixels.filter(F.col("label").isin([int(c) for c in classes]))
 
 
-def align_columns(tables: Sequence[DataFrame], key: Sequence[str] = PIXEL) -> DataFrame:
+def align_columns(tables: Sequence[DataFrame], key: Sequence[str] = PIXEL, lines: bool = False) -> DataFrame:
     """One row per pixel with the value columns of all tables, NULL where one has no row.
 
     The tables are stacked and grouped once, so any number of them costs a single
     shuffle and needs no sort. Each table has at most one row per pixel, and its
-    value columns (all others than the key) are its own.
+    value columns (all others than the key) are its own. ``lines`` makes that one
+    shuffle by (image, y), so each partition holds whole lines and gives long runs.
     """
     stacked = tables[0]
     for other in tables[1:]:
         stacked = stacked.unionByName(other, allowMissingColumns=True)
     values = [c for c in stacked.columns if c not in key]
+    if lines:
+        stacked = stacked.repartition("image", "y")
     return stacked.groupBy(*key).agg(*[F.max(c).alias(c) for c in values])
 
 
-def align_layers(layers: Mapping[str, DataFrame], key: Sequence[str] = PIXEL) -> DataFrame:
+def align_layers(layers: Mapping[str, DataFrame], key: Sequence[str] = PIXEL, lines: bool = False) -> DataFrame:
     """One row per pixel with the label of each named layer."""
-    return align_columns([df.select(*key, F.col("label").alias(name)) for name, df in layers.items()], key)
+    return align_columns([df.select(*key, F.col("label").alias(name)) for name, df in layers.items()], key, lines)
 
 
 def fuse_priority(primary: DataFrame, secondary: DataFrame) -> DataFrame:

@@ -127,8 +127,8 @@ def evaluate(
 
     ``predictions`` maps a method to pixels(image, y, x, pred_binary, pred_class).
     Methods with an entry in ``prediction_dims`` are resized to the truth first.
-    All layers meet in a single shuffle by pixel, whatever the number of methods;
-    region and boundary counts then come from one further shuffle by tile.
+    All layers meet in a single shuffle by line, whatever the number of methods;
+    region and boundary counts then come from one further shuffle, of runs by tile.
     """
     known = tuple(config.class_names)
     tables = [
@@ -143,7 +143,7 @@ def evaluate(
                 *raster.PIXEL, F.col("pred_binary").alias(f"_binary{i}"), F.col("pred_class").alias(f"_class{i}")
             )
         )
-    wide = raster.align_columns([t.select(*raster.PIXEL, *t.columns[3:]) for t in tables]).withColumn(
+    wide = raster.align_columns([t.select(*raster.PIXEL, *t.columns[3:]) for t in tables], lines=True).withColumn(
         "gt", F.coalesce("_primary", "_secondary")
     )
 

@@ -32,14 +32,15 @@ bin_scores AS (SELECT *, tp / (tp + fp + fn + 1e-9) AS iou, tp / (tp + fp + 1e-9
   2 * tp / (2 * tp + fp + fn + 1e-9) AS f1, tp + tn + fp + fn AS pixel_count FROM bin_counts)"""
 
 
-def _aligned(spark, folder):
+def _aligned(spark, folder, lines=False):
     rasters = views.raster(spark, folder)
     both = raster.align_layers(
         {
             "primary": raster.drop_unknown(views.layer(rasters, "primary"), views.CLASS_IDS),
             "secondary": raster.drop_unknown(views.layer(rasters, "secondary"), views.CLASS_IDS),
             "pred": views.layer(rasters, "pred"),
-        }
+        },
+        lines=lines,
     )
     return both.select(*raster.PIXEL, F.coalesce("primary", "secondary").alias("gt"), "pred").filter(
         F.col("gt").isNotNull()
@@ -264,7 +265,7 @@ inter_counts AS (SELECT a.image, a.label, count(*) AS i FROM edge a JOIN edge b
 )
 def boundary_iou(spark, folder):
     dims = views.raster_dims(views.raster(spark, folder))
-    sized = neighborhood.with_boundary_width(_aligned(spark, folder), dims)
+    sized = neighborhood.with_boundary_width(_aligned(spark, folder, lines=True), dims)
     counts = metrics.class_counts(neighborhood.pixel_outcomes(sized).drop("pred_no"))
     return rounded(metrics.class_metrics(counts), "boundary_iou").select(
         "image", "class_id", "boundary_inter", "boundary_union", "boundary_iou"
