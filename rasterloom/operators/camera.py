@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterloom.functions.geometry import ROTATION, camera_center, quat_to_rot, to_camera
 from rasterloom.functions.paths import stem
 from rasterloom.operators.joins import fits_broadcast, salted_join
 from rasterloom.operators.ranking import numbered
+from rasterloom.operators.raster_hits import nearest_per_pixel
 from rasterloom.session import cut_lineage
 
 CAMERA_COLUMNS = ("image", "width", "height", "fx", "fy", "cx", "cy", *ROTATION, "t0", "t1", "t2")
@@ -141,94 +146,169 @@ def _to_pixels(pairs: DataFrame, min_depth: float, max_depth: float) -> DataFram
     return seen.filter(inside)
 
 
-def cell_edge(points: DataFrame) -> float:
-    """Edge of the cells that points are matched to cameras by: a power of two.
-
-    It follows the middle 98 % of the coordinates, so a few far points do not
-    change it, and is about a sixteenth of their widest side.
-    """
+def _middle_sides(points: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+    """The widest side of the middle 98 % of the cloud, and each axis' lowest and highest finite coordinate; one job."""
 
     def finite(axis: str) -> Column:
         value = F.col(axis).cast("double")
         return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
     shares = F.array(F.lit(0.01), F.lit(0.99))
-    row = points.agg(*[F.percentile_approx(finite(a), shares, F.lit(1000)) for a in "xyz"]).first()
-    side = max((r[1] - r[0] for r in row if r), default=0.0)
+    parts = [f(finite(a)) for a in "xyz" for f in (lambda c: F.percentile_approx(c, shares, F.lit(1000)), F.min, F.max)]
+    row = points.agg(*parts).first()
+    side = max((r[1] - r[0] for r in row[::3] if r), default=0.0)
+    return side, [(0.0, 0.0) if row[i] is None else (row[i], row[i + 1]) for i in (1, 4, 7)]
+
+
+def _edge_of(side: float) -> float:
     return 2.0 ** math.floor(math.log2(side / _GRID)) if side > 0 else 1.0
 
 
-def _box_test(cameras_min: float, cameras_max: float, axes: Sequence[str], edge: float) -> Column:
+def cell_edge(points: DataFrame) -> float:
+    """Edge of the cells that points are matched to cameras by: a power of two.
+
+    It follows the middle 98 % of the coordinates, so a few far points do not
+    change it, and is about a sixteenth of their widest side.
+    """
+    return _edge_of(_middle_sides(points)[0])
+
+
+def _box_test(axes: Sequence[str], edge: float) -> Column:
     """Whether the box of cells (numbers in ``axes``, side ``edge``) may hold a visible point.
 
-    Every frustum side is a linear test in the point, so its largest value over
-    a box is the value at the box centre plus the absolute coefficients times
-    the half edges. A box failing one test holds no visible point; a small slack
-    covers rounding.
+    A test's largest value over a box is the value at the box centre plus the
+    absolute coefficients times the half edges. A box failing one test holds no
+    visible point; a small slack covers rounding.
     """
 
-    def side(a: Column, row: int, b: Column) -> Column:
-        """a * (camera axis ``row``) + b * depth, at its largest over the box."""
-        coef = [a * F.col(f"r{row}{i}") + b * F.col(f"r2{i}") for i in range(3)]
-        at_center = a * F.col(f"t{row}") + b * F.col("t2")
-        reach = F.lit(1e-9) * (F.abs(a) + F.abs(b))
+    def passes(plane: Column) -> Column:
+        value = plane["d"] + plane["slack"]
         for i, axis in enumerate(axes):
             middle = (F.col(axis) + F.lit(0.5)) * F.lit(edge)
             half = F.lit(edge * 0.5000001) + F.abs(middle) * F.lit(1e-12)
-            at_center = at_center + coef[i] * middle
-            reach = reach + F.abs(coef[i]) * half
-        return at_center + reach
-
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return (
-        (side(zero, 0, one) > F.lit(float(cameras_min)))
-        & (side(zero, 0, -one) > F.lit(-float(cameras_max)))
-        & (side(F.col("fx"), 0, F.col("cx") + one) > 0)
-        & (side(-F.col("fx"), 0, F.col("width") - F.col("cx")) > 0)
-        & (side(F.col("fy"), 1, F.col("cy") + one) > 0)
-        & (side(-F.col("fy"), 1, F.col("height") - F.col("cy")) > 0)
-    )
+            value = value + plane[f"n{i}"] * middle + F.abs(plane[f"n{i}"]) * half
+        return value > 0
+
+    return F.forall("_planes", passes)
+
+
+_PLANE = ("n0", "n1", "n2", "d", "slack")
+_PLANES = "_planes array<struct<n0: double, n1: double, n2: double, d: double, slack: double>>"
+# Cameras whose blocks are listed at once in a task.
+_LISTED = 64
+
 
+def _camera_planes(c: dict[str, np.ndarray], min_depth: float, max_depth: float) -> np.ndarray:
+    """The six linear tests that a visible point passes, n . point + d > 0: camera x plane x (n, d, slack)."""
 
-def frustum_blocks(cameras: DataFrame, edge: float, min_depth: float, max_depth: float) -> DataFrame:
-    """Cameras with the blocks (``_bx``, ``_by``, ``_bz``) of side ``edge`` that their frustum may touch.
+    def plane(a: np.ndarray | float, row: int, b: np.ndarray | float, shift: float = 0.0) -> list[np.ndarray]:
+        """a * (camera axis ``row``) + b * depth + shift."""
+        normal = [a * c[f"r{row}{i}"] + b * c[f"r2{i}"] for i in range(3)]
+        return [*normal, a * c[f"t{row}"] + b * c["t2"] + shift, 1e-9 * (np.abs(a) + np.abs(b)) + 0 * c["t2"]]
 
-    Blocks come from the box around the camera's centre and its four far corners.
+    planes = [
+        plane(0.0, 0, 1.0, -min_depth),
+        plane(0.0, 0, -1.0, max_depth),
+        plane(c["fx"], 0, c["cx"] + 1),
+        plane(-c["fx"], 0, c["width"] - c["cx"]),
+        plane(c["fy"], 1, c["cy"] + 1),
+        plane(-c["fy"], 1, c["height"] - c["cy"]),
+    ]
+    return np.stack([np.stack(p, axis=-1) for p in planes], axis=1)
+
+
+def _camera_boxes(c: dict[str, np.ndarray], max_depth: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest coordinates of each camera's centre and its four far corners."""
+    axes = np.stack([np.stack([c[f"r{row}{i}"] for i in range(3)], axis=-1) for row in range(3)], axis=1)
+    shift = np.stack([c[f"t{row}"] for row in range(3)], axis=-1)
+    center = -np.einsum("nri,nr->ni", axes, shift)
+    corners = [center]
+    for u in (-1.0, c["width"]):
+        for v in (-1.0, c["height"]):
+            ray = np.stack([(u - c["cx"]) / c["fx"], (v - c["cy"]) / c["fy"], np.ones(len(center))], axis=-1)
+            corners.append(center + np.einsum("nri,nr->ni", axes, ray) * max_depth)
+    return np.min(corners, axis=0), np.max(corners, axis=0)
+
+
+def frustum_blocks(
+    cameras: DataFrame, edge: float, min_depth: float, max_depth: float, bounds: Sequence[tuple[float, float]]
+) -> DataFrame:
+    """Cameras with their ``_planes`` and the blocks (``_bx``, ``_by``, ``_bz``) of side ``edge`` their frustum may touch.
+
+    Blocks come from the box around the camera's centre and its four far corners,
+    cut to the ``bounds`` of the cloud. A camera with a parameter that is not a number sees nothing.
+    The lists are made in numpy: as column expressions they grew beyond what Catalyst and the JVM handle well.
     """
-    placed = cameras
-    center = camera_center()
-    for axis, name in enumerate("xyz"):
-        middle = center[f"center_{name}"]
-        corners = [middle]
-        for u in (F.lit(-1.0), F.col("width").cast("double")):
-            for v in (F.lit(-1.0), F.col("height").cast("double")):
-                ray = [(u - F.col("cx")) / F.col("fx"), (v - F.col("cy")) / F.col("fy"), F.lit(1.0)]
-                along = sum((F.col(f"r{row}{axis}") * ray[row] for row in range(3)), F.lit(0.0))
-                corners.append(middle + along * F.lit(float(max_depth)))
-        slack = F.lit(edge * 1e-6)
-        first = F.floor((F.least(*corners) - slack) / F.lit(edge))
-        last = F.floor((F.greatest(*corners) + slack) / F.lit(edge))
-        placed = placed.withColumn(f"_r{name}", F.sequence(first, last))
-    for name in "xyz":
-        placed = placed.withColumn(f"_b{name}", F.explode(f"_r{name}")).drop(f"_r{name}")
-    return placed.filter(_box_test(min_depth, max_depth, ("_bx", "_by", "_bz"), edge))
+    names = [n for n in CAMERA_COLUMNS if n != "image"]
+    schema = T.StructType([*cameras.schema, *T.StructType.fromDDL(f"{_PLANES}, _bx double, _by double, _bz double")])
+    arrow = to_arrow_schema(schema)
+    low, high = (np.array([math.floor(b[k] / edge) for b in bounds], np.float64) for k in (0, 1))
+
+    def listed(piece: pa.RecordBatch) -> pa.RecordBatch:
+        c = {n: piece.column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names}
+        with np.errstate(all="ignore"):
+            planes = _camera_planes(c, min_depth, max_depth)
+            first, last = _camera_boxes(c, max_depth)
+            first, last = (np.floor((box + way * edge * 1e-6) / edge) for box, way in ((first, -1), (last, 1)))
+        # a far corner that is nowhere leaves the cloud's bounds
+        first = np.clip(np.where(np.isnan(first), low, first), low, high + 1)
+        last = np.clip(np.where(np.isnan(last), high, last), low - 1, high)
+        sides = np.maximum(last - first + 1, 0).astype(np.int64)
+        sides[~np.isfinite(planes).all(axis=(1, 2))] = 0
+        counts = sides.prod(axis=1)
+        at = np.repeat(np.arange(len(counts)), counts)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        block = np.empty((len(at), 3))
+        for axis in (2, 1, 0):
+            step, inside = np.divmod(step, sides[at, axis])
+            block[:, axis] = first[at, axis] + inside
+        middle = (block + 0.5) * edge
+        half = edge * 0.5000001 + np.abs(middle) * 1e-12
+        touched = np.ones(len(at), bool)
+        for k in range(planes.shape[1]):
+            plane = planes[at, k]
+            value = plane[:, 3] + plane[:, 4] + (plane[:, :3] * middle).sum(1) + (np.abs(plane[:, :3]) * half).sum(1)
+            touched &= value > 0
+        at, block = at[touched], block[touched]
+        flat = planes[at].reshape(-1, len(_PLANE))
+        structs = pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(len(_PLANE))], names=list(_PLANE))
+        offsets = pa.array(np.arange(len(at) + 1, dtype=np.int32) * planes.shape[1])
+        columns = [c.take(pa.array(at)) for c in piece.columns]
+        columns += [pa.ListArray.from_arrays(offsets, structs), *[pa.array(block[:, i]) for i in range(3)]]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _LISTED):
+                yield listed(batch.slice(start, _LISTED))
+
+    return cameras.mapInArrow(run, schema)
 
 
 def visible_cells(
-    cells: DataFrame, cameras: DataFrame, edge: float, min_depth: float, max_depth: float
+    cells: DataFrame,
+    cameras: DataFrame,
+    edge: float,
+    min_depth: float,
+    max_depth: float,
+    bounds: Sequence[tuple[float, float]] | None = None,
 ) -> DataFrame:
     """(cell, camera) pairs whose cell may hold a visible point, for the cells that hold points.
 
     Cells have a fixed size wherever they lie. They are found through blocks of
     at least sixteen cells and an eighth of the largest depth a side, so a camera
     lists a bounded number of blocks (about 17 x 17 x 17 in a box around its
-    frustum, for usual opening angles) however wide the scene is.
+    frustum, for usual opening angles) however wide the scene is, and only those
+    within the cloud's ``bounds``; those of the cells where none are given.
     """
+    if bounds is None:
+        row = cells.agg(*[f(f"_c{a}") for a in "xyz" for f in (F.min, F.max)]).first()
+        bounds = [((row[2 * i] or 0.0) * edge, (row[2 * i + 1] or 0.0) * edge) for i in range(3)]
     times = max(_GRID, math.ceil(max_depth / 8.0 / edge))
-    blocks = frustum_blocks(cameras, edge * times, min_depth, max_depth)
-    held = cells.withColumns({f"_b{a}": F.floor(F.col(f"_c{a}") / F.lit(times)) for a in "xyz"})
+    blocks = frustum_blocks(cameras, edge * times, min_depth, max_depth, bounds)
+    held = cells.withColumns({f"_b{a}": F.floor(F.col(f"_c{a}") / F.lit(times)).cast("double") for a in "xyz"})
     met = salted_join(held, blocks, ["_bx", "_by", "_bz"], salts=4)
-    return met.filter(_box_test(min_depth, max_depth, ("_cx", "_cy", "_cz"), edge)).select(
+    return met.filter(_box_test(("_cx", "_cy", "_cz"), edge)).select(
         "_cx", "_cy", "_cz", *cameras.columns
     )
 
@@ -245,12 +325,14 @@ def project_points(
     spread over salted cells.
     """
     camera = cameras.select(*CAMERA_COLUMNS)
-    edge = cell_edge(points)
+    side, bounds = _middle_sides(points)
+    edge = _edge_of(side)
     placed = points.withColumns({f"_c{a}": F.floor(F.col(a).cast("double") / F.lit(edge)).cast("double") for a in "xyz"})
     # a coordinate that is not a number is in no cell; cells are doubles, so none overflows
     placed = placed.filter(~F.isnan(F.col("_cx") + F.col("_cy") + F.col("_cz")))
     on = ["_cx", "_cy", "_cz"]
-    pairs = cut_lineage(visible_cells(placed.select(*on).distinct(), camera, edge, min_depth, max_depth))
+    pairs = visible_cells(placed.select(*on).distinct(), camera, edge, min_depth, max_depth, bounds)
+    pairs = cut_lineage(pairs)
     if fits_broadcast(pairs, _BROADCAST_PAIRS):
         met = placed.join(F.broadcast(pairs), on)
     else:
@@ -269,16 +351,9 @@ def project_points(
 def zbuffer(hits: DataFrame) -> DataFrame:
     """Nearest hit per pixel (single precision), the first point on a tie.
 
-    Each task keeps one candidate per pixel before the shuffle. The struct key
-    plans a sort aggregate; packing it into one decimal for hash aggregation was
-    measured on 20 million hits and took as long.
+    Hits are reduced to one per pixel in each task before the shuffle, and per tile after it.
     """
-    nearest = F.min(F.struct("depth", "src_file", "point_idx", "label"))
-    return (
-        hits.groupBy("image", "y", "x")
-        .agg(nearest.alias("_n"))
-        .select("image", "y", "x", F.col("_n.label").alias("label"), F.col("_n.depth").alias("depth"))
-    )
+    return nearest_per_pixel(hits)
 
 
 def coverage(pixels: DataFrame, cameras: DataFrame, name: str = "coverage") -> DataFrame:
