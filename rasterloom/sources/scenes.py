@@ -1,7 +1,8 @@
 """Structure-from-motion scenes: intrinsics, poses, sparse points, and pose JSON files.
 
-A path may be a glob over many scenes; each file is one unit of work and the
-``scene`` column is the folder it lies in. Text points are split by line instead.
+A path may be a glob over many scenes; the ``scene`` column is the folder a file
+lies in. Text points are split by line, binary poses and points by an index of
+their records; other files are one unit of work.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from rasterloom.functions.geometry import fov_to_focal, focal_to_fov
 from rasterloom.functions.paths import stem
 from rasterloom.operators.camera import resolve_cameras
 from rasterloom.operators.ranking import numbered
+from rasterloom.sources import indexed
 
 # Model number, name and parameter count of the binary camera files.
 CAMERA_MODELS = {
@@ -130,31 +133,60 @@ def read_poses_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_poses_binary(spark: SparkSession, path: str) -> DataFrame:
-    observation = np.dtype([("x", "<f8"), ("y", "<f8"), ("point3d_id", "<i8")])
+_POSE = np.dtype([("id", "<i4"), ("q", "<f8", 4), ("t", "<f8", 3), ("camera_id", "<i4")])
+_SEEN = np.dtype([("x", "<f8"), ("y", "<f8"), ("point3d_id", "<i8")])
+_POINT = np.dtype([("id", "<u8"), ("xyz", "<f8", 3), ("rgb", "u1", 3), ("error", "<f8"), ("track", "<u8")])
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["scene", "image_id", "qvec", "tvec", "camera_id", "name", "obs"]
-        for batch in batches:
-            for scene, data in zip(batch["scene"], batch["content"]):
-                rows, at = [], 8
-                for _ in range(struct.unpack_from("<Q", data)[0]):
-                    image_id, *pose, camera_id = struct.unpack_from("<i7di", data, at)
-                    at += 64
-                    end = data.index(b"\0", at)
-                    name = data[at:end].decode("utf-8")
-                    n = struct.unpack_from("<Q", data, end + 1)[0]
-                    at = end + 9
-                    seen = np.frombuffer(data, observation, n, at)
-                    at += n * observation.itemsize
-                    obs = [{"x": float(o["x"]), "y": float(o["y"]), "point3d_id": int(o["point3d_id"])} for o in seen]
-                    rows.append((scene, image_id, pose[:4], pose[4:], camera_id, name, obs))
-                    if len(rows) == 1000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names)
-
-    return _files(spark, path).mapInPandas(parse, IMAGE_SCHEMA)
+
+def _pose_length(data: bytes, at: int) -> int | None:
+    """A pose, a name that ends in a zero byte, a count, and as many observations."""
+    end = data.find(b"\0", at + _POSE.itemsize)
+    if end < 0 or end + 9 > len(data):
+        return None
+    return end + 9 - at + _SEEN.itemsize * struct.unpack_from("<Q", data, end + 1)[0]
+
+
+def _point_length(data: bytes, at: int) -> int | None:
+    """Fixed fields, the last of which counts the entries of eight bytes behind them."""
+    if at + _POINT.itemsize > len(data):
+        return None
+    return _POINT.itemsize + 8 * struct.unpack_from("<Q", data, at + 43)[0]
+
+
+def _poses(data: bytes, starts: np.ndarray) -> pa.RecordBatch:
+    pose = indexed.fields_at(data, starts, _POSE)
+    ends = [data.index(b"\0", at + _POSE.itemsize) for at in starts.tolist()]
+    names = [data[at + _POSE.itemsize : end].decode("utf-8") for at, end in zip(starts.tolist(), ends)]
+    seen = np.array(ends, np.int64) + 1
+    counts = indexed.fields_at(data, seen, np.dtype("<u8")).astype(np.int64)
+    columns = {
+        "image_id": pose["id"],
+        "qvec": pa.FixedSizeListArray.from_arrays(pose["q"].ravel(), 4).cast(pa.list_(pa.float64())),
+        "tvec": pa.FixedSizeListArray.from_arrays(pose["t"].ravel(), 3).cast(pa.list_(pa.float64())),
+        "camera_id": pose["camera_id"],
+        "name": names,
+        "obs": indexed.lists_of(data, seen + 8, counts, _SEEN),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _points(data: bytes, starts: np.ndarray) -> pa.RecordBatch:
+    point = indexed.fields_at(data, starts, _POINT)
+    columns = {"id": point["id"].astype(np.int64)}
+    columns |= {a: point["xyz"][:, i] for i, a in enumerate("xyz")}
+    columns |= {c: point["rgb"][:, i].astype(np.int32) for i, c in enumerate("rgb")}
+    return pa.RecordBatch.from_pydict(columns | {"error": point["error"]})
+
+
+def _read_indexed(spark: SparkSession, path: str, length, decode, schema: str, every: int) -> DataFrame:
+    index = indexed.index_files(spark, path, length, every)
+    rows = indexed.read_ranges(index, length, decode, schema.removeprefix("scene string, "))
+    return rows.select(scene_of(F.col("path")).alias("scene"), *rows.columns[1:])
+
+
+def read_poses_binary(spark: SparkSession, path: str, every: int = 2000) -> DataFrame:
+    """Images with all their observations; a file is read in ranges of ``every`` images by several tasks."""
+    return _read_indexed(spark, path, _pose_length, _poses, IMAGE_SCHEMA, every)
 
 
 def read_points3d_text(spark: SparkSession, path: str) -> DataFrame:
@@ -170,22 +202,9 @@ def read_points3d_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_points3d_binary(spark: SparkSession, path: str) -> DataFrame:
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["scene", "id", "x", "y", "z", "r", "g", "b", "error"]
-        for batch in batches:
-            for scene, data in zip(batch["scene"], batch["content"]):
-                rows, at = [], 8
-                for _ in range(struct.unpack_from("<Q", data)[0]):
-                    *point, track = struct.unpack_from("<Q3d3BdQ", data, at)
-                    rows.append((scene, *point))
-                    at += 51 + 8 * track
-                    if len(rows) == 50_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names)
-
-    return _files(spark, path).mapInPandas(parse, POINT_SCHEMA)
+def read_points3d_binary(spark: SparkSession, path: str, every: int = indexed.RANGE_RECORDS) -> DataFrame:
+    """Points without their tracks; a file is read in ranges of ``every`` points by several tasks."""
+    return _read_indexed(spark, path, _point_length, _points, POINT_SCHEMA, every)
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -353,6 +356,78 @@ def scene_points_text(spark, folder):
     return scenes.read_points3d_text(spark, path).select("id", "x", "y", "z", "r", "g", "b", "error")
 
 
+def _binary_scenes(df: DataFrame, target: str, name: str, record) -> None:
+    """One scene folder a partition, with all its rows as records behind their number."""
+
+    def write(batches):
+        rows, scene = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                scene = row["_scene"] if scene is None else scene
+                rows.append(record(row))
+        if rows:
+            fs, inner = records.open_filesystem(f"{target}/scene{scene}")
+            fs.create_dir(inner, recursive=True)
+            with fs.open_output_stream(f"{inner}/{name}") as out:
+                out.write(struct.pack("<Q", len(rows)) + b"".join(rows))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(rows)], pa.int64())})
+
+    df.repartition(4).withColumn("_scene", F.spark_partition_id()).mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+@query(
+    "scene_binary",
+    """SELECT concat('c', CAST(s_suppkey AS STRING), '.png') AS image, 320 AS width, 120 AS height, round((500e0 + s_nationkey) / 2, 6) AS fx, 127.5e0 AS fy,
+    1e0 AS r00, s_suppkey / 4e0 AS t0, -2e0 AS t1, 5e-1 AS t2 FROM supplier""",
+)
+def scene_binary(spark, folder):
+    """Suppliers as posed pictures, nations as cameras, in the binary files of four scenes, resolved for half the size."""
+    target = work_folder(spark, "scene-binary")
+    scene = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_scene")
+    lenses = table(spark, folder, "nation").select("n_nationkey", scene)
+
+    def camera_record(row):
+        return struct.pack("<iiQQ4d", row["n_nationkey"], 1, 640, 480, 500.0 + row["n_nationkey"], 510.0, 320.0, 240.0)
+
+    def write(_, part):
+        body = b"".join(camera_record(r) for r in part.sort_by("n_nationkey").to_pylist())
+        fs, inner = records.open_filesystem(f"{target}/scene{part.column('_scene')[0].as_py()}")
+        fs.create_dir(inner, recursive=True)
+        with fs.open_output_stream(f"{inner}/cameras.bin") as out:
+            out.write(struct.pack("<Q", part.num_rows) + body)
+        return pa.table({"n": pa.array([part.num_rows], pa.int64())})
+
+    lenses.groupBy("_scene").applyInArrow(write, "n long").agg(F.sum("n")).first()
+
+    def image_record(row):
+        key = row["s_suppkey"]
+        pose = struct.pack("<i7di", key, 1.0, 0.0, 0.0, 0.0, key / 4.0, -2.0, 0.5, row["s_nationkey"])
+        seen = struct.pack("<ddq", 1.5, 2.5, 7) * (key % 3)
+        return pose + f"c{key}.png".encode() + b"\0" + struct.pack("<Q", key % 3) + seen
+
+    _binary_scenes(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), target, "images.bin", image_record)
+    cameras = scenes.load_cameras(spark, f"{target}/scene*", 320, 120)
+    return rounded(cameras.select("image", "width", "height", "fx", "fy", "r00", "t0", "t1", "t2"), "fx")
+
+
+@query(
+    "scene_points_binary",
+    """SELECT p_partkey AS id, p_partkey / 4e0 AS x, p_size * 1e0 AS y, 25e-2 AS z, CAST(p_partkey % 256 AS INT) AS r, 1 AS g, 2 AS b, 5e-1 AS error FROM part""",
+)
+def scene_points_binary(spark, folder):
+    """Parts as points with tracks of different lengths; each file is read in ranges of 500 points."""
+    target = work_folder(spark, "points-binary")
+
+    def point_record(row):
+        key = row["p_partkey"]
+        track = struct.pack("<ii", key % 7, 1) * (key % 5)
+        return struct.pack("<Q3d3BdQ", key, key / 4.0, float(row["p_size"]), 0.25, key % 256, 1, 2, 0.5, key % 5) + track
+
+    _binary_scenes(table(spark, folder, "part").select("p_partkey", "p_size"), target, "points3D.bin", point_record)
+    back = scenes.read_points3d_binary(spark, f"{target}/scene*/points3D.bin", every=500)
+    return back.select("id", "x", "y", "z", "r", "g", "b", "error")
+
+
 @query(
     "transform_cameras_file",
     """SELECT concat('v', CAST(s_suppkey AS STRING)) AS image, 800 AS width, -(s_suppkey * 1e0) AS t0, 2e0 AS t1, 3e0 AS t2, 1e0 AS r00, -1e0 AS r11 FROM supplier""",
