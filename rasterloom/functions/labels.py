@@ -53,11 +53,6 @@ def map_ids(label: Column, mapping: Mapping[int, int], default: int | None = 0)
     return fallback if out is None else out.otherwise(fallback)
 
 
-def known_label(label: Column, class_ids: Iterable[int]) -> Column:
-    """The label if it is a mapped class, else NULL."""
-    return F.when(label.isin([int(c) for c in class_ids]), label)
-
-
 def to_binary(label: Column, positive_ids: Iterable[int]) -> Column:
     """1 for a positive class, 0 for any other label, NULL stays NULL."""
     return F.when(label.isNotNull(), label.isin([int(c) for c in positive_ids]).cast("int"))
@@ -88,8 +83,3 @@ def error_flag(pred: Column, truth: Column) -> Column:
 def with_sentinel(label: Column, sentinel: int = -1) -> Column:
     """Restore the sentinel that files use for "no label"."""
     return F.coalesce(label, F.lit(sentinel))
-
-
-def without_sentinel(label: Column, lowest_valid: int = 0) -> Column:
-    """Turn sentinel values below ``lowest_valid`` into NULL."""
-    return F.when(label >= lowest_valid, label)

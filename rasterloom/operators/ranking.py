@@ -11,7 +11,7 @@ from rasterloom.session import cut_lineage
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in the given order.
+    """Add the 0-based position, a long, of each row in the given order.
 
     Rows are range-partitioned and sorted in parallel; a partition's first number
     is the size of all partitions before it. The sorted table is checkpointed, so
@@ -28,6 +28,6 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> Dat
     # one row per shuffle partition of the sort
     return (
         laid_out.join(F.broadcast(starts), "_part")
-        .withColumn(name, (F.col("_start") + inside - 1).cast("int"))
+        .withColumn(name, (F.col("_start") + inside - 1).cast("long"))
         .drop("_part", "_start")
     )

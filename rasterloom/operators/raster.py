@@ -70,6 +70,17 @@ def require_same_shape(dims_a: DataFrame, dims_b: DataFrame) -> None:
         raise ValueError(f"truth layers differ in size: {sizes}")
 
 
+def require_inside(pixels: DataFrame, dims: DataFrame) -> None:
+    """Raises where an image has pixels outside its size, or no size; at most ten are named."""
+    ends = pixels.groupBy("image").agg(F.max("y").alias("_y"), F.max("x").alias("_x"))
+    sized = ends.join(dims.select("image", "height", "width"), "image", "left")
+    outside = F.col("height").isNull() | (F.col("_y") >= F.col("height")) | (F.col("_x") >= F.col("width"))
+    wrong = sized.filter(outside).orderBy("image").limit(10).collect()
+    if wrong:
+        sizes = ", ".join(f"{r['image']}: {r['_y']}, {r['_x']} in {r['height']}x{r['width']}" for r in wrong)
+        raise ValueError(f"pixels lie outside their images: {sizes}")
+
+
 def merge_labels(pixels: DataFrame, merge_map: Mapping[int, Sequence[int]]) -> DataFrame:
     """Ordered class merges."""
     return pixels.withColumn("label", labels.merge_sequential(F.col("label"), merge_map))

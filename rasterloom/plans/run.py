@@ -39,13 +39,15 @@ def run_evaluation(
 ) -> Evaluation:
     """Score all methods on the (first) images that have both truth layers.
 
-    ``dims`` are the sizes of the primary layer. Where the secondary layer's
-    sizes are given they must agree. A method with sizes of its own, in
+    ``dims`` are the sizes of the primary layer. The secondary layer's sizes must
+    agree; where they are not given, none of its pixels may lie outside. A method with sizes of its own, in
     ``prediction_dims`` or as its predictor's ``dims``, is resized to the truth.
     """
     inventory.require_complete(primary, secondary)
     if secondary_dims is not None:
         raster.require_same_shape(dims, secondary_dims)
+    else:
+        raster.require_inside(secondary, dims)
     images = inventory.first_images(primary, config.first_images)
     if files is not None:
         check_inputs(predictors, images, files)

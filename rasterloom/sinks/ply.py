@@ -10,16 +10,15 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSourceArrowWriter
 
+from rasterloom.sinks import manifest
 from rasterloom.sources.records import open_filesystem
 
 TILE_ROWS = 2_000_000
@@ -34,13 +33,8 @@ _STORED = {
 }
 
 
-@dataclass
-class Tiles(WriterCommitMessage):
-    staged: list[str]
-
-
 class PlyWriter(DataSourceArrowWriter):
-    """Writes staged tiles in the tasks; the commit gives finished ones their names."""
+    """Writes tiles below a run folder in the tasks; the commit publishes a manifest of them."""
 
     def __init__(self, schema: T.StructType, options: dict[str, str], overwrite: bool):
         self.folder = options["path"]
@@ -64,24 +58,22 @@ class PlyWriter(DataSourceArrowWriter):
         lines += [f"property {ply} {name}" for name, _, ply in self.fields]
         return ("\n".join([*lines, "end_header"]) + "\n").encode("ascii")
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Tiles:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        fs, folder = open_filesystem(self.folder)
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> manifest.TaskFolder:
+        fs, root = open_filesystem(self.folder)
+        target = manifest.task_folder(self.run)
+        folder = posixpath.join(root, target)
         fs.create_dir(folder, recursive=True)
         dtype = np.dtype([(n, t) for n, t, _ in self.fields])
-        staged, held, count = [], [], 0
+        tiles, held, count = 0, [], 0
 
         def flush() -> None:
-            nonlocal held, count
+            nonlocal tiles, held, count
             if count:
-                name = f".{self.run}-{context.partitionId():06d}-{context.attemptNumber()}-{len(staged):06d}"
-                with fs.open_output_stream(posixpath.join(folder, name)) as out:
+                with fs.open_output_stream(posixpath.join(folder, f"tile-{tiles:06d}.ply")) as out:
                     out.write(self._header(count))
                     for block in held:
                         out.write(block.tobytes())
-                staged.append(name)
+                tiles += 1
             held, count = [], 0
 
         for batch in iterator:
@@ -96,29 +88,15 @@ class PlyWriter(DataSourceArrowWriter):
                 if count == self.rows:
                     flush()
         flush()
-        return Tiles(staged)
+        return manifest.TaskFolder(target, tiles)
 
-    def commit(self, messages: list[Tiles | None]) -> None:
+    def commit(self, messages: list[manifest.TaskFolder | None]) -> None:
         fs, folder = open_filesystem(self.folder)
-        fs.create_dir(folder, recursive=True)
-        old = []
-        if self.overwrite:
-            infos = fs.get_file_info(pafs.FileSelector(folder))
-            old = [i.path for i in infos if i.base_name.endswith(".ply")]
-        for path in old:
-            fs.delete_file(path)
-        number = 0
-        for message in messages:
-            for name in message.staged if message else []:
-                final = f"tile-{self.run[:8]}-{number:06d}.ply"
-                fs.move(posixpath.join(folder, name), posixpath.join(folder, final))
-                number += 1
-
-    def abort(self, messages: list[Tiles | None]) -> None:
+        manifest.commit(fs, folder, self.run, messages, self.overwrite, ".ply")
+
+    def abort(self, messages: list[manifest.TaskFolder | None]) -> None:
         fs, folder = open_filesystem(self.folder)
-        for message in messages:
-            for name in message.staged if message else []:
-                fs.delete_file(posixpath.join(folder, name))
+        manifest.abort(fs, folder, self.run)
 
 
 def write_ply(df: DataFrame, folder: str, mode: str = "overwrite", uchar: tuple[str, ...] = (), tile_rows: int = TILE_ROWS) -> None:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from rasterloom.functions.labels import with_sentinel
 from rasterloom.operators import metrics
+from rasterloom.sinks.ordered import write_ordered
 
 
 # Folders an image-keyed table is spread over. A folder per image would mean
@@ -55,21 +58,35 @@ def write_label_rasters(pixels: DataFrame, folder: str, mode: str = "overwrite")
 def dense_rasters(pixels: DataFrame, dims: DataFrame, empty: int = -1) -> DataFrame:
     """One row per image row with all its labels, ``empty`` where there is none.
 
-    Rows of an image stay separate, so no task holds a whole image.
+    Rows of an image stay separate, so no task holds a whole image. A line is
+    filled by index, so the work is linear in its width. Of several labels of a
+    pixel the largest is stored; those outside the image are left out.
     """
-    lines = pixels.groupBy("image", "y").agg(
-        F.map_from_entries(F.collect_list(F.struct("x", "label"))).alias("_at")
-    )
+    known = pixels.filter(F.col("label").isNotNull())
+    lines = known.groupBy("image", "y").agg(F.sort_array(F.collect_list(F.struct("label", "x"))).alias("_at"))
     grid = dims.select(
         "image", "width", F.explode(F.sequence(F.lit(0), F.col("height").cast("int") - 1)).alias("y")
     )
-    columns = F.sequence(F.lit(0), F.col("width").cast("int") - 1)
-    labels = F.transform(columns, lambda x: with_sentinel(F.try_element_at("_at", x), empty))
-    return grid.join(lines, ["image", "y"], "left").select(
-        "image",
-        "y",
-        F.when(F.col("_at").isNull(), F.transform(columns, lambda x: F.lit(empty))).otherwise(labels).alias("labels"),
-    )
+    rows = grid.join(lines, ["image", "y"], "left").select("image", "y", "width", "_at")
+    kinds = [dims.schema["image"], rows.schema["y"], T.StructField("labels", T.ArrayType(pixels.schema["label"].dataType))]
+    schema = T.StructType(kinds)
+    arrow = to_arrow_schema(schema)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = batch.column("width").to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.append(0, np.cumsum(width))
+            out = np.full(int(starts[-1]), empty, np.int64)
+            counts = batch.column("_at").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            found = batch.column("_at").flatten()
+            x, label = (found.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "label"))
+            inside = (x >= 0) & (x < width[row])
+            out[starts[row[inside]] + x[inside]] = label[inside]
+            labels = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out)).cast(arrow.field("labels").type)
+            yield pa.RecordBatch.from_arrays([batch.column("image"), batch.column("y"), labels], schema=arrow)
+
+    return rows.mapInArrow(fill, schema)
 
 
 def write_prediction_cache(cache: DataFrame, folder: str, mode: str = "overwrite") -> None:
@@ -103,8 +120,9 @@ def nested_report(overall: DataFrame, per_class: DataFrame, binary: DataFrame) -
 
 
 def write_reports(report: DataFrame, per_image: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    report.write.mode(mode).json(f"{folder}/report")
-    per_image.write.mode(mode).json(f"{folder}/per_image")
+    """Reports by method, and scores per image in the order of method, image and class."""
+    write_ordered(report, f"{folder}/report", ["method"], mode=mode)
+    write_ordered(per_image, f"{folder}/per_image", ["method", "image", "class_id"], mode=mode)
 
 
 def upsert_summary(new: DataFrame, folder: str, previous: str | None = None) -> None:

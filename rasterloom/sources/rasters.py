@@ -23,21 +23,26 @@ def _arrays(spark: SparkSession, path: str, ending: str = "*.npy") -> DataFrame:
     return files.select(stem(F.col("path")).alias("image"), "path", "content")
 
 
-def list_rasters(spark: SparkSession, path: str, ending: str = "*.npy") -> DataFrame:
-    """Image names of a folder's rasters; file contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", ending).load(path)
-    return files.select(stem(F.col("path")).alias("image"), "path", "length")
-
-
 def _load(content: bytes) -> np.ndarray:
     return np.load(io.BytesIO(content), allow_pickle=False)
 
 
+def _block_of(name: Column) -> tuple[Column, Column]:
+    """Image name and first row of a file that holds all or a block of its image's rows."""
+    parts = r"^(.*)\.rows-(\d{9})$"
+    block = name.rlike(parts)
+    return (
+        F.when(block, F.regexp_extract(name, parts, 1)).otherwise(name),
+        F.when(block, F.regexp_extract(name, parts, 2).cast("long")).otherwise(F.lit(0)),
+    )
+
+
 def _array_lines(spark: SparkSession, path: str, axes: int, ending: str = ".npy") -> DataFrame:
     """(image, line_no, shape, kind, line) of array files; a large file is read by several tasks."""
     records.register(spark)
     lines = spark.read.format("npy").option("axes", axes).option("ending", ending).load(path)
-    return lines.select(stem(F.col("src_file")).alias("image"), F.col("point_idx").alias("line_no"), "shape", "kind", "line")
+    image, first = _block_of(stem(F.col("src_file")))
+    return lines.select(image.alias("image"), (F.col("point_idx") + first).alias("line_no"), "shape", "kind", "line")
 
 
 def read_label_rasters(spark: SparkSession, path: str, lowest_valid: int = 0) -> DataFrame:
@@ -54,13 +59,17 @@ def read_label_rasters(spark: SparkSession, path: str, lowest_valid: int = 0) ->
 
 
 def read_raster_dims(spark: SparkSession, path: str) -> DataFrame:
-    """Height and width of every array, from the headers alone."""
-    return records.read_shapes(spark, path).select(
-        stem(F.col("path")).alias("image"),
-        "path",
-        F.col("shape")[0].alias("height"),
-        F.col("shape")[1].alias("width"),
-        F.size("shape").alias("axes"),
+    """Height and width of every array, from the headers alone; blocks of one image count together."""
+    image, first = _block_of(stem(F.col("path")))
+    return (
+        records.read_shapes(spark, path)
+        .groupBy(image.alias("image"))
+        .agg(
+            F.min("path").alias("path"),
+            F.max(first + F.col("shape")[0]).cast("int").alias("height"),
+            F.max(F.col("shape")[1]).alias("width"),
+            F.max(F.size("shape")).alias("axes"),
+        )
     )
 
 

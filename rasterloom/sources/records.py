@@ -20,6 +20,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from rasterloom.sinks.manifest import counted
+
 SPLIT_BYTES = 64 << 20
 _BATCH_BYTES = 4 << 20
 
@@ -32,7 +34,10 @@ def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
-    """(path, size) of a file, a folder's files or a glob's matches, sorted by path."""
+    """(path, size) of a file, a folder's files or a glob's matches, sorted by path.
+
+    Of a folder that a sink publishes by manifests, the files that the newest one names.
+    """
     fs, inner = open_filesystem(path)
     if any(ch in inner for ch in "*?["):
         parent, pattern = posixpath.dirname(inner), posixpath.basename(inner)
@@ -40,7 +45,7 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     else:
         info = fs.get_file_info(inner)
         if info.type == pafs.FileType.Directory:
-            infos = fs.get_file_info(pafs.FileSelector(inner, recursive=True))
+            infos = counted(fs, fs.get_file_info(pafs.FileSelector(inner, recursive=True)))
         else:
             infos = [info] if info.type == pafs.FileType.File else []
     found = sorted(
@@ -337,6 +342,11 @@ class NpySource(DataSource):
     def reader(self, schema: T.StructType) -> NpyReader:
         return NpyReader(schema, self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool):
+        from rasterloom.sinks.npy import NpyWriter
+
+        return NpyWriter(schema, self.options, overwrite)
+
 
 def read_shapes(spark: SparkSession, path: str, ending: str = ".npy"):
     """(path, shape) of every array file, from the headers alone."""

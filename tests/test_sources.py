@@ -76,8 +76,8 @@ def test_ply_round_trip_in_tiles(spark, tmp_path):
     )
     target = str(tmp_path / "out")
     ply.write_points(cloud.repartition(3), target, tile_rows=150)
-    files = list((tmp_path / "out").glob("*.ply"))
-    assert len(files) >= 7 and not list((tmp_path / "out").glob(".*"))
+    files = list((tmp_path / "out").rglob("*.ply"))  # below a run folder, named by a manifest
+    assert len(files) >= 7 and not list((tmp_path / "out").rglob(".*"))
     back = points.read_points(spark, target, "ply")
     assert back.count() == 1000
     want = cloud.agg(F.sum("class"), F.round(F.sum(F.col("x").cast("float").cast("double")), 3)).first()

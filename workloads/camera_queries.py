@@ -99,7 +99,7 @@ def distance_to_camera(spark, folder):
 )
 def holdout_split(spark, folder):
     names = table(spark, folder, "customer").select(F.col("c_name").alias("image"))
-    return camera.holdout_split(names)
+    return camera.holdout_split(names).withColumn("position", F.col("position").cast("int"))
 
 
 @query(
@@ -109,7 +109,8 @@ def holdout_split(spark, folder):
 )
 def camera_list(spark, folder):
     split = holdout_split(spark, folder).drop("position")
-    return camera.camera_list(split.filter(~F.col("is_test")), split.filter("is_test"))
+    listed = camera.camera_list(split.filter(~F.col("is_test")), split.filter("is_test"))
+    return listed.withColumn("id", F.col("id").cast("int"))
 
 
 @query(

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators import camera
+from rasterloom.operators.points import frame_shift
 from rasterloom.plans.evaluate import EvaluationConfig, evaluate
 from rasterloom.plans.run import RunConfig, run_evaluation
 from rasterloom.session import work_folder
-from rasterloom.sinks import ply, tables
+from rasterloom.sinks import npy, ordered, ply, tables
+from rasterloom.plans import projection
 from rasterloom.sources import configs, points, rasters, records, scenes
 from workloads import views
 from workloads.registry import query, r6, rounded, table
@@ -84,7 +88,7 @@ def header_counts(spark, folder):
 @query(
     "ply_colored_round_trip",
     """SELECT CAST(o_orderkey AS DOUBLE) AS x, round((o_custkey % 256) / 255e0, 6) AS r, round((o_orderkey % 256) / 255e0, 6) AS g,
-    round((o_custkey % 7) / 255e0, 6) AS b, 0e0 AS nx FROM orders WHERE o_orderkey < 16777216""",
+    round((o_custkey % 7) / 255e0, 6) AS b, 0e0 AS nx FROM orders""",
 )
 def ply_colored_round_trip(spark, folder):
     """Every order; x, y and z hold 20 bits of its key each, as single precision holds whole numbers up to 2^24."""
@@ -445,3 +449,224 @@ def transform_cameras_file(spark, folder):
     path = _lines(poses.select(F.to_json(F.struct("camera_angle_x", "frames"))), work_folder(spark, "transforms"))
     back = scenes.read_transform_cameras(spark, path, 800, 600, lines=True)
     return back.select("image", "width", *[r6(n).alias(n) for n in ("t0", "t1", "t2", "r00", "r11")])
+
+
+# --- arrays, pictures and LAS files -----------------------------------------------
+
+
+@query(
+    "npy_round_trip",
+    f"WITH {views.RASTER_SQL} SELECT image, y, x, primary_label AS label FROM v_raster WHERE primary_label >= 0",
+)
+def npy_round_trip(spark, folder):
+    """Label rasters as array files in blocks of 64 rows, read line by line."""
+    raster, target = views.raster(spark, folder), work_folder(spark, "npy-labels")
+    records.register(spark)
+    npy.write_rasters(views.layer(raster, "primary"), views.raster_dims(raster), target, block_rows=64)
+    return rasters.read_label_rasters(spark, target).withColumn("image", F.col("image").cast("int"))
+
+
+@query(
+    "npy_features_round_trip",
+    f"""WITH {views.RASTER_SQL}, dims AS (SELECT image, max(y) + 1 AS height FROM v_raster GROUP BY image),
+    one AS (SELECT arg_min(height, image) AS height FROM dims)
+    SELECT image, y, x, primary_label * 1e0 AS first, (y % 7) / 4e0 AS second, one.height, 20 AS width FROM v_raster, one""",
+)
+def npy_features_round_trip(spark, folder):
+    """A vector per pixel as (height, width, channels) arrays, with the size of the first file."""
+    raster, target = views.raster(spark, folder), work_folder(spark, "npy-features")
+    records.register(spark)
+    vector = F.array(F.col("primary_label").cast("float"), ((F.col("y") % 7) / F.lit(4.0)).cast("float"))
+    pixels = raster.select("image", "y", "x", vector.alias("feature"))
+    npy.write_rasters(pixels, views.raster_dims(raster), target, "feature", empty=-99.0, channels=2, block_rows=1 << 20)
+    size = rasters.detect_resolution(spark, target).select(F.struct("height", "width")).scalar()
+    back = rasters.read_feature_rasters(spark, target).filter(F.col("feature")[0] != -99.0)
+    return back.withColumn("_size", size).select(
+        F.col("image").cast("int").alias("image"),
+        "y",
+        "x",
+        *[F.col("feature")[i].cast("double").alias(n) for i, n in enumerate(("first", "second"))],
+        "_size.height",
+        "_size.width",
+    )
+
+
+def _png(ids: np.ndarray) -> bytes:
+    """A grey picture of eight bits."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    height, width = ids.shape
+    lines = np.zeros((height, width + 1), np.uint8)
+    lines[:, 1:] = ids
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def _pictures(df: DataFrame, target: str) -> None:
+    """image, height, width, y, x, id as one picture per image, stored by tasks."""
+    fs, inner = records.open_filesystem(target)
+    fs.create_dir(inner, recursive=True)
+
+    def write(_, part):
+        ids = np.zeros((part.column("height")[0].as_py(), part.column("width")[0].as_py()), np.uint8)
+        ids[part.column("y").to_numpy(), part.column("x").to_numpy()] = part.column("id").to_numpy()
+        fs, inner = records.open_filesystem(target)
+        with fs.open_output_stream(f"{inner}/{part.column('image')[0].as_py()}.png") as out:
+            out.write(_png(ids))
+        return pa.table({"n": pa.array([part.num_rows], pa.int64())})
+
+    df.groupBy("image").applyInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+@query(
+    "instance_pictures_round_trip",
+    f"WITH {views.RASTER_SQL} SELECT image, y, x, primary_label + 1 AS instance_id FROM v_raster WHERE primary_label >= 0",
+)
+def instance_pictures_round_trip(spark, folder):
+    """Labels as ids in 8-bit pictures; 0 is no instance."""
+    raster, target = views.raster(spark, folder), work_folder(spark, "pictures")
+    ids = raster.join(F.broadcast(views.raster_dims(raster)), "image")
+    _pictures(ids.select("image", "height", "width", "y", "x", (F.col("primary_label") + 1).alias("id")), target)
+    back = rasters.read_instance_rasters(spark, target).filter("instance_id > 0")
+    return back.withColumn("image", F.col("image").cast("int"))
+
+
+@query(
+    "las_round_trip",
+    f"""WITH {views.POINTS_SQL} SELECT point_idx AS id, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z, class FROM v_points""",
+)
+def las_round_trip(spark, folder):
+    """Clouds as LAS files of hundredths, a file per task, read back and met again by file and record number."""
+    cloud, target = views.points(spark, folder), work_folder(spark, "las")
+    fs, inner = records.open_filesystem(target)
+    fs.create_dir(inner, recursive=True)
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        record = np.dtype([("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("rest", "V3"), ("class", "u1"), ("more", "V4")])
+        parts = []
+        for batch in batches:
+            block = np.zeros(batch.num_rows, record)
+            for a in "xyz":
+                block[a.upper()] = np.rint(batch.column(a).to_numpy() * 100)
+            block["class"] = batch.column("class").to_numpy()
+            parts.append(block)
+        points_ = np.concatenate(parts) if parts else np.zeros(0, record)
+        head = bytearray(227)
+        head[:4], head[24:26] = b"LASF", bytes([1, 2])
+        struct.pack_into("<HII", head, 94, 227, 227, 0)
+        head[104] = 0
+        struct.pack_into("<HI", head, 105, record.itemsize, len(points_))
+        struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 0.0, 0.0, 0.0)
+        fs, inner = records.open_filesystem(target)
+        with fs.open_output_stream(f"{inner}/tile-{TaskContext.get().partitionId():04d}.las") as out:
+            out.write(bytes(head) + points_.tobytes())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([len(points_)], pa.int64())})
+
+    # numbered by file and record on both sides: the order of a task's rows is the file's order
+    laid = cloud.repartition(4, "point_idx").sortWithinPartitions("point_idx")
+    laid.select("x", "y", "z", F.col("class").cast("int")).mapInArrow(write, "n long").agg(F.sum("n")).first()
+    back = points.read_points(spark, target, "las")
+    names = laid.withColumn("_file", F.format_string("tile-%04d.las", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("_file").orderBy("point_idx")) - 1
+    names = names.select(F.col("point_idx").alias("id"), "_file", inside.cast("long").alias("_at"))
+    met = back.join(names, (back["src_file"] == names["_file"]) & (back["point_idx"] == names["_at"]))
+    return met.select("id", *[F.round(a, 2).alias(a) for a in "xyz"], "class")
+
+
+@query(
+    "ordered_report_file",
+    """SELECT c_name AS name, c_acctbal AS score, row_number() OVER (ORDER BY c_name) - 1 AS position FROM customer""",
+)
+def ordered_report_file(spark, folder):
+    """Rows stored in name order by several tasks, and the place at which each is read back."""
+    target = work_folder(spark, "ordered")
+    rows = table(spark, folder, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
+    ordered.write_ordered(rows.repartition(7), target, ["name"], files=7)
+    return ordered.read_ordered(spark, target, "name string, score double")
+
+
+@query(
+    "ordered_table_file",
+    """SELECT o_orderkey AS id, o_orderpriority AS priority, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS position FROM orders""",
+)
+def ordered_table_file(spark, folder):
+    """The same through Parquet, by a column with few values: ties come in the order of the other columns."""
+    target = work_folder(spark, "ordered")
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    ordered.write_ordered(rows, target, ["priority"], "parquet")
+    return ordered.read_ordered(spark, target, "id long, priority string", "parquet")
+
+
+# --- steering files and reports ---------------------------------------------------
+
+
+@query("retention_file", "SELECT n_nationkey AS class_id, (n_regionkey + 1) / 8e0 AS rate FROM nation")
+def retention_file(spark, folder):
+    """Rates per class, next to a note that is no class."""
+    target = work_folder(spark, "retention")
+    nation = table(spark, folder, "nation")
+    entries = F.collect_list(F.struct(F.col("n_nationkey").cast("string"), ((F.col("n_regionkey") + 1) / F.lit(8.0)).cast("string")))
+    note = F.create_map(F.lit("_note"), F.lit("rates by class"))
+    _lines(nation.agg(F.to_json(F.map_concat(F.map_from_entries(entries), note)).alias("value")), target)
+    rates = configs.read_retention(spark, target)
+    return spark.createDataFrame(sorted(rates.items()), "class_id long, rate double")
+
+
+@query(
+    "frame_shift_file",
+    f"""WITH {views.POINTS_SQL}, s AS (SELECT sum(r_regionkey) / 4e0 AS a, -count(*) * 1e0 AS b, 5e-1 AS c FROM region)
+    SELECT src_file, point_idx, round(x + a, 6) AS x, round(y + b, 6) AS y, round(z + c, 6) AS z FROM v_points, s""",
+)
+def frame_shift_file(spark, folder):
+    target = work_folder(spark, "frame")
+    shift = F.array(F.sum("r_regionkey") / F.lit(4.0), -F.count("*") * F.lit(1.0), F.lit(0.5))
+    doc = F.struct(F.struct(shift.alias("shift"), F.lit(2.0).alias("scale")).alias("base_to_canonical"))
+    _lines(table(spark, folder, "region").agg(F.to_json(doc).alias("value")), target)
+    moved = frame_shift(views.points(spark, folder), configs.read_frame_shift(spark, target))
+    return rounded(moved, "x", "y", "z").select("src_file", "point_idx", "x", "y", "z")
+
+
+@query(
+    "projection_stats_file",
+    f"""WITH {views.RASTER_SQL}, seen AS (SELECT * FROM v_raster WHERE primary_label >= 0),
+    d AS (SELECT image, (max(y) + 1) * 20e0 AS size FROM v_raster GROUP BY image),
+    n AS (SELECT image, count(*) FILTER (WHERE diagonal % 7 <> 0) AS before, count(*) AS after FROM (SELECT seen.*, y + x AS diagonal FROM seen) GROUP BY image)
+    SELECT image, round(coalesce(before, 0) / size, 6) AS coverage_before, round(coalesce(after, 0) / size, 6) AS coverage_after
+    FROM d LEFT JOIN n USING (image)""",
+)
+def projection_stats_file(spark, folder):
+    """Coverage before and after filling, stored as JSON and read back."""
+    raster, target = views.raster(spark, folder), work_folder(spark, "stats")
+    filled = views.layer(raster, "primary").withColumn("filled", (F.col("y") + F.col("x")) % 7 == 0)
+    per_image, _ = projection.projection_stats(filled, views.raster_dims(raster))
+    tables.write_projection_stats(per_image, target)
+    back = spark.read.json(target).withColumn("image", F.col("image").cast("int"))
+    return rounded(back.select("image", "coverage_before", "coverage_after"), "coverage_before", "coverage_after")
+
+
+@query(
+    "instance_features_file",
+    "SELECT vec_id AS instance_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, len(embedding) AS n FROM embeddings",
+)
+def instance_features_file(spark, folder):
+    """Vectors as matrices of 500 rows with their ids, in archives that tasks store."""
+    target = work_folder(spark, "archives")
+    fs, inner = records.open_filesystem(target)
+    fs.create_dir(inner, recursive=True)
+
+    def write(key, part):
+        fs, inner = records.open_filesystem(target)
+        matrix = np.stack(part.column("embedding").to_pylist()).astype(np.float32)
+        with fs.open_output_stream(f"{inner}/part-{key[0].as_py()}.npz") as out:
+            np.savez(out, features=matrix, ids=part.column("vec_id").to_numpy())
+        return pa.table({"n": pa.array([part.num_rows], pa.int64())})
+
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.expr("vec_id div 500").alias("part"))
+    rows.groupBy("part").applyInArrow(write, "n long").agg(F.sum("n")).first()
+    back = rasters.read_instance_features(spark, target)
+    first = F.round(F.col("feature")[0].cast("double"), 6)
+    return back.select(F.col("instance_id").cast("long"), first.alias("first"), F.size("feature").cast("long").alias("n"))
