@@ -17,9 +17,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterloom.functions.vectors import argmax
 from rasterloom.operators.joins import lookup_join
+from rasterloom.session import cut_lineage
 
 TILE = 256
 TILE_KEY = ("image", "_ty", "_tx")
@@ -138,6 +140,118 @@ def stitch_windows(scores: DataFrame) -> DataFrame:
     )
 
 
+# A block holds at least so many windows an axis, and spans at least so many pixels.
+_BLOCK_WINDOWS, _BLOCK_SPAN = 2, 256
+
+
+def _origins(size: int, window: int, stride: int) -> np.ndarray:
+    """Sorted window starts along one axis, as ``window_origins`` gives them."""
+    return np.array(sorted({*range(0, size, stride), max(size - window, 0)}), np.int64)
+
+
+def _to_blocks(pixels: DataFrame, dims: DataFrame, window: int, stride: int, span: int) -> DataFrame:
+    """Pixels with the numbers of the blocks (``_by``, ``_bx``) whose windows cover them: a halo's overlap, not a row a window."""
+    sized = lookup_join(pixels, dims.select("image", "height", "width"), ["image"])
+    for axis, size in (("y", "height"), ("x", "width")):
+        covering = covering_origins(F.col(axis), F.col(size).cast("int"), window, stride)
+        blocks = F.array_distinct(F.transform(covering, lambda o: F.floor(o / F.lit(span)).cast("int")))
+        sized = sized.withColumn(f"_b{axis}", F.explode(blocks))
+    return sized
+
+
+def _block_scores(
+    group: pa.Table, model: Callable[[np.ndarray], np.ndarray], channels: Sequence[str], window: int, stride: int, span: int
+):
+    """(rows, sums of scores, windows of the block, all windows) of a block's pixels, strip by strip.
+
+    The pixels are laid out once and windows are slices. Sums are held for the
+    lines that windows still to come can touch.
+    """
+    at = {n: group.column(n).to_numpy().astype(np.int64) for n in ("y", "x")}
+    block = {n: int(group.column(f"_b{n}")[0].as_py()) for n in "yx"}
+    size = {n: int(group.column(s)[0].as_py()) for n, s in (("y", "height"), ("x", "width"))}
+    every = {n: _origins(size[n], window, stride) for n in "yx"}
+    own = {n: every[n][every[n] // span == block[n]] for n in "yx"}
+    start = {n: int(own[n][0]) for n in "yx"}
+    shape = [min(int(own[n][-1]) + window, size[n]) - start[n] for n in "yx"]
+
+    def covering(origins: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(origins, place, "right") - np.searchsorted(origins, place - window, "right")
+
+    order = np.lexsort((at["x"], at["y"]))
+    y, x = at["y"][order], at["x"][order]
+    mine = covering(own["y"], y) * covering(own["x"], x)
+    total = covering(every["y"], y) * covering(every["x"], x)
+    picture = np.zeros((*shape, len(channels)), np.float32)
+    row_at = np.full(shape, -1, np.int64)
+    row_at[y - start["y"], x - start["x"]] = np.arange(len(y))
+    for i, channel in enumerate(channels):
+        picture[y - start["y"], x - start["x"], i] = group.column(channel).to_numpy()[order]
+    sums, low = None, 0
+    for top, following in zip(own["y"], [*own["y"][1:], size["y"]]):
+        high = int(np.searchsorted(y, top + window))
+        for left in own["x"]:
+            place = tuple(slice(o - start[n], o - start[n] + window) for n, o in (("y", top), ("x", left)))
+            scores = np.asarray(model(picture[place].copy()), np.float32)
+            rows = row_at[place]
+            there = rows >= 0
+            if sums is None:
+                sums = np.zeros((0, scores.shape[2]), np.float32)
+            if low + len(sums) < high:
+                sums = np.concatenate([sums, np.zeros((high - low - len(sums), sums.shape[1]), np.float32)])
+            sums[rows[there] - low] += scores[there]
+        done = int(np.searchsorted(y, following)) - low
+        done = len(sums) if top == own["y"][-1] else min(done, len(sums))
+        place = slice(low, low + done)
+        yield order[place], sums[:done], mine[place], total[place]
+        sums, low = sums[done:], low + done
+
+
+def _score_lists(sums: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(sums).reshape(-1)))
+
+
+def _predict_blocks(
+    pixels: DataFrame,
+    dims: DataFrame,
+    model: Callable[[np.ndarray], np.ndarray],
+    channels: Sequence[str],
+    window: int,
+    stride: int,
+    decide: bool,
+) -> DataFrame:
+    span = stride * max(_BLOCK_WINDOWS, -(-_BLOCK_SPAN // stride))
+    placed = _to_blocks(pixels.select("image", "y", "x", *channels), dims, window, stride, span)
+    schema = T.StructType(
+        [pixels.schema["image"], *T.StructType.fromDDL("y int, x int, scores array<float>, windows int, label int, score double")]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = []
+        for rows, sums, mine, total in _block_scores(group, model, channels, window, stride, span):
+            # a pixel all of whose windows lie in this block is finished here
+            ready = (mine == total) if decide else np.zeros(len(mine), bool)
+            for part, whole in ((~ready, False), (ready, True)):
+                n = int(part.sum())
+                if not n:
+                    continue
+                mean = sums[part] / mine[part, None].astype(np.float32)
+                nothing = [pa.nulls(n)] * 2
+                if whole:
+                    exact = sums[part].astype(np.float64) / mine[part, None]
+                    values = [pa.nulls(n), pa.array(exact.argmax(axis=1)), pa.array(exact.max(axis=1))]
+                else:
+                    values = [_score_lists(mean), *nothing]
+                at = [group.column(c).take(pa.array(rows[part])) for c in ("image", "y", "x")]
+                columns = [*at, values[0], pa.array(mine[part]), *values[1:]]
+                parts.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
+        return pa.concat_tables(parts) if parts else arrow.empty_table()
+
+    return placed.groupBy("image", "_by", "_bx").applyInArrow(run, schema)
+
+
 def predict_windows(
     pixels: DataFrame,
     dims: DataFrame,
@@ -148,42 +262,41 @@ def predict_windows(
 ) -> DataFrame:
     """Run ``model`` on every window; it maps (h, w, c) to scores (h, w, classes).
 
-    One group is one window. The model sees the whole window, cut only by the
-    image's border; places without a pixel are 0. The result has one ``scores``
-    array per pixel and window.
+    One group is a block of neighbouring windows, so a pixel is shipped once to
+    each block it lies in (1.36 times at 800/600). The model sees the whole
+    window, cut only by the image's border; places without a pixel are 0. The
+    result has, per pixel and block, the mean ``scores`` array over ``windows`` windows.
     """
-    cut = _windowed(pixels, dims, window, stride)
-    image_field = pixels.schema["image"]
-    schema = T.StructType(
-        [
-            image_field,
-            T.StructField("y", T.IntegerType()),
-            T.StructField("x", T.IntegerType()),
-            T.StructField("scores", T.ArrayType(T.FloatType())),
-        ]
-    )
-
-    def run(group: pa.Table) -> pa.Table:
-        y0, x0 = group["y0"][0].as_py(), group["x0"][0].as_py()
-        ys, xs = group["y"].to_numpy() - y0, group["x"].to_numpy() - x0
-        height, width = (min(window, group[n][0].as_py() - at) for n, at in (("height", y0), ("width", x0)))
-        block = np.zeros((height, width, len(channels)), dtype=np.float32)
-        for i, channel in enumerate(channels):
-            block[ys, xs, i] = group[channel].to_numpy()
-        scores = np.ascontiguousarray(np.asarray(model(block), dtype=np.float32)[ys, xs])
-        offsets = np.arange(len(scores) + 1, dtype=np.int32) * scores.shape[1]
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.reshape(-1)))
-        return pa.table({"image": group["image"], "y": group["y"], "x": group["x"], "scores": lists})
-
-    return cut.groupBy("image", "y0", "x0").applyInArrow(run, schema)
+    return _predict_blocks(pixels, dims, model, channels, window, stride, False).drop("label", "score")
 
 
 def stitch_scores(scores: DataFrame) -> DataFrame:
     """Mean of a pixel's score arrays over its windows, then the best class (first on a tie).
 
-    Arrays are summed in the aggregate, so a pixel's windows combine before the shuffle.
+    A row may stand for several ``windows``. Arrays are summed in the aggregate,
+    so a pixel's rows combine before the shuffle.
     """
-    mean = scores.groupBy("image", "y", "x").agg(Summarizer.mean(array_to_vector("scores")).alias("_v"))
+    weight = F.col("windows").cast("double") if "windows" in scores.columns else F.lit(1.0)
+    mean = scores.groupBy("image", "y", "x").agg(Summarizer.mean(array_to_vector("scores"), weight).alias("_v"))
     return mean.withColumn("_m", vector_to_array("_v")).select(
         "image", "y", "x", argmax(F.col("_m")).alias("label"), F.array_max("_m").alias("score")
     )
+
+
+def predict_labels(
+    pixels: DataFrame,
+    dims: DataFrame,
+    model: Callable[[np.ndarray], np.ndarray],
+    channels: Sequence[str] = ("r", "g", "b"),
+    window: int = 800,
+    stride: int = 600,
+) -> DataFrame:
+    """Best class per pixel by its mean score over all windows (``predict_windows``, then ``stitch_scores``).
+
+    Pixels whose windows all lie in one block are decided there; only those on the
+    seams between blocks are shuffled again. The model runs once a window: its results are stored.
+    """
+    rows = cut_lineage(_predict_blocks(pixels, dims, model, channels, window, stride, True))
+    seams = stitch_scores(rows.filter(F.col("label").isNull()).select("image", "y", "x", "scores", "windows"))
+    whole = rows.filter(F.col("label").isNotNull()).select("image", "y", "x", "label", "score")
+    return whole.unionByName(seams.withColumn("label", F.col("label").cast("int")))

@@ -334,8 +334,8 @@ def predict_windows(spark, folder):
 
     rasters = views.raster(spark, folder)
     pixels = rasters.select(*raster.PIXEL, F.col("primary_label").alias("r"), F.col("pred_label").alias("g"))
-    scores = tiles.predict_windows(pixels, views.raster_dims(rasters), model, ("r", "g"), WINDOW, STRIDE)
-    return tiles.stitch_scores(scores).withColumn("score", F.round("score", 4))
+    labels = tiles.predict_labels(pixels, views.raster_dims(rasters), model, ("r", "g"), WINDOW, STRIDE)
+    return labels.withColumn("score", F.round("score", 4))
 
 
 # --- streams ----------------------------------------------------------------------
