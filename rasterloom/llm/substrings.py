@@ -126,28 +126,34 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     }
 
 
+# What tells a row's text from others: its doc_id (0 for null) and a hash of its text. Rows equal in
+# both are copies of each other.
+_ROW = ("doc_id", "mark")
+
+
 def _listed(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, key, print, at) of every stretch of every text."""
+    """(doc_id, mark, key, print, at) of every stretch of every text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: pa.Array, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+        def out(rows: pa.RecordBatch, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+            at = pa.array(found["row"])
             return pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(found["row"])), *[pa.array(found[c]) for c in ("key", "print", "at")]],
-                ["doc_id", "key", "print", "at"],
+                [*[rows.column(c).take(at) for c in _ROW], *[pa.array(found[c]) for c in ("key", "print", "at")]],
+                [*_ROW, "key", "print", "at"],
             )
 
         for batch in slices(batches):
             data, offsets = flat(batch.column("text"))
             if batch.num_rows > 1 or len(data) <= CHUNK:
-                yield out(batch.column("doc_id"), stretches(data, offsets, length, gram))
+                yield out(batch, stretches(data, offsets, length, gram))
                 continue
             for start in range(0, len(data), CHUNK):  # a very long text, in parts that share length - 1 bytes
                 part = data[start : start + CHUNK + length - 1]
                 found = stretches(part, np.array([0, len(part)]), length, gram)
                 found["at"] += start << 16
-                yield out(batch.column("doc_id"), found)
+                yield out(batch, found)
 
-    return docs.mapInArrow(find, "doc_id long, key long, print long, at long")
+    return docs.mapInArrow(find, "doc_id long, mark long, key long, print long, at long")
 
 
 def _common(a: bytes, b: bytes, start: int) -> int:
@@ -341,55 +347,63 @@ def repeated_substrings(
 
     A byte is removed when a string of ``length`` bytes around it also starts
     anywhere else; matches stay inside documents. Null and empty texts have
-    nothing to remove. A doc_id names one text; rows that repeat it are copies
-    of each other, so all they repeat goes. Other columns are ignored.
+    nothing to remove. A doc_id may be null or occur several times, with any
+    texts: rows are told apart by doc_id and text, and equal rows are copies of
+    each other, so all that they share goes. Other columns are ignored.
     """
     if not gram < length <= 255:
         raise ValueError("strings are longer than the anchor and at most 255 bytes")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    name = F.col(doc_id).cast("long")
+    docs = docs.select(
+        name.alias("_name"),
+        F.coalesce(name, F.lit(0)).alias("doc_id"),
+        F.xxhash64(name.isNull(), F.col(text)).alias("mark"),
+        F.col(text).alias("text"),
+    )
     # listed anew for each use: storing all stretches would take half as much disk as the input
     found = _listed(docs, length, gram)
     keys = stored(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "repeat-keys")
     total = keys.agg(F.sum("c")).first()[0] or 0
     shared = stored(join_groups(found, keys, ["key"], "c", total).drop("c"), "repeat-shared")
     variants = stored(
-        shared.groupBy("key", "print").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "at")).alias("one")),
+        shared.groupBy("key", "print").agg(F.count("*").alias("m"), F.min(F.struct(*_ROW, "at")).alias("one")),
         "repeat-variants",
     )
     copies = join_groups(shared, variants.filter("m > 1").select("key", "print", "m"), ["key", "print"], "m", total)
     begin, count = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
-    spans = copies.select("doc_id", begin.alias("begin"), (begin + count - 1 + length).alias("end"))
+    spans = copies.select(*_ROW, begin.alias("begin"), (begin + count - 1 + length).alias("end"))
     # anchors with different stretches, one of which occurs once
     open_ = variants.groupBy("key").agg(F.count("*").alias("d"), F.min("m").alias("least")).filter("d > 1 AND least = 1")
     wanted = stored(
-        join_groups(variants, open_, ["key"], "d", total).select("key", "m", "d", F.col("one.doc_id").alias("doc_id"), F.col("one.at").alias("at")),
+        join_groups(variants, open_, ["key"], "d", total).select("key", "m", "d", "one.*"),
         "repeat-open",
     )
 
     def contexts(some: DataFrame) -> DataFrame:
-        """(key, m, doc_id, at, left, right): the bytes of stretches on both sides of their anchors."""
+        """(key, m, doc_id, mark, at, left, right): the bytes of stretches on both sides of their anchors."""
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 rows: list[tuple] = []
-                for name, raw, needs in zip(
-                    batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("needs").to_pylist()
+                for name, mark, raw, needs in zip(
+                    *[batch.column(c).to_pylist() for c in _ROW], batch.column("text").cast(pa.binary()).to_pylist(), batch.column("needs").to_pylist()
                 ):
                     for need in needs:
                         start, anchor = need["at"] >> 16, (need["at"] >> 16) + (need["at"] & 0xFF)
                         stop = start + ((need["at"] >> 8) & 0xFF) - 1 + length
-                        rows.append((need["key"], need["m"], name, need["at"], raw[start:anchor][::-1], raw[anchor:stop]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                columns = list(zip(*rows)) or [()] * 6
+                        rows.append((need["key"], need["m"], name, mark, need["at"], raw[start:anchor][::-1], raw[anchor:stop]))
+                kinds = [*[pa.int64()] * 5, pa.binary(), pa.binary()]
+                columns = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "m", "doc_id", "at", "left", "right"]
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "m", *_ROW, "at", "left", "right"]
                 )
 
-        needs = some.groupBy("doc_id").agg(F.collect_list(F.struct("key", "m", "at")).alias("needs"))
+        needs = some.groupBy(*_ROW).agg(F.collect_list(F.struct("key", "m", "at")).alias("needs"))
         return (
-            docs.join(needs, "doc_id")
-            .dropDuplicates(["doc_id"])
-            .mapInArrow(cut, "key long, m long, doc_id long, at long, left binary, right binary")
+            docs.drop("_name")
+            .join(needs, list(_ROW))
+            .dropDuplicates(list(_ROW))
+            .mapInArrow(cut, "key long, m long, doc_id long, mark long, at long, left binary, right binary")
         )
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,8 +413,8 @@ def repeated_substrings(
             key, at = block.column("key").to_numpy(), block.column("at").to_numpy()
             who, start, stop = repeated(key, at, block.column("left").to_pylist(), block.column("right").to_pylist(), length)
             single = block.column("m").to_numpy()[who] == 1
-            ids = block.column("doc_id").combine_chunks().take(pa.array(who[single]))
-            return pa.RecordBatch.from_arrays([ids, pa.array(start[single]), pa.array(stop[single])], ["doc_id", "begin", "end"])
+            rows = [block.column(c).combine_chunks().take(pa.array(who[single])) for c in _ROW]
+            return pa.RecordBatch.from_arrays([*rows, pa.array(start[single]), pa.array(stop[single])], [*_ROW, "begin", "end"])
 
         for batch in batches:
             held.append(batch)
@@ -417,7 +431,7 @@ def repeated_substrings(
 
     few = contexts(wanted.filter(F.col("d") <= together))
     sorted_spans = (
-        few.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc_id long, begin long, end long")
+        few.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "doc_id long, mark long, begin long, end long")
     )
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,21 +446,22 @@ def repeated_substrings(
             inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             begin = offset[row] + inside
             prints = Prefixes(np.frombuffer(b"".join(whole), np.uint8)).of(begin, begin + length)
-            names = ["key", "before", "string", "doc_id", "begin"]
+            names = ["key", "before", "string", *_ROW, "begin"]
             columns = [batch.column("key").to_numpy()[row], (at & 0xFF)[row] - inside, prints.view(np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), batch.column("doc_id").take(pa.array(row)), pa.array((at >> 16)[row] + inside)], names
+                [*map(pa.array, columns), *[batch.column(c).take(pa.array(row)) for c in _ROW], pa.array((at >> 16)[row] + inside)],
+                names,
             )
 
     many = contexts(wanted.filter(F.col("d") > together)).mapInArrow(
-        strings, "key long, before long, string long, doc_id long, begin long"
+        strings, "key long, before long, string long, doc_id long, mark long, begin long"
     )
     many = stored(many, "repeat-strings")
     on = ["key", "before", "string"]
     twice = many.groupBy(*on).agg(F.count("*").alias("c")).filter("c > 1")
-    hot = join_groups(many, twice, on, "c", many.count()).select("doc_id", "begin", (F.col("begin") + length).alias("end"))
+    hot = join_groups(many, twice, on, "c", many.count()).select(*_ROW, "begin", (F.col("begin") + length).alias("end"))
     every = spans.unionByName(sorted_spans).unionByName(hot)
-    by_doc = every.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    by_doc = every.groupBy(*_ROW).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -471,7 +486,7 @@ def repeated_substrings(
                 [batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(rows.values(), kinds)]], ["doc_id", *rows]
             )
 
-    marked = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["doc_id"]), "left").select(docs["doc_id"], "text", "spans")
+    marked = docs.join(by_doc, list(_ROW), "left").select(F.col("_name").alias("doc_id"), "text", "spans")
     return marked.mapInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_text binary"
     )

@@ -32,9 +32,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
-# The patterns of the two vocabulary files, for texts below U+0250.
-_BYTE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[0-9²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_WORD_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+")
+# The patterns of the two vocabulary files, for texts below U+0250. White space is spelled out:
+# that of the library lacks U+001C to U+001F, which a pattern's \s would include.
+_WHITE = "\t-\r \x85\xa0"
+_BYTE_SPLIT = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[0-9²³¹¼½¾]+| ?(?:[^{_WHITE}\w]|_)+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+)
+_WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^{_WHITE}\w]|_)+")
 _PLAIN = "ɐ"
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True

@@ -292,6 +292,12 @@ def test_encoders_agree_with_the_library(name):
     alphabet = [*"ab é'sßtrevmld  \n\t.,!_²½09 \u0085ΣςŐ中ñ́İ", "<|endoftext|>", "'ll", " the", "  ", ".\n"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     texts += ["'r", "a'v", " 've", "\n\n 're", "x" * 3000, " " * 900]
+    # every code point below U+0250, alone, doubled and between others; and random ones of all planes
+    low = [chr(c) for c in range(0x250)]
+    texts += [t for c in low for t in (c, c + c, f"a{c}b", f" {c}'ll {c} 9{c}")]
+    texts += ["".join(rng.choice(low) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    wild = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(rng.choice([chr(rng.choice(wild)), rng.choice(low), " ", "a"]) for _ in range(rng.randint(1, 12))) for _ in range(6000)]
     path = public_tokenizers.path(name)
     library = Tokenizer.from_file(path)
     expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
