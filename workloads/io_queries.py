@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators import camera
+from rasterloom.operators import camera, metrics
 from rasterloom.operators.points import frame_shift
 from rasterloom.plans.evaluate import EvaluationConfig, evaluate
 from rasterloom.plans.run import RunConfig, run_evaluation
@@ -19,6 +19,7 @@ from rasterloom.sinks import npy, ordered, ply, tables
 from rasterloom.plans import projection
 from rasterloom.sources import configs, points, rasters, records, scenes
 from workloads import views
+from workloads.metric_queries import CLASS_COUNTS_SQL, _class_scores
 from workloads.registry import query, r6, rounded, table
 
 
@@ -670,3 +671,29 @@ def instance_features_file(spark, folder):
     back = rasters.read_instance_features(spark, target)
     first = F.round(F.col("feature")[0].cast("double"), 6)
     return back.select(F.col("instance_id").cast("long"), first.alias("first"), F.size("feature").cast("long").alias("n"))
+
+
+@query(
+    "stability_file",
+    f"""WITH {CLASS_COUNTS_SQL},
+    o AS (SELECT avg(m) AS overall FROM (SELECT image, avg(iou) AS m FROM class_scores GROUP BY image))
+    SELECT 'model' AS method, class_id, round(max(overall), 6) AS overall_mean_iou, round(avg(iou), 6) AS iou, CAST(sum(tp) AS BIGINT) AS tp,
+      CAST(sum(fn) AS BIGINT) AS fn FROM class_scores, o WHERE class_id IN (1, 101, 103) GROUP BY class_id""",
+)
+def stability_file(spark, folder):
+    """Chosen classes of a method as nested JSON, read back by class."""
+    target = work_folder(spark, "stability")
+    scores = _class_scores(spark, folder).withColumn("method", F.lit("model"))
+    overall = metrics.report_overall(metrics.image_summary(scores, by=("method", "image")), by=("method",))
+    tables.write_stability(metrics.stability_subset(metrics.report_class(scores), overall, [1, 101, 103]), target)
+    each = "struct<precision: double, recall: double, iou: double, counts: struct<tp: long, fp: long, fn: long, tn: long>>"
+    back = spark.read.schema(f"method string, overall_mean_iou double, target_classes map<string, {each}>").json(target)
+    back = back.select("method", "overall_mean_iou", F.explode("target_classes").alias("class_id", "s"))
+    return back.select(
+        "method",
+        F.col("class_id").cast("int").alias("class_id"),
+        r6("overall_mean_iou").alias("overall_mean_iou"),
+        r6("s.iou").alias("iou"),
+        F.col("s.counts.tp").alias("tp"),
+        F.col("s.counts.fn").alias("fn"),
+    )
