@@ -13,8 +13,19 @@ POINT_COLUMNS = ("src_file", "point_idx", "x", "y", "z", "class")
 
 
 def list_inputs(spark: SparkSession, spec: str, extensions: Sequence[str] = (".las", ".laz")) -> DataFrame:
-    """Sorted (path, length) of a file, folder or glob with the given endings; none raises."""
+    """Sorted (path, length) of a file, folder or glob with the given endings; none raises.
+
+    Of a folder that a sink publishes by manifests, the files that the newest one names.
+    """
     files = spark.read.format("binaryFile").load(spec).select("path", "length")
+    newest = files.filter(F.col("path").rlike(r"/manifest-\d{9}\.json$")).agg(F.max("path")).first()[0]
+    if newest is not None:
+        # one entry per task that wrote
+        named = spark.read.schema("folders array<string>, loose array<string>").json(newest).first()
+        below = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(spec).select("path", "length")
+        inner = F.substring(F.col("path"), newest.rindex("/") + 2, 1 << 20)
+        task = F.regexp_extract(inner, "^(.*)/[^/]*$", 1)
+        files = below.filter(F.when(task == "", inner.isin(named["loose"])).otherwise(task.isin(named["folders"])))
     keep = F.lit(False)
     for ending in extensions:
         keep = keep | F.lower("path").endswith(ending.lower())
