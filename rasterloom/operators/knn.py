@@ -7,73 +7,85 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators.joins import salted_join
+from rasterloom.operators.joins import lookup_join, salted_join
 from rasterloom.session import cut_lineage
 
 FLOOR = 1e-7
 _POINT = ["x", "y", "z"]
 _CELL = ["_gx", "_gy", "_gz"]
+# Below one in so many open places, the cells they ask for are looked up first.
+_FEW = 100
 
 
-def _cells(df: DataFrame, edge: float) -> DataFrame:
-    return df.withColumns(
-        {g: F.floor(F.col(a) / F.lit(edge)).cast("long") for g, a in zip(_CELL, _POINT)}
-    )
+def _cells(df: DataFrame, edge: Column) -> DataFrame:
+    return df.withColumns({g: F.floor(F.col(a) / edge).cast("long") for g, a in zip(_CELL, _POINT)})
+
 
+def _around(df: DataFrame) -> DataFrame:
+    """Each row once per cell of the 27 around its own."""
+    steps = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
+    for g in _CELL:
+        df = df.withColumn("_s", F.explode(steps)).withColumn(g, F.col(g) + F.col("_s")).drop("_s")
+    return df
 
-def _start_edge(places: DataFrame, cell: float, split: int) -> float:
-    """The largest of cell, cell / 2, cell / 4, ... at which no cell holds more than ``split`` places.
 
-    Eight edges are counted in one job. Halving ends where cell numbers would
-    leave 64 bits; places closer than that share a cell, which costs time only.
+def with_edges(places: DataFrame, cell: float, split: int) -> DataFrame:
+    """Add ``_edge``: the largest of cell, cell / 2, ... at which no cell around the place holds over ``split`` places.
+
+    Each halving looks only at the places near crowded cells, so a dense spot
+    gives small cells to itself and its surroundings and to nothing else. Halving
+    ends where cell numbers would leave 64 bits; places closer than that share a
+    cell, which costs time only.
     """
-    edge, last = float(cell), F.greatest(*[F.max(F.abs(a)) for a in _POINT])
+    last = F.greatest(*[F.max(F.abs(a)) for a in _POINT])
     extent = float(places.agg(last).first()[0] or 0.0)
+    edge, rest, done = float(cell), places, []
     while True:
-        edges = [e for e in (edge / 2.0**i for i in range(8)) if extent / e < 2.0**62]
-        if not edges:
-            return edge * 2.0
-        level = F.explode(F.array(*[F.lit(e) for e in edges]))
-        cells = places.withColumn("_edge", level).groupBy(
-            "_edge", *[F.floor(F.col(a) / F.col("_edge")).cast("long").alias(g) for g, a in zip(_CELL, _POINT)]
-        )
-        crowds = cells.count().groupBy("_edge").agg(F.max("count").alias("crowd"))
-        fits = crowds.filter(F.col("crowd") <= split).agg(F.max("_edge")).first()[0]
-        if fits is not None:
-            return fits
-        edge /= 2.0**8
+        celled = _cells(rest, F.lit(edge))
+        crowded = celled.groupBy(*_CELL).agg(F.count("*").alias("_n")).filter(F.col("_n") > split).select(*_CELL)
+        crowded = cut_lineage(crowded)
+        if crowded.isEmpty() or extent / (edge / 2.0) >= 2.0**62:
+            done.append(rest.withColumn("_edge", F.lit(edge)))
+            break
+        near = _around(crowded).distinct().withColumn("_near", F.lit(True))
+        marked = cut_lineage(lookup_join(celled, near, _CELL, "left").drop(*_CELL))
+        done.append(marked.filter(F.col("_near").isNull()).drop("_near").withColumn("_edge", F.lit(edge)))
+        rest = marked.filter("_near").drop("_near")
+        edge /= 2.0
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def initial_scale(points: DataFrame, cell: float, k: int = 3, split: int = 64) -> DataFrame:
     """Per distinct place the mean squared distance to the ``k`` nearest other points.
 
-    Exact, and at least 1e-7. Copies of a place are counted, not compared. The
-    search starts on a grid fine enough that no cell is crowded; a place looks at
-    the 27 cells around it and is settled once its k-th neighbour lies within one
-    edge. The rest try again with the edge doubled. A place still open then has
-    fewer than k neighbours within half an edge, so only a bounded number of
-    open places can share a cell, and a dense cell is never compared with itself.
+    Exact, and at least 1e-7. Copies of a place are counted, not compared. Every
+    place has an edge of its own, by how crowded its surroundings are; it looks at
+    the 27 cells of that edge around it and is settled once its k-th neighbour lies
+    within one edge. The rest try again with their edge doubled, and only the cells
+    they ask for are read again. A place still open then has fewer than k
+    neighbours within half an edge, so only a bounded number of open places can
+    share a cell, and a dense cell is never compared with itself.
     Adds ``copies`` and ``mean_sq``.
     """
     places = cut_lineage(points.groupBy(*_POINT).agg(F.count("*").alias("copies")))
-    box = places.agg(*[(F.max(a) - F.min(a)).alias(a) for a in _POINT]).first()
-    if box[0] is None:
+    box = places.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in _POINT]).first()
+    if not box["n"]:
         return places.withColumn("mean_sq", F.lit(FLOOR))
-    reach = math.sqrt(sum(side * side for side in box))
-    edge = _start_edge(places, cell, split)
+    reach = math.sqrt(sum(box[a] * box[a] for a in _POINT))
 
     stacked = places.filter(F.col("copies") > k).select(*_POINT, "copies", F.lit(0.0).alias("sum_sq"), F.lit(k).alias("n"))
-    open_places = places.filter(F.col("copies") <= k)
-    settled = [stacked]
+    open_places = cut_lineage(with_edges(places, cell, split).filter(F.col("copies") <= k))
+    settled, asking = [stacked], box["n"]
     while True:
-        last = edge > reach
-        found = cut_lineage(_search(open_places, places, edge, k, last))
-        done = F.lit(True) if last else F.col("settled")
-        settled.append(found.filter(done).select(*_POINT, "copies", "sum_sq", "n"))
-        if last or not found.filter(~F.col("settled")).limit(1).count():
+        found = cut_lineage(_search(open_places, places, reach, k, asking * _FEW < box["n"]))
+        settled.append(found.filter("settled").select(*_POINT, "copies", "sum_sq", "n"))
+        asking = found.filter("NOT settled").count()
+        if not asking:
             break
-        open_places = found.filter(~F.col("settled")).select(*_POINT, "copies")
-        edge *= 2.0
+        open_places = found.filter("NOT settled").select(*_POINT, "copies", (F.col("_edge") * 2.0).alias("_edge"))
     out = settled[0]
     for part in settled[1:]:
         out = out.unionByName(part)
@@ -81,25 +93,28 @@ def initial_scale(points: DataFrame, cell: float, k: int = 3, split: int = 64) -
     return out.select(*_POINT, "copies", F.greatest(mean, F.lit(FLOOR)).alias("mean_sq"))
 
 
-def _search(open_places: DataFrame, places: DataFrame, edge: float, k: int, last: bool) -> DataFrame:
-    """One round: sum and number of the k smallest squared distances, and whether final."""
-    around = _cells(open_places, edge)
-    steps = F.array(*[F.lit(s).cast("long") for s in (-1, 0, 1)])
-    for g in _CELL:
-        around = around.withColumn("_s", F.explode(steps)).withColumn(g, F.col(g) + F.col("_s")).drop("_s")
-    others = _cells(places, edge).select(
-        *_CELL, *[F.col(a).alias(f"_o{a}") for a in _POINT], F.col("copies").alias("_m")
-    )
+def _search(open_places: DataFrame, places: DataFrame, reach: float, k: int, few: bool) -> DataFrame:
+    """One round: sum and number of the k smallest squared distances, and whether final.
+
+    Places are laid out once for each edge in use. With ``few`` open places, only those in the cells they ask for are.
+    """
+    on = ["_edge", *_CELL]
+    around = _around(_cells(open_places, F.col("_edge")))
+    edges = [r[0] for r in open_places.select("_edge").distinct().collect()]  # at most one per halving
+    laid = places.withColumn("_edge", F.explode(F.array(*[F.lit(e) for e in edges])))
+    others = _cells(laid, F.col("_edge")).select(*on, *[F.col(a).alias(f"_o{a}") for a in _POINT], F.col("copies").alias("_m"))
+    if few:
+        others = lookup_join(others, cut_lineage(around.select(*on).distinct()), on, "left_semi")
     gaps = [F.col(a) - F.col(f"_o{a}") for a in _POINT]
     d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
     self_pair = (gaps[0] == 0) & (gaps[1] == 0) & (gaps[2] == 0)
     pairs = (
-        salted_join(others, around, _CELL, salts=4)
+        salted_join(others, around, on, salts=4)
         .withColumn("_d2", d2)
         .withColumn("_m", F.when(self_pair, F.col("copies") - 1).otherwise(F.col("_m")))
     )
-    if not last:
-        pairs = pairs.filter(F.col("_d2") <= F.lit(edge * edge))
+    everything = F.col("_edge") > F.lit(reach)
+    pairs = pairs.filter(everything | (F.col("_d2") <= F.col("_edge") * F.col("_edge")))
     # k rows per place and slice are enough, so a place near a dense cell is
     # reduced in parallel before its slices meet.
     slices = F.pmod(F.xxhash64(*[f"_o{a}" for a in _POINT]), F.lit(16)).cast("int")
@@ -116,8 +131,9 @@ def _search(open_places: DataFrame, places: DataFrame, edge: float, k: int, last
         .groupBy(*_POINT)
         .agg(
             F.first("copies").alias("copies"),
+            F.first("_edge").alias("_edge"),
             F.sum(F.col("_t") * F.col("_d2")).alias("sum_sq"),
             F.sum("_t").cast("int").alias("n"),
         )
-        .withColumn("settled", F.col("n") >= F.lit(k))
+        .withColumn("settled", (F.col("n") >= F.lit(k)) | everything)
     )

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -80,12 +81,37 @@ def test_dense_spot(spark):
     rng = np.random.default_rng(2)
     rows = [tuple(map(float, r)) for r in rng.random((200, 3)) * 1e-9] + [(5.0, 5.0, 5.0)]
     cloud = spark.createDataFrame(rows, "x double, y double, z double")
-    edge = knn._start_edge(cloud, 1.0, 16)
+    edges = {(r.x, r.y, r.z): r._edge for r in knn.with_edges(cloud, 1.0, 16).collect()}
+    assert len(edges) == 201 and edges[5.0, 5.0, 5.0] == 1.0
     cells = {}
-    for r in rows:
-        key = tuple(int(v // edge) for v in r)
+    for r in rows[:200]:
+        key = (edges[r], *(int(v // edges[r]) for v in r))
         cells[key] = cells.get(key, 0) + 1
-    assert max(cells.values()) <= 16 and edge < 1e-9
+    assert max(cells.values()) <= 16 and max(edges[r] for r in rows[:200]) < 1e-9
+
+
+def test_a_dense_spot_changes_no_rounds_elsewhere(spark, monkeypatch):
+    """100,000 points in one spot: places elsewhere are settled in the rounds they took without it."""
+    rng = np.random.default_rng(7)
+    plain = rng.random((3000, 3)) * 40
+    spot = rng.random((100_000, 3)) * 1e-3 + 55.0
+    rounds = []
+    search = knn._search
+
+    def counted(open_places, *rest):
+        rounds[-1].append({(r.x, r.y, r.z) for r in open_places.filter("x < 41").select("x", "y", "z").collect()})
+        return search(open_places, *rest)
+
+    monkeypatch.setattr(knn, "_search", counted)
+    results = []
+    for cloud in (plain, np.concatenate([plain, spot])):
+        rounds.append([])
+        frame = spark.createDataFrame(pd.DataFrame(cloud, columns=["x", "y", "z"]))
+        out = knn.initial_scale(frame, 2.0).filter("x < 41").collect()
+        results.append({(r.x, r.y, r.z): r.mean_sq for r in out})
+    assert results[0] == pytest.approx(results[1]) and len(results[0]) == 3000
+    first, second = ([r for r in some if r] for some in rounds)
+    assert first == second
 
 
 def test_files_of_one_name(spark, tmp_path):
