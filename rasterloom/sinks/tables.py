@@ -50,6 +50,11 @@ def read_images(spark: SparkSession, folder: str, names: Sequence[str], buckets:
     return table.filter(F.col("image").cast("string").isin([str(n) for n in names])).drop("image_bucket")
 
 
+def read_all_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of every image of such a folder; no list of names is needed."""
+    return spark.read.parquet(folder).drop("image_bucket")
+
+
 def write_label_rasters(pixels: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Sparse label rasters."""
     _write_by_image(pixels, folder, mode)
