@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators.joins import salted_join
+from rasterloom.operators.joins import lookup_join, salted_join
 from rasterloom.session import cut_lineage
 
 # Which type decides when an instance falls under several.
@@ -95,4 +95,4 @@ def hierarchy_labels(
     reached = reached_types(entities, list(best)).filter(F.size("types") > 0)
     chosen = F.array_min(F.transform("types", lambda t: F.element_at(ranked, t)))
     labels = reached.select("entity_id", chosen["c"].alias("label"))
-    return instance_entity.join(labels, "entity_id").select("instance_id", "label")
+    return lookup_join(instance_entity, labels, ["entity_id"]).select("instance_id", "label")

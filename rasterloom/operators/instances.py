@@ -322,11 +322,11 @@ def box_overlap(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def vote_labels(
-    overlaps: DataFrame, boxes: DataFrame, min_overlap: float = 0.3, min_score: float = 0.2
+    overlaps: DataFrame, boxes: DataFrame, min_overlap: float = 0.3, min_score: float = 0.2, by: Sequence[str] = ()
 ) -> DataFrame:
     """Class of the box with the highest score times overlap, per image and instance.
 
-    The earliest prompt, then the earliest box, wins a tie.
+    The earliest prompt, then the earliest box, wins a tie. Columns ``by`` of the overlaps part the votes further.
     """
     scored = (
         overlaps.filter(F.col("overlap") >= F.lit(float(min_overlap)))
@@ -336,7 +336,7 @@ def vote_labels(
     )
     order = F.struct("_s", (-F.col("prompt_idx")).alias("p"), (-F.col("box_idx")).alias("b"))
     return (
-        scored.groupBy("image", "instance_id")
+        scored.groupBy("image", "instance_id", *by)
         .agg(F.max_by("class_id", order).alias("label"), F.max("_s").alias("score"))
         .filter(F.col("score") >= F.lit(float(min_score)))
     )

@@ -130,20 +130,19 @@ class BoxPredictor:
     def required_inputs(self, images: DataFrame) -> DataFrame:
         return required_paths(images, "instance_raster", self.input_patterns)
 
-    def _labels(self, raw: DataFrame) -> DataFrame:
+    def _boxes(self, raw: DataFrame, kind: int) -> DataFrame:
+        """Boxes in the raster's frame; the lowest bit of the prompt's number tells the two sets apart."""
         boxes = instances.normalize_boxes(raw, self.frames, self.box_format)
         boxes = instances.scale_boxes(boxes, self.frames, self.dims)
-        overlaps = instances.box_overlap(self.instance_pixels, boxes)
-        return instances.vote_labels(overlaps, boxes, self.min_overlap, self.min_score)
+        return boxes.withColumn("prompt_idx", F.col("prompt_idx") * 2 + kind)
 
     def predict(self) -> DataFrame:
+        """Both sets of boxes meet the pixels once, and vote apart."""
         on = ["image", "instance_id"]
-        marked = self._labels(self.binary_boxes).select(
-            *on, F.col("label").alias("pred_binary"), F.lit(None).cast("int").alias("pred_class")
-        ).unionByName(
-            self._labels(self.class_boxes).select(
-                *on, F.lit(None).cast("int").alias("pred_binary"), F.col("label").alias("pred_class")
-            )
+        boxes = self._boxes(self.binary_boxes, 0).unionByName(self._boxes(self.class_boxes, 1))
+        overlaps = instances.box_overlap(self.instance_pixels, boxes).withColumn("_kind", F.col("prompt_idx") % 2)
+        votes = instances.vote_labels(overlaps, boxes, self.min_overlap, self.min_score, ["_kind"])
+        both = votes.groupBy(*on).agg(
+            *[F.max(F.when(F.col("_kind") == k, F.col("label"))).alias(n) for k, n in enumerate(("pred_binary", "pred_class"))]
         )
-        both = marked.groupBy(*on).agg(F.max("pred_binary").alias("pred_binary"), F.max("pred_class").alias("pred_class"))
         return lookup_join(self.instance_pixels, both, on).select(*raster.PIXEL, "pred_binary", "pred_class")
