@@ -12,7 +12,6 @@ POSITIVE_ID = 200
 NEGATIVE_ID = 201
 POSITIVE_COLOR = (168, 123, 204)
 NEGATIVE_COLOR = (182, 208, 167)
-UNKNOWN_COLOR = (160, 160, 160)
 NO_LABEL_COLOR = (255, 255, 255)
 CORRECT_COLOR = (0, 255, 0)
 WRONG_COLOR = (255, 0, 0)
