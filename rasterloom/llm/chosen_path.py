@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import flat, join_groups, slices, stored
+from rasterloom.llm.common import flat, join_spread, settled, slices, stored
 from rasterloom.llm.components import components
 from rasterloom.llm.words import LOWER, mix, words_of
-from rasterloom.operators.joins import salted_join
 
 HASHES = 128
+# Sets that one task of crossing() compares, from either side.
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -152,14 +153,15 @@ def candidates(classes: DataFrame, search: Search, trees: int) -> tuple[DataFram
     depth = search.first_depth
     while True:
         rows = stored(rows.select(*kept), "path-rows")
-        total = rows.count()
         nodes = rows.groupBy("key").agg(
-            F.count("*").alias("m"), F.min("rep").alias("pivot"), F.min("part").alias("p0"), F.max("part").alias("p1")
+            F.count("*").alias("m"),
+            F.min(F.struct("rep", "part", "s1", "s2")).alias("pivot"),
+            F.min("part").alias("p0"),
+            F.max("part").alias("p1"),
         )
-        nodes = nodes.filter("p0 < p1").select("key", "m", "pivot")
-        rows = stored(join_groups(rows, nodes, ["key"], "m", total), "path-nodes")
+        rows = stored(join_spread(rows, nodes.filter("p0 < p1").select("key", "m", "pivot"), ["key"]), "path-nodes")
         small, large = rows.filter(F.col("m") <= search.node), rows.filter(F.col("m") > search.node)
-        a, b = small.select(*kept).alias("a"), small.select(*kept).alias("b")
+        a, b = small.select(*kept).alias("a"), small.select(*kept).hint("shuffle_hash").alias("b")
         near = (
             (F.col("a.key") == F.col("b.key"))
             & (F.col("a.rep") < F.col("b.rep"))
@@ -167,44 +169,82 @@ def candidates(classes: DataFrame, search: Search, trees: int) -> tuple[DataFram
             & (_distance("a", "b") <= search.distance)
         )
         pairs.append(a.join(b, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), _distance("a", "b").alias("d")))
-        pivots = large.filter("rep = pivot").select("key", "rep", "part", "s1", "s2", "m")
-        star = join_groups(
-            large.select(*kept).withColumnsRenamed({"rep": "b", "part": "bpart", "s1": "t1", "s2": "t2"}),
-            pivots.withColumnRenamed("rep", "a"),
-            ["key"],
-            "m",
-            total,
-        )
-        d = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        star = star.filter("a < b AND part != bpart").select("a", "b", d.alias("d"))
+        d = F.bit_count(F.col("s1").bitwiseXOR(F.col("pivot.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("pivot.s2")))
+        star = large.filter((F.col("rep") != F.col("pivot.rep")) & (F.col("part") != F.col("pivot.part")))
+        star = star.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), d.alias("d"))
         pairs.append(star.filter(F.col("d") <= search.distance))
         if depth == search.last_depth or large.isEmpty():
             break
         depth += 1
-        rows = salted_join(large.select(*kept), classes.select("rep", "mins"), ["rep"], salts=2).withColumn(
+        # a document is in at most ``trees`` rows, so no key is hot
+        rows = large.select(*kept).join(classes.select("rep", "mins").hint("shuffle_hash"), "rep").withColumn(
             "key", _next(F.col("key"), F.col("mins"))
         )
     every = pairs[0]
     for more in pairs[1:]:
         every = every.unionByName(more)
-    found = stored(every.groupBy("a", "b").agg(F.min("d").alias("d")), "path-pairs")
-    return found, large.select(*kept)
+    return every.groupBy("a", "b").agg(F.min("d").alias("d")), large.select("key", "rep", "part")
+
 
+def block_links(left: list, right: list, similarity: int) -> list[tuple[int, int]]:
+    """Links that join different parts, between two lists of (rep, part, sorted set); each join of two parts once.
 
-def crossing(leaves: DataFrame, search: Search) -> DataFrame:
-    """Pairs (a, b) of members in different parts of one node: each member outside the node's largest part meets all."""
-    members = stored(leaves, "path-leaves")
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top")).select("key", F.col("top.part").alias("main"))
-    few = salted_join(members, main, ["key"], salts=8).filter("part != main").select(
-        "key", F.col("rep").alias("q"), F.col("part").alias("qpart"), F.col("s1").alias("t1"), F.col("s2").alias("t2")
+    All intersections of a set with the other side are counted at once through
+    that side's postings, so nothing is estimated.
+    """
+    sizes = np.array([len(s) for _, _, s in left], np.int64)
+    values = np.concatenate([s for _, _, s in left])
+    owners = np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    parts = np.array([p for _, p, _ in left], np.int64)
+    links = []
+    for rep, part, members in right:
+        low, high = np.searchsorted(values, members, "left"), np.searchsorted(values, members, "right")
+        counts = high - low
+        ends = np.cumsum(counts)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - counts), counts)
+        both = np.bincount(owners[places], minlength=len(left))
+        met = np.flatnonzero((100 * both >= similarity * (sizes + len(members) - both)) & (parts != part))
+        joined, first = np.unique(parts[met], return_index=True)
+        links += [(int(left[i][0]), int(rep)) for i in met[first]]
+    return links
+
+
+def crossing(leaves: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (u, v) between members in different parts of one node, on the full sets.
+
+    Each member outside the node's largest part meets all members, block by block: either side is cut into
+    blocks of about BLOCK_BYTES of sets, whatever the node's size, and a task compares one block of each. What is
+    shuffled grows with members and blocks, and only links leave the task, not pairs.
+    """
+    members = leaves.join(sets.select("rep", F.octet_length("set").alias("bytes")).hint("shuffle_hash"), "rep")
+    members = stored(members, "path-leaves")
+    parts = members.groupBy("key", "part").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes"))
+    nodes = parts.groupBy("key").agg(F.max(F.struct("c", "part", "bytes")).alias("main"), F.sum("bytes").alias("bytes"))
+    blocks = [F.ceil(b / F.lit(BLOCK_BYTES)).cast("int") for b in (F.col("bytes"), F.col("bytes") - F.col("main.bytes"))]
+    nodes = nodes.select("key", F.col("main.part").alias("main"), blocks[0].alias("across"), blocks[1].alias("down"))
+    laid = join_spread(members.select("key", "rep", "part"), nodes.filter("down > 0"), ["key"])
+    turn = F.xxhash64("rep", F.lit(3))
+    every = laid.select(
+        "key", "rep", "part", F.lit(False).alias("few"), F.pmod(turn, F.col("across")).cast("int").alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"),
     )
-    d = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    return (
-        salted_join(members, few, ["key"], salts=8)
-        .filter((F.col("part") != F.col("qpart")) & (d <= search.distance))
-        .select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
+    few = laid.filter("part != main").select(
+        "key", "rep", "part", F.lit(True).alias("few"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"),
+        F.pmod(turn, F.col("down")).cast("int").alias("y"),
     )
+    met = every.unionByName(few).join(sets.hint("shuffle_hash"), "rep")
+
+    def meet(block: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        columns = (block.column(c).to_pylist() for c in ("rep", "part", "few", "set"))
+        for rep, part, side, raw in zip(*columns):
+            sides[side].append((rep, part, np.frombuffer(raw, "<u8")))
+        links = block_links(*sides, similarity) if sides[0] and sides[1] else []
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+    return met.groupBy("key", "x", "y").applyInArrow(meet, "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -241,13 +281,13 @@ def near_duplicates(
     doc_id takes part as a document of its own that nothing is linked with.
     Other columns are ignored.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(docs, words), "path-signatures")
-    total = signed.count()
     named = signed.filter("n > 0 AND doc_id IS NOT NULL")
     on = ["n", "f1", "f2"]
-    groups = named.groupBy(*on).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_size"), F.first("mins").alias("mins"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    classes = stored(groups, "path-classes")
+    firsts = [F.first(c).alias(c) for c in ("mins", "s1", "s2")]
+    classes = stored(named.groupBy(*on).agg(F.min("doc_id").alias("rep"), *firsts), "path-classes")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -256,30 +296,39 @@ def near_duplicates(
             raw = [sets[e - n : e].astype("<u8").tobytes() for e, n in zip(ends, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(raw, pa.binary())], ["rep", "set"])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Full sets of the documents in the pairs."""
-        wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """Full sets of the documents named."""
+        wanted = reps.distinct()
         texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["rep"], "left_semi")
         texts = texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
-        return stored(texts.mapInArrow(listed, "rep long, set binary"), "path-sets")
-
-    # a few trees connect the bulk of each group: every document by its closest candidate
-    pairs, _ = candidates(classes.withColumn("part", F.col("rep")), search, search.first_trees)
-    best = stored(
-        pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "path-best"
-    )
-    links = stored(confirmed(best, sets_of(best), search.similarity), "path-links")
-    labels = stored(components(links, "path-stars"), "path-labels")
-    # all trees then look for links between what is still apart
-    known = labels.select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    apart = classes.join(known, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    pairs, leaves = candidates(stored(apart, "path-parts"), search, search.trees)
-    rest = stored(pairs.select("a", "b").unionByName(crossing(leaves, search)).distinct(), "path-rest")
-    more = confirmed(rest, sets_of(rest), search.similarity)
-    final = stored(components(links.unionByName(more), "path-final"), "path-components")
-    placed = classes.select(*on, "rep", "_size").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select(*on, "_size", F.coalesce("component", "rep").alias("component_id"))
-    out = join_groups(named.select("doc_id", *on), placed, on, "_size", total).select(
+        return settled(spark, lambda: texts.mapInArrow(listed, "rep long, set binary"), "path-sets")
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+
+    def first_links() -> DataFrame:
+        """A few trees connect the bulk of each group: every document by its closest candidates, before and after it."""
+        pairs = stored(candidates(classes.withColumn("part", F.col("rep")), search, search.first_trees)[0], "path-pairs")
+        before = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+        after = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        best = stored(before.unionByName(after).distinct(), "path-best")
+        return confirmed(best, sets_of(ends_of(best)), search.similarity)
+
+    def more_links() -> DataFrame:
+        """All trees then look for links between what is still apart."""
+        known = components(links, "path-stars").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+        apart = classes.join(known.hint("shuffle_hash"), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+        pairs, leaves = candidates(stored(apart.select("rep", "part", "mins", "s1", "s2"), "path-parts"), search, search.trees)
+        rest = stored(pairs.select("a", "b"), "path-rest")
+        sets = sets_of(ends_of(rest).unionByName(leaves.select("rep")))
+        return confirmed(rest, sets, search.similarity).unionByName(crossing(leaves, sets, search.similarity))
+
+    links = settled(spark, first_links, "path-links")
+    more = settled(spark, more_links, "path-more")
+    final = settled(spark, lambda: components(links.unionByName(more), "path-final"), "path-components")
+    placed = classes.select(*on, "rep").join(final.withColumnRenamed("node", "rep").hint("shuffle_hash"), "rep", "left")
+    placed = placed.select(*on, F.coalesce("component", "rep").alias("component_id"))
+    out = join_spread(named.select("doc_id", *on), placed, on).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id"
     )
     alone = signed.filter("n = 0 OR doc_id IS NULL").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators.joins import salted_join
 from rasterloom.session import work_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,13 +44,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Folders of tables stored while a settled() is under way, innermost last.
+_passing: list[list[str]] = []
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared work folder and read back: lineage ends, later uses read files."""
     folder = work_folder(df.sparkSession, purpose)
+    if _passing:
+        _passing[-1].append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """The table that ``make`` returns, stored; tables that ``make`` stored on its way are deleted.
+
+    The result must be all that is used of them later. Shuffle files go when the
+    JVM finds that nothing refers to them, so it is asked to look.
+    """
+    _passing.append([])
+    try:
+        folder = work_folder(spark, purpose)
+        made = make()
+        made.write.parquet(folder)
+        schema = made.schema
+        del made
+    finally:
+        for old in _passing.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._jvm.System.gc()
+    if _passing:
+        _passing[-1].append(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -75,6 +105,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str], size: str
     return many.unionByName(rest.join(groups.filter(~heavy), list(on), "inner"))
 
 
+def join_spread(rows: DataFrame, groups: DataFrame, on: Sequence[str], salts: int = 8) -> DataFrame:
+    """Inner join of rows to one-row-per-key ``groups`` by a shuffle at every size; a key's rows go to ``salts`` tasks."""
+    return salted_join(rows, groups.hint("shuffle_hash"), on, salts=salts)
+
+
 def running(
     df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str, purpose: str
 ) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import join_groups, stored
+from rasterloom.llm.common import join_spread, stored
 
 
-def _least(pairs: DataFrame, total: int) -> DataFrame:
+def _least(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each pair with the least of u and its partners, also for a u with very many partners."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-    least = least.select("u", F.least("u", "m").alias("m"), "_n")
-    return join_groups(pairs, least, ["u"], "_n", total).drop("_n")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return join_spread(pairs, least, ["u"])
 
 
 def components(links: DataFrame, purpose: str) -> DataFrame:
@@ -30,9 +29,9 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
             break
         before = (total, mark)
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, 2 * total).filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _least(both).filter("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.distinct(), purpose)
-        small = _least(large, 2 * total)
+        small = _least(large)
         down = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = small.filter("u != m").select("u", F.col("m").alias("v"))
         links = stored(down.unionByName(own).distinct(), purpose)
