@@ -6,35 +6,41 @@ SQL check; tests compare each stage with a brute-force version.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import chosen_path, exact, mixture, packing, repetition
-from rasterloom.llm.common import stored, table
+from rasterloom.llm.common import settled, stored, table
 
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``; no column of ``docs`` is touched."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
+def _only(docs: DataFrame, decide: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is kept by what ``decide`` returns; no column of ``docs`` is touched.
+
+    Only the ids stay stored; what the operator stored on its way is deleted.
+    """
+    kept = lambda: decide().filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    ids = settled(docs.sparkSession, kept, "pipeline-kept")
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the suffix-array repetition rules reject."""
-    return _only(docs, repetition.repetition_rules(docs).filter("kept"))
+    return _only(docs, lambda: repetition.repetition_rules(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each set of equal texts."""
-    return _only(docs, exact.exact_duplicates(docs).filter("kept"))
+    return _only(docs, lambda: exact.exact_duplicates(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component (five words, similarity 0.8)."""
-    return _only(docs, chosen_path.near_duplicates(docs).filter("kept"))
+    return _only(docs, lambda: chosen_path.near_duplicates(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document is returned once for each time the mix takes it, to the nearest whole time.
     """
-    taken = mixture.mix(docs).filter("size > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_mix_times")
-    )
-    taken = taken.groupBy("_mix_id").agg(F.max("_mix_times").alias("_mix_times")).filter("_mix_times > 0")
+
+    def times_taken() -> DataFrame:
+        taken = mixture.mix(docs).filter("size > 0").select(
+            F.col("doc_id").alias("_mix_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_mix_times")
+        )
+        return taken.groupBy("_mix_id").agg(F.max("_mix_times").alias("_mix_times")).filter("_mix_times > 0")
+
+    taken = settled(spark, times_taken, "pipeline-taken")
     met = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mix_id"]))
     times = F.explode(F.array_repeat(F.lit(0), F.col("_mix_times")))
     return met.withColumn("_mix_turn", times).select(*[docs[c] for c in docs.columns])
