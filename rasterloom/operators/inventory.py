@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions.paths import extension, file_name, stem
+from rasterloom.session import cut_lineage
 
 
 def incomplete_pairs(primary: DataFrame, secondary: DataFrame) -> DataFrame:
@@ -120,13 +121,15 @@ def match_files(
         .select("name", "_i", "_c", F.posexplode(exts).alias("_j", "_e"))
         .withColumn("_file", F.concat("_c", "_e"))
     )
+    # both sides grow with the files, so neither is broadcast, however small it looks
     exact = (
-        tried.join(known, "_file")
+        tried.join(known.hint("merge"), "_file")
         .groupBy("name")
         .agg(F.min_by("path", F.col("_i") * F.lit(len(allowed)) + F.col("_j")).alias("path"))
     )
-    left = wanted.join(exact, "name", "left_anti").withColumn(
-        "_prefix", F.element_at(name_candidates(F.col("name"), suffixes), -1)
+    matched = cut_lineage(wanted.join(exact.hint("merge"), "name", "left"))
+    left = matched.filter(F.col("path").isNull()).select(
+        "name", F.element_at(name_candidates(F.col("name"), suffixes), -1).alias("_prefix")
     )
     lengths = left.agg(F.collect_set(F.length("_prefix")).alias("l")).select("l").scalar()
     starts = (
@@ -136,8 +139,9 @@ def match_files(
         .select("path", F.expr("left(_file, _n)").alias("_prefix"))
     )
     first = starts.groupBy("_prefix").agg(F.min("path").alias("path"))
-    found = exact.unionByName(left.join(first, "_prefix").select("name", "path"))
-    out = wanted.join(found, "name", "left")
+    out = matched.filter(F.col("path").isNotNull()).unionByName(
+        left.join(first.hint("merge"), "_prefix", "left").select("name", "path")
+    )
     if strict:
         miss = F.raise_error(F.concat(F.lit("no file for "), F.col("name")))
         out = out.withColumn("path", F.when(F.col("path").isNotNull(), F.col("path")).otherwise(miss))
