@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterloom.functions.vectors import argmax
 from rasterloom.operators.joins import lookup_join
-from rasterloom.session import cut_lineage
+from rasterloom.session import cut_lineage, spread
 
 TILE = 256
 TILE_KEY = ("image", "_ty", "_tx")
@@ -129,9 +129,11 @@ def stitch_windows(scores: DataFrame) -> DataFrame:
     """Mean score per pixel and class over overlapping windows, then the best class.
 
     The lowest class id wins a tie. Rows are partitioned by pixel once, which
-    serves both group-bys.
+    serves both group-bys. A task holds all sums of its pixels, so the partitions
+    stay as many as they are instead of being merged by their compressed size.
     """
-    mean = scores.repartition("image", "y", "x").groupBy("image", "y", "x", "class_id").agg(F.avg("score").alias("score"))
+    dealt = spread(scores, "image", "y", "x")
+    mean = dealt.groupBy("image", "y", "x", "class_id").agg(F.avg("score").alias("score"))
     best = mean.groupBy("image", "y", "x").agg(
         F.max(F.struct("score", (-F.col("class_id")).alias("neg"))).alias("b")
     )

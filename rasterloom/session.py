@@ -51,6 +51,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to a fixed number of partitions, at least 200, which adaptive execution does not merge."""
+    return df.repartition(max(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run's files, below the checkpoint folder all executors share."""
     ensure_checkpoint_dir(spark)
