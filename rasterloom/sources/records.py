@@ -1,8 +1,8 @@
 """Spark data sources for files of fixed-length records: ``las`` and ``ply`` points, ``npy`` array lines.
 
-A file is cut into byte ranges, one task each. A task reads the file's header and
-then the records that start inside its range, so record numbers (``point_idx``)
-come for free and no other part of the file is touched.
+A large file is cut into byte ranges, one task each; small files share a task. A task
+reads a file's header and then the records that start inside its range, so record numbers
+(``point_idx``) come for free and no other part of the file is touched.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ from rasterloom.sinks.manifest import counted
 
 SPLIT_BYTES = 64 << 20
 _BATCH_BYTES = 4 << 20
+# Small files that one task reads at most.
+_OPENED = 256
 
 
 def open_filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -58,12 +60,12 @@ def list_files(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return found
 
 
-def inner_name(root: str, path: str) -> str:
-    """A file's path below the folder that was loaded, which tells files of one name apart."""
+def inner_names(root: str, paths: Sequence[str]) -> list[str]:
+    """Files' paths below the folder that was loaded, which tell files of one name apart."""
     fs, inner = open_filesystem(root)
     if any(ch in inner for ch in "*?[") or fs.get_file_info(inner).type != pafs.FileType.Directory:
-        return posixpath.basename(path)
-    return posixpath.relpath(path, inner)
+        return [posixpath.basename(p) for p in paths]
+    return [posixpath.relpath(p, inner) for p in paths]
 
 
 @dataclass
@@ -77,13 +79,34 @@ class Layout:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     path: str
     low: int
     high: int
     name: str
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range of a large file, or many small files."""
+
+    ranges: list[ByteRange]
+
+
+def dealt(ranges: Iterable[ByteRange], split: int) -> list[Ranges]:
+    """Ranges in their order, together until they hold ``split`` bytes; opening a file counts as a share of them."""
+    out: list[Ranges] = []
+    size = split
+    for part in ranges:
+        cost = part.high - part.low + split // _OPENED
+        if size + cost > split:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].ranges.append(part)
+        size += cost
+    return out
+
+
 class RecordReader(DataSourceReader):
     suffixes: tuple[str, ...] = ()
 
@@ -92,12 +115,12 @@ class RecordReader(DataSourceReader):
         self.path = options["path"]
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
 
-    def partitions(self) -> list[ByteRange]:
-        out = []
-        for path, size in list_files(self.path, self.suffixes):
-            name = inner_name(self.path, path)
-            out += [ByteRange(path, low, min(low + self.split, size), name) for low in range(0, size, self.split)]
-        return out
+    def partitions(self) -> list[Ranges]:
+        files = list_files(self.path, self.suffixes)
+        ranges = []
+        for (path, size), name in zip(files, inner_names(self.path, [p for p, _ in files])):
+            ranges += [ByteRange(path, low, min(low + self.split, size), name) for low in range(0, size, self.split)]
+        return dealt(ranges, self.split)
 
     def layout(self, head) -> Layout:
         raise NotImplementedError
@@ -105,9 +128,13 @@ class RecordReader(DataSourceReader):
     def columns(self, block: np.ndarray, layout: Layout) -> dict[str, np.ndarray]:
         raise NotImplementedError
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = open_filesystem(self.path)
         target = pa.schema([pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in self.schema.fields])
+        for part in partition.ranges:
+            yield from self._records(fs, part, target)
+
+    def _records(self, fs: pafs.FileSystem, partition: ByteRange, target: pa.Schema) -> Iterator[pa.RecordBatch]:
         with fs.open_input_file(partition.path) as file:
             layout = self.layout(file)
             width = layout.dtype.itemsize
