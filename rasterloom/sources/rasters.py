@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rasterloom.functions.paths import stem
 from rasterloom.sources import records
@@ -45,17 +49,42 @@ def _array_lines(spark: SparkSession, path: str, axes: int, ending: str = ".npy"
     return lines.select(image.alias("image"), (F.col("point_idx") + first).alias("line_no"), "shape", "kind", "line")
 
 
+def _line_blocks(
+    batches: Iterator[pa.RecordBatch], dtype: type
+) -> Iterator[tuple[pa.Array, np.ndarray, list[int], np.ndarray]]:
+    """(images, line numbers, shape, values with a row a line) of neighbouring lines of one shape, about _ROWS values at once."""
+    for batch in batches:
+        shapes, kinds, lines = (batch.column(c).to_pylist() for c in ("shape", "kind", "line"))
+        numbers = batch.column("line_no").to_numpy()
+        low = 0
+        for (shape, kind, size), run in groupby(zip(shapes, kinds, map(len, lines))):
+            high = low + len(list(run))
+            step = max(1, _ROWS * np.dtype(kind).itemsize // max(size, 1))
+            for first in range(low, high, step):
+                last = min(first + step, high)
+                values = np.frombuffer(b"".join(lines[first:last]), np.dtype(kind)).astype(dtype)
+                image = batch.column("image").slice(first, last - first)
+                yield image, numbers[first:last], shape, values.reshape(last - first, -1)
+            low = high
+
+
+def _record_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
+
+
 def read_label_rasters(spark: SparkSession, path: str, lowest_valid: int = 0) -> DataFrame:
     """Label arrays as sparse pixels; values below ``lowest_valid`` mean no label."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for image, y, kind, line in zip(batch["image"], batch["line_no"], batch["kind"], batch["line"]):
-                labels = np.frombuffer(line, np.dtype(kind)).astype(np.int32)
-                x = np.flatnonzero(labels >= lowest_valid)
-                yield pd.DataFrame({"image": image, "y": np.int32(y), "x": x.astype(np.int32), "label": labels[x]})
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image, number, _, values in _line_blocks(batches, np.int32):
+            line, x = np.nonzero(values >= lowest_valid)
+            columns = [image.take(pa.array(line)), number[line], x, values[line, x]]
+            yield _record_batch(columns, arrow)
 
-    return _array_lines(spark, path, 1).mapInPandas(explode, "image string, y int, x int, label int")
+    schema = "image string, y int, x int, label int"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    return _array_lines(spark, path, 1).mapInArrow(explode, schema)
 
 
 def read_raster_dims(spark: SparkSession, path: str) -> DataFrame:
