@@ -9,6 +9,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,19 +116,21 @@ def detect_resolution(spark: SparkSession, path: str) -> DataFrame:
 def read_feature_rasters(spark: SparkSession, path: str) -> DataFrame:
     """(height, width, channels) arrays as one feature vector per pixel."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for image, y, shape, kind, line in zip(
-                batch["image"], batch["line_no"], batch["shape"], batch["kind"], batch["line"]
-            ):
-                flat = np.frombuffer(line, np.dtype(kind)).astype(np.float32).reshape(shape[1], shape[2])
-                step = max(1, _ROWS // shape[2])
-                for low in range(0, len(flat), step):
-                    part = flat[low : low + step]
-                    x = np.arange(low, low + len(part), dtype=np.int32)
-                    yield pd.DataFrame({"image": image, "y": np.int32(y), "x": x, "feature": list(part)})
-
-    return _array_lines(spark, path, 2).mapInPandas(explode, "image string, y int, x int, feature array<float>")
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image, number, shape, values in _line_blocks(batches, np.float32):
+            width, channels = shape[1], shape[2]
+            flat = values.reshape(len(values) * width, channels)
+            step = max(1, _ROWS // max(channels, 1))
+            for low in range(0, len(flat), step):
+                part = flat[low : low + step]
+                line, x = np.divmod(np.arange(low, low + len(part)), width)
+                offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * np.int32(channels))
+                feature = pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1)))
+                yield _record_batch([image.take(pa.array(line)), number[line], x, feature], arrow)
+
+    schema = "image string, y int, x int, feature array<float>"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    return _array_lines(spark, path, 2).mapInArrow(explode, schema)
 
 
 def _plain(path: Column) -> Column:
@@ -245,22 +248,12 @@ def read_language_features(spark: SparkSession, folder: str) -> tuple[DataFrame,
     ``<image>_f.npy`` with one feature row per segment.
     """
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for image, number, shape, kind, line in zip(
-                batch["image"], batch["line_no"], batch["shape"], batch["kind"], batch["line"]
-            ):
-                seg = np.frombuffer(line, np.dtype(kind)).astype(np.int32)
-                level, y = divmod(number, shape[1])
-                yield pd.DataFrame(
-                    {
-                        "image": image[: -len("_s")],
-                        "level": np.int32(level),
-                        "y": np.int32(y),
-                        "x": np.arange(len(seg), dtype=np.int32),
-                        "seg": seg,
-                    }
-                )
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image, number, shape, values in _line_blocks(batches, np.int32):
+            line, x = np.divmod(np.arange(values.size), values.shape[1])
+            level, y = np.divmod(number[line], shape[1])
+            name = pc.utf8_slice_codeunits(image, 0, -len("_s"))
+            yield _record_batch([name.take(pa.array(line)), level, y, x, values.reshape(-1)], arrow)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -273,8 +266,10 @@ def read_language_features(spark: SparkSession, folder: str) -> tuple[DataFrame,
                 }
             )
 
+    schema = "image string, level int, y int, x int, seg int"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     return (
-        _array_lines(spark, folder, 1, "_s.npy").mapInPandas(segments, "image string, level int, y int, x int, seg int"),
+        _array_lines(spark, folder, 1, "_s.npy").mapInArrow(segments, schema),
         _array_lines(spark, folder, 1, "_f.npy").mapInPandas(vectors, "image string, seg int, feature array<float>"),
     )
 
