@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.session import spread
+
 # What a lookup side may measure and still be broadcast; every executor can hold this.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -33,10 +35,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 32
+    big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 32, many: bool = False
 ) -> DataFrame:
     """Shuffle join in which a hot key of ``big`` is spread over ``salts`` tasks.
 
+    With ``many`` a row meets so many that tasks must not be merged by the size of what they read.
+
     ``small`` is repeated once per salt. Valid for joins that keep or drop rows
     of ``big`` (inner, left, left_semi, left_anti). The salt comes from the row's
     own values, so a retried task sends each row to the same place.
@@ -45,6 +49,8 @@ def salted_join(
         raise ValueError(f"salted_join cannot do {how!r}")
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if many:
+        left, right = (spread(side, *on, "_salt") for side in (left, right))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

@@ -13,6 +13,9 @@ from rasterloom.session import cut_lineage
 FLOOR = 1e-7
 _POINT = ["x", "y", "z"]
 _CELL = ["_gx", "_gy", "_gz"]
+_OTHER = ["_ox", "_oy", "_oz", "_m"]
+# Places of one cell that a place is compared with at a time.
+_LIST = 256
 # Below one in so many open places, the cells they ask for are looked up first.
 _FEW = 100
 
@@ -93,6 +96,15 @@ def initial_scale(points: DataFrame, cell: float, k: int = 3, split: int = 64) -
     return out.select(*_POINT, "copies", F.greatest(mean, F.lit(FLOOR)).alias("mean_sq"))
 
 
+def _lists(others: DataFrame, on: list[str]) -> DataFrame:
+    """The places of each cell as lists of about ``_LIST`` at most, however many the cell holds."""
+    crowded = others.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(_LIST)).alias("_parts")).filter("_parts > 1")
+    dealt = lookup_join(others, cut_lineage(crowded), on, "left")
+    part = F.pmod(F.xxhash64(*_OTHER[:3]), F.coalesce("_parts", F.lit(1)))
+    # sorted, as the salt of a row comes from its values
+    return dealt.groupBy(*on, part.alias("_part")).agg(F.sort_array(F.collect_list(F.struct(*_OTHER))).alias("_others"))
+
+
 def _search(open_places: DataFrame, places: DataFrame, reach: float, k: int, few: bool) -> DataFrame:
     """One round: sum and number of the k smallest squared distances, and whether final.
 
@@ -105,25 +117,25 @@ def _search(open_places: DataFrame, places: DataFrame, reach: float, k: int, few
     others = _cells(laid, F.col("_edge")).select(*on, *[F.col(a).alias(f"_o{a}") for a in _POINT], F.col("copies").alias("_m"))
     if few:
         others = lookup_join(others, cut_lineage(around.select(*on).distinct()), on, "left_semi")
-    gaps = [F.col(a) - F.col(f"_o{a}") for a in _POINT]
-    d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-    self_pair = (gaps[0] == 0) & (gaps[1] == 0) & (gaps[2] == 0)
-    pairs = (
-        salted_join(others, around, on, salts=4)
-        .withColumn("_d2", d2)
-        .withColumn("_m", F.when(self_pair, F.col("copies") - 1).otherwise(F.col("_m")))
-    )
     everything = F.col("_edge") > F.lit(reach)
-    pairs = pairs.filter(everything | (F.col("_d2") <= F.col("_edge") * F.col("_edge")))
-    # k rows per place and slice are enough, so a place near a dense cell is
-    # reduced in parallel before its slices meet.
-    slices = F.pmod(F.xxhash64(*[f"_o{a}" for a in _POINT]), F.lit(16)).cast("int")
-    order = ["_d2", *[f"_o{a}" for a in _POINT]]
-    pairs = pairs.withColumn("_slice", slices)
-    for group in ([*_POINT, "_slice"], _POINT):
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        # the place itself may be a row of weight 0, hence k + 1
-        pairs = pairs.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1)
+
+    def gap2(o: Column) -> Column:
+        gaps = [F.col(a) - o[f"_o{a}"] for a in _POINT]
+        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+
+    # A place meets lists of a bounded number of others and keeps the k nearest of each at
+    # once, so what is sorted is a few rows a list, not all pairs; those of a dense cell in parallel.
+    near = F.transform("_others", lambda o: F.struct(gap2(o).alias("_d2"), *[o[c].alias(c) for c in _OTHER]))
+    near = F.filter(near, lambda c: everything | (c["_d2"] <= F.col("_edge") * F.col("_edge")))
+    # the place itself may be a row of weight 0, hence k + 1
+    nearest = F.slice(F.sort_array(near), 1, k + 1)
+    pairs = salted_join(_lists(others, on), around, on, salts=4, many=True)
+    pairs = pairs.select(*_POINT, "copies", "_edge", F.inline(nearest))
+    self_pair = (F.col("x") == F.col("_ox")) & (F.col("y") == F.col("_oy")) & (F.col("z") == F.col("_oz"))
+    pairs = pairs.withColumn("_m", F.when(self_pair, F.col("copies") - 1).otherwise(F.col("_m")))
+    order = ["_d2", *_OTHER[:3]]
+    rank = F.row_number().over(Window.partitionBy(*_POINT).orderBy(*order))
+    pairs = pairs.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1)
     upto = Window.partitionBy(*_POINT).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     taken: Column = F.least(F.col("_m"), F.greatest(F.lit(k) - F.coalesce(F.sum("_m").over(upto), F.lit(0)), F.lit(0)))
     return (
