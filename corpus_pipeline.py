@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import chosen_path, exact, mixture, packing, repetition
-from rasterloom.llm.common import settled, stored, table
+from rasterloom.llm.common import by_mark, settled, stored, table
 
 ORACLE_SQL = None
 
@@ -21,11 +21,18 @@ ORACLE_SQL = None
 def _only(docs: DataFrame, decide: Callable[[], DataFrame]) -> DataFrame:
     """Rows of ``docs`` whose doc_id is kept by what ``decide`` returns; no column of ``docs`` is touched.
 
-    Only the ids stay stored; what the operator stored on its way is deleted.
+    Only the ids stay stored; what the operator stored on its way is deleted. Rows whose id is surely not dropped
+    stay where they are; the others, a few more than are dropped, meet the dropped ids in a join.
     """
-    kept = lambda: decide().filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    ids = settled(docs.sparkSession, kept, "pipeline-kept")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+
+    def verdicts() -> DataFrame:
+        kept = F.max(F.coalesce("kept", F.lit(False)))
+        return decide().groupBy(F.col("doc_id").alias("_kept_id")).agg(kept.alias("_kept"))
+
+    ids = settled(docs.sparkSession, verdicts, "pipeline-kept")
+    dropped = ids.filter("NOT _kept").select("_kept_id")
+    some, sure = by_mark(docs, "doc_id", dropped)
+    return sure.unionByName(some.join(dropped, some["doc_id"].eqNullSafe(dropped["_kept_id"]), "left_anti"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

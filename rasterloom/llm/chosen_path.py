@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import flat, join_spread, settled, slices, stored
+from rasterloom.llm.common import by_mark, flat, join_spread, settled, settled_all, slices, stored
 from rasterloom.llm.components import components
 from rasterloom.llm.words import LOWER, mix, words_of
 
@@ -138,29 +138,30 @@ def _distance(a: str, b: str):
     )
 
 
-def candidates(classes: DataFrame, search: Search, trees: int) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, mins: DataFrame, search: Search, trees: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b, d) with a < b in different parts, and the members of nodes still large at the end.
 
-    ``classes`` has rep, part, mins, s1, s2. A node whose members are all of one
-    part has nothing to find and ends there, so pairs inside what is already
-    known to be connected are never made.
+    ``classes`` has rep, part, mins, s1, s2 and is read once; ``mins`` (rep, mins) is read for members of large
+    nodes. A node whose members are all of one part has nothing to find and ends there, so pairs inside what is
+    already known to be connected are never made.
     """
+    spark = classes.sparkSession
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")))
     rows = classes.select("rep", "part", "s1", "s2", "mins", step.alias("key"))
     for _ in range(search.first_depth):
         rows = rows.withColumn("key", _next(F.col("key"), F.col("mins")))
     pairs, kept = [], ["key", "rep", "part", "s1", "s2"]
     depth = search.first_depth
+
+    def several() -> DataFrame:
+        """Members of nodes with more than one part, with the node's size."""
+        laid = stored(rows.select(*kept), "path-rows")
+        nodes = laid.groupBy("key").agg(F.count("*").alias("m"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+        return join_spread(laid, nodes.filter("p0 < p1").select("key", "m"), ["key"])
+
     while True:
-        rows = stored(rows.select(*kept), "path-rows")
-        nodes = rows.groupBy("key").agg(
-            F.count("*").alias("m"),
-            F.min(F.struct("rep", "part", "s1", "s2")).alias("pivot"),
-            F.min("part").alias("p0"),
-            F.max("part").alias("p1"),
-        )
-        rows = stored(join_spread(rows, nodes.filter("p0 < p1").select("key", "m", "pivot"), ["key"]), "path-nodes")
-        small, large = rows.filter(F.col("m") <= search.node), rows.filter(F.col("m") > search.node)
+        met = settled(spark, several, "path-nodes")
+        small, large = met.filter(F.col("m") <= search.node), met.filter(F.col("m") > search.node)
         a, b = small.select(*kept).alias("a"), small.select(*kept).hint("shuffle_hash").alias("b")
         near = (
             (F.col("a.key") == F.col("b.key"))
@@ -169,15 +170,22 @@ def candidates(classes: DataFrame, search: Search, trees: int) -> tuple[DataFram
             & (_distance("a", "b") <= search.distance)
         )
         pairs.append(a.join(b, near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), _distance("a", "b").alias("d")))
+        pivots = large.groupBy("key").agg(F.min(F.struct("rep", "part", "s1", "s2")).alias("pivot"))
+        star = join_spread(large, pivots, ["key"])
         d = F.bit_count(F.col("s1").bitwiseXOR(F.col("pivot.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("pivot.s2")))
-        star = large.filter((F.col("rep") != F.col("pivot.rep")) & (F.col("part") != F.col("pivot.part")))
+        star = star.filter((F.col("rep") != F.col("pivot.rep")) & (F.col("part") != F.col("pivot.part")))
         star = star.select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b"), d.alias("d"))
         pairs.append(star.filter(F.col("d") <= search.distance))
         if depth == search.last_depth or large.isEmpty():
             break
+        if depth == search.first_depth:
+            # members of later nodes are among these, so the minhashes of all are shuffled once
+            wanted = large.select("rep").distinct()
+            few = mins.join(wanted.hint("shuffle_hash"), "rep", "left_semi")
+            mins = settled(spark, lambda: few, "path-mins")  # noqa: B023
         depth += 1
         # a document is in at most ``trees`` rows, so no key is hot
-        rows = large.select(*kept).join(classes.select("rep", "mins").hint("shuffle_hash"), "rep").withColumn(
+        rows = large.select(*kept).join(mins.hint("shuffle_hash"), "rep").withColumn(
             "key", _next(F.col("key"), F.col("mins"))
         )
     every = pairs[0]
@@ -187,9 +195,9 @@ def candidates(classes: DataFrame, search: Search, trees: int) -> tuple[DataFram
 
 
 def block_links(left: list, right: list, similarity: int) -> list[tuple[int, int]]:
-    """Links that join different parts, between two lists of (rep, part, sorted set); each join of two parts once.
+    """Links between two lists of (rep, part, sorted set), as few as join the parts that all links would join.
 
-    All intersections of a set with the other side are counted at once through
+    A link of parts that earlier ones have joined is left out, so there are fewer links than parts. All intersections of a set with the other side are counted at once through
     that side's postings, so nothing is estimated.
     """
     sizes = np.array([len(s) for _, _, s in left], np.int64)
@@ -197,17 +205,23 @@ def block_links(left: list, right: list, similarity: int) -> list[tuple[int, int
     owners = np.repeat(np.arange(len(left)), sizes)
     order = np.argsort(values, kind="stable")
     values, owners = values[order], owners[order]
-    parts = np.array([p for _, p, _ in left], np.int64)
+    names, place = np.unique(np.array([p for _, p, _ in (*left, *right)], np.int64), return_inverse=True)
+    # what each part, and each set on the left, is joined with so far
+    top = np.arange(len(names))
+    tops = top[place[: len(left)]]
     links = []
-    for rep, part, members in right:
+    for (rep, _, members), at in zip(right, place[len(left) :]):
         low, high = np.searchsorted(values, members, "left"), np.searchsorted(values, members, "right")
         counts = high - low
         ends = np.cumsum(counts)
         places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - counts), counts)
         both = np.bincount(owners[places], minlength=len(left))
-        met = np.flatnonzero((100 * both >= similarity * (sizes + len(members) - both)) & (parts != part))
-        joined, first = np.unique(parts[met], return_index=True)
-        links += [(int(left[i][0]), int(rep)) for i in met[first]]
+        met = np.flatnonzero((100 * both >= similarity * (sizes + len(members) - both)) & (tops != top[at]))
+        if len(met):
+            joined, first = np.unique(tops[met], return_index=True)
+            links += [(int(left[i][0]), int(rep)) for i in met[first]]
+            top[np.isin(top, joined)] = top[at]
+            tops = top[place[: len(left)]]
     return links
 
 
@@ -283,11 +297,16 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(signatures(docs, words), "path-signatures")
-    named = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    on = ["n", "f1", "f2"]
-    firsts = [F.first(c).alias(c) for c in ("mins", "s1", "s2")]
-    classes = stored(named.groupBy(*on).agg(F.min("doc_id").alias("rep"), *firsts), "path-classes")
+    on, own = ["n", "f1", "f2"], F.expr("n > 0 AND doc_id IS NOT NULL")
+
+    def signed_classes() -> list[DataFrame]:
+        """What identifies each document's set, and each class with its minhashes and sketch."""
+        full = stored(signatures(docs, words), "path-full")
+        firsts = [F.first(c).alias(c) for c in ("mins", "s1", "s2")]
+        return [full.select("doc_id", *on), full.filter(own).groupBy(*on).agg(F.min("doc_id").alias("rep"), *firsts)]
+
+    signed, classes = settled_all(spark, signed_classes, "path-signatures", "path-classes")
+    named, mins = signed.filter(own), classes.select("rep", "mins")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -297,9 +316,10 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(raw, pa.binary())], ["rep", "set"])
 
     def sets_of(reps: DataFrame) -> DataFrame:
-        """Full sets of the documents named."""
-        wanted = reps.distinct()
-        texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"] == wanted["rep"], "left_semi")
+        """Full sets of the documents named; of the other texts, only a few are shuffled."""
+        wanted = stored(reps.distinct(), "path-wanted")
+        some, _ = by_mark(docs, "doc_id", wanted)
+        texts = some.join(wanted.hint("shuffle_hash"), some["doc_id"] == wanted["rep"], "left_semi")
         texts = texts.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
         return settled(spark, lambda: texts.mapInArrow(listed, "rep long, set binary"), "path-sets")
 
@@ -308,7 +328,8 @@ def near_duplicates(
 
     def first_links() -> DataFrame:
         """A few trees connect the bulk of each group: every document by its closest candidates, before and after it."""
-        pairs = stored(candidates(classes.withColumn("part", F.col("rep")), search, search.first_trees)[0], "path-pairs")
+        apart = classes.withColumn("part", F.col("rep"))
+        pairs = stored(candidates(apart, mins, search, search.first_trees)[0], "path-pairs")
         before = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
         after = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         best = stored(before.unionByName(after).distinct(), "path-best")
@@ -318,10 +339,12 @@ def near_duplicates(
         """All trees then look for links between what is still apart."""
         known = components(links, "path-stars").select(F.col("node").alias("rep"), F.col("component").alias("part"))
         apart = classes.join(known.hint("shuffle_hash"), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-        pairs, leaves = candidates(stored(apart.select("rep", "part", "mins", "s1", "s2"), "path-parts"), search, search.trees)
+        pairs, leaves = candidates(apart, mins, search, search.trees)
         rest = stored(pairs.select("a", "b"), "path-rest")
         sets = sets_of(ends_of(rest).unionByName(leaves.select("rep")))
-        return confirmed(rest, sets, search.similarity).unionByName(crossing(leaves, sets, search.similarity))
+        # one after the other, so that their shuffles of sets are not on disk together
+        near = settled(spark, lambda: confirmed(rest, sets, search.similarity), "path-near")
+        return near.unionByName(crossing(leaves, sets, search.similarity))
 
     links = settled(spark, first_links, "path-links")
     more = settled(spark, more_links, "path-more")

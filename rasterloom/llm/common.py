@@ -21,6 +21,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEAVY = 1000
 # Text handled at once inside a task; a single longer text is handled alone.
 SLICE_BYTES = 2 << 20
+# Places of the bitmap that tells which rows are worth a shuffle: 4 MB, whatever the number of ids.
+MARK_BITS = 1 << 25
 
 
 _shipped: set[str] = set()
@@ -57,27 +59,57 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], purpose: str) -> DataFrame:
-    """The table that ``make`` returns, stored; tables that ``make`` stored on its way are deleted.
+def settled_all(spark: SparkSession, make: Callable[[], Sequence[DataFrame]], *purposes: str) -> list[DataFrame]:
+    """The tables that ``make`` returns, each stored; tables that ``make`` stored on its way are deleted.
 
-    The result must be all that is used of them later. Shuffle files go when the
+    The results must be all that is used of them later. Shuffle files go when the
     JVM finds that nothing refers to them, so it is asked to look.
     """
     _passing.append([])
     try:
-        folder = work_folder(spark, purpose)
+        folders = [work_folder(spark, purpose) for purpose in purposes]
         made = make()
-        made.write.parquet(folder)
-        schema = made.schema
-        del made
+        for df, folder in zip(made, folders, strict=True):
+            df.write.parquet(folder)
+        schemas = [df.schema for df in made]
+        del made, df
     finally:
         for old in _passing.pop():
             path = spark._jvm.org.apache.hadoop.fs.Path(old)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         spark._jvm.System.gc()
     if _passing:
-        _passing[-1].append(folder)
-    return spark.read.schema(schema).parquet(folder)
+        _passing[-1] += folders
+    return [spark.read.schema(schema).parquet(folder) for schema, folder in zip(schemas, folders)]
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """The one table that ``make`` returns, as in settled_all()."""
+    return settled_all(spark, lambda: [make()], purpose)[0]
+
+
+def by_mark(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose long ``key`` may be in the one column of ``ids``, and those where it surely is not; no row is shuffled.
+
+    The hashes of ``ids`` mark places of a bitmap of MARK_BITS, so what is broadcast has a fixed bound. Keys that
+    share a place with one of ``ids`` are among the first rows too: an exact join of those has to follow.
+    """
+
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column.cast("long")), F.lit(MARK_BITS)) + 1
+
+    at = place(ids[ids.columns[0]])
+    # dealt first, so that no task holds a part of every bitmap
+    marks = ids.select(F.bitmap_bucket_number(at).alias("_mark_bucket"), F.bitmap_bit_position(at).alias("_mark_bit"))
+    marks = marks.repartition("_mark_bucket").groupBy("_mark_bucket")
+    marks = marks.agg(F.bitmap_construct_agg("_mark_bit").alias("_mark_bits"))
+    own = place(rows[key])
+    met = rows.join(F.broadcast(marks), F.bitmap_bucket_number(own) == marks["_mark_bucket"], "left")
+    bit = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substr(marks["_mark_bits"], (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    found = F.coalesce(F.getbit(byte.cast("long"), F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+    some, sure = (met.filter(f).drop(marks["_mark_bucket"], marks["_mark_bits"]) for f in (found, ~found))
+    return some, sure
 
 
 def lower_ascii(text: Column) -> Column:
