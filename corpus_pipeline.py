@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import chosen_path, exact, mixture, packing, repetition
-from rasterloom.llm.common import by_mark, settled, stored, table
+from rasterloom.llm.common import by_mark, narrow_batches, settled, stored, table
 
 ORACLE_SQL = None
 
@@ -29,7 +29,8 @@ def _only(docs: DataFrame, decide: Callable[[], DataFrame]) -> DataFrame:
         kept = F.max(F.coalesce("kept", F.lit(False)))
         return decide().groupBy(F.col("doc_id").alias("_kept_id")).agg(kept.alias("_kept"))
 
-    ids = settled(docs.sparkSession, verdicts, "pipeline-kept")
+    with narrow_batches(docs.sparkSession):
+        ids = settled(docs.sparkSession, verdicts, "pipeline-kept")
     dropped = ids.filter("NOT _kept").select("_kept_id")
     some, sure = by_mark(docs, "doc_id", dropped)
     return sure.unionByName(some.join(dropped, some["doc_id"].eqNullSafe(dropped["_kept_id"]), "left_anti"))
@@ -62,7 +63,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         )
         return taken.groupBy("_mix_id").agg(F.max("_mix_times").alias("_mix_times")).filter("_mix_times > 0")
 
-    taken = settled(spark, times_taken, "pipeline-taken")
+    with narrow_batches(spark):
+        taken = settled(spark, times_taken, "pipeline-taken")
     met = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mix_id"]))
     times = F.explode(F.array_repeat(F.lit(0), F.col("_mix_times")))
     return met.withColumn("_mix_turn", times).select(*[docs[c] for c in docs.columns])
@@ -70,7 +72,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    with narrow_batches(spark):
+        return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 STAGES = [

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import by_mark, flat, join_spread, settled, settled_all, slices, stored
+from rasterloom.llm.common import PART_BYTES, by_mark, flat, join_spread, settled, settled_all, slices, stored
 from rasterloom.llm.components import components
 from rasterloom.llm.words import LOWER, mix, words_of
 
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, f1, f2, mins, s1, s2): set size, set fingerprint, minhashes and sketch of each whole text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PART_BYTES):
             sets, sizes = shingle_sets(*flat(batch.column("text")), words)
             n = len(sizes)
             some = np.flatnonzero(sizes)
@@ -309,7 +309,7 @@ def near_duplicates(
     named, mins = signed.filter(own), classes.select("rep", "mins")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PART_BYTES):
             sets, sizes = shingle_sets(*flat(batch.column("text")), words)
             ends = np.cumsum(sizes)
             raw = [sets[e - n : e].astype("<u8").tobytes() for e, n in zip(ends, sizes)]

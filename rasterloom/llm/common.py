@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -21,6 +23,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEAVY = 1000
 # Text handled at once inside a task; a single longer text is handled alone.
 SLICE_BYTES = 2 << 20
+# The same where arrays of many times the text's size are made of a slice, and each row's result is its own.
+PART_BYTES = 512 << 10
+# Rows that Spark hands to Python at once inside narrow_batches().
+BATCH_BYTES = 4 << 20
+# Text after which a worker gives free memory back.
+RELEASE_BYTES = 1 << 20
 # Places of the bitmap that tells which rows are worth a shuffle: 4 MB, whatever the number of ids.
 MARK_BITS = 1 << 25
 
@@ -88,6 +96,18 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], purpose: str) ->
     return settled_all(spark, lambda: [make()], purpose)[0]
 
 
+@contextmanager
+def narrow_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Inside it, Spark jobs hand rows to Python ``limit`` bytes at a time, not 10,000 rows whatever their length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def by_mark(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose long ``key`` may be in the one column of ``ids``, and those where it surely is not; no row is shuffled.
 
@@ -173,6 +193,24 @@ def running(
     )
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_handled = 0
+
+
+def release(size: int) -> None:
+    """Gives memory that is free back to the system when RELEASE_BYTES of text were handled since the last time.
+
+    Workers serve one task after another, and what an allocator holds would else add up to the most of each kind.
+    """
+    global _handled
+    _handled += size
+    if _handled >= RELEASE_BYTES:
+        _handled = 0
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
@@ -187,6 +225,7 @@ def slices(
             base = total[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield batch.slice(start, end - start)
+            release(int(total[end - 1] - base))
             start = end
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import flat, join_groups, running, slices, stored
+from rasterloom.llm.common import PART_BYTES, flat, join_groups, running, slices, stored
 from rasterloom.llm.words import words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -32,7 +32,7 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     """(doc_id, source, size): words of each whole text; null has none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PART_BYTES):
             size = words_of(*flat(batch.column("text")), hashed=False).per_doc.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("source"), pa.array(size)], ["doc_id", "source", "size"]

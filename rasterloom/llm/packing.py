@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import flat, running, slices, stored
+from rasterloom.llm.common import PART_BYTES, flat, running, slices, stored
 from rasterloom.llm.tokens import encoder
 from rasterloom.operators.joins import salted_join
 
@@ -116,7 +116,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PART_BYTES):
             ids, counts = coder.encode(*flat(batch.column("text")))
             ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
             counts = counts + 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import flat, slices
+from rasterloom.llm.common import PART_BYTES, flat, slices
 from rasterloom.llm.words import BLANK, lines_of, span_hashes, words_of
 
 WINDOW = 8
@@ -178,7 +178,7 @@ def repetition_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=PART_BYTES):
             values = measure(*flat(batch.column("text")), rules)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(v) for v in values.values()]], ["doc_id", *values]

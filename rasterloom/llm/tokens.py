@@ -19,7 +19,9 @@ from rasterloom.llm.words import BLANK, LOWER, distinct_keys, span_hashes, spans
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-TABLE_ENTRIES = 2_000_000
+TABLE_ENTRIES = 500_000
+# Ids in that table for each of its entries, on average; long parts have more, and fewer entries then.
+ENTRY_IDS = 8
 
 
 def _byte_letters() -> dict[int, str]:
@@ -147,7 +149,7 @@ class Encoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        if len(self.hashes) > self.entries:
+        if len(self.hashes) > self.entries or len(self.pool) > ENTRY_IDS * self.entries:
             self._forget()
         unsafe = self._unsafe(data, offsets)
         seen = LOWER[data] if self.words else data
